@@ -102,9 +102,9 @@ def pseudonym(col: Column, secret: str) -> Column:
     )
 
 
-def laplace(scale: Column, seed: int | None) -> Column:
-    """Noise from Laplace(0, scale) by inverting its distribution function."""
-    u = (F.rand(seed) if seed is not None else F.rand()) - F.lit(0.5)
+def laplace(scale: Column, uniform: Column) -> Column:
+    """Noise from Laplace(0, scale): the inverse distribution function of a uniform in (0, 1)."""
+    u = uniform - F.lit(0.5)
     tail = F.greatest(F.lit(1.0) - F.lit(2.0) * F.abs(u), F.lit(5e-324))
     return -scale * F.signum(u) * F.log(tail)
 
