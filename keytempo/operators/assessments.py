@@ -20,19 +20,19 @@ PREDICTION = (
 
 
 def assess_sessions(
-    gate: DataFrame,
-    telemetry: DataFrame,
+    evidence: DataFrame,
     index: DataFrame,
     prediction: DataFrame | None = None,
     top: DataFrame | None = None,
 ) -> DataFrame:
     """One row per session with quality, telemetry, baseline and model signals side by side.
 
-    All inputs have one row per (person, session) except ``top``, the ranked deviations.  Model
+    ``evidence`` is gate and telemetry.  All inputs have one row per (person, session) except
+    ``top``, the ranked deviations; equal keys let all joins share one partitioning.  Model
     and baseline signals stay separate columns and are never merged into one score.
     """
     keys = list(KEYS)
-    out = gate.join(telemetry.drop("duration_seconds"), keys, "left").join(
+    out = evidence.join(
         index.select(*keys, "baseline_status", "typing_deviation_index", "session_count"),
         keys, "left")
     if prediction is not None:

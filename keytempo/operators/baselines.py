@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from keytempo import names
 from keytempo.functions import columns as c
-from keytempo.operators import groups
 from keytempo.operators.groups import over_groups
 
 MIN_SESSIONS = 5
@@ -18,21 +17,13 @@ NEAR_ZERO = 1e-5
 CUTOFF_FLOOR = 1e-4
 OUTLIER_FACTOR = 2.5
 MAD_SCALE = 1.4826
+STATS = ("mean", "std", "median", "mad", "iqr", "min", "max", "sample_count")
 
 
 def baseline_features(df: DataFrame, wanted: Sequence[str] | None = None) -> list[str]:
     return [f for f in (wanted or names.BASELINE_FEATURES) if f in df.columns]
 
 
-def unpivot_features(
-    sessions: DataFrame, features: Sequence[str], keep: Sequence[str]
-) -> DataFrame:
-    """Long rows (keep..., feature, value), without missing values."""
-    values = sessions.select(*keep, *[c.number(f).alias(f) for f in features])
-    return values.unpivot(list(keep), list(features), "feature", "value").filter(
-        F.col("value").isNotNull())
-
-
 def user_baselines(
     sessions: DataFrame,
     min_sessions: int = MIN_SESSIONS,
@@ -103,37 +94,63 @@ def describe_features(df: DataFrame) -> DataFrame:
     })
 
 
-def join_baselines(
-    long: DataFrame, stats: DataFrame, limit: int | None = None
+def profiles(baselines: DataFrame) -> DataFrame:
+    """One row per person with all feature statistics in a map (one entry per feature)."""
+    stats = F.struct(*[s for s in STATS if s in baselines.columns])
+    entry = F.when(F.col("feature").isNotNull(), F.struct("feature", stats.alias("s")))
+    return baselines.groupBy("user_id").agg(
+        F.first("baseline_status").alias("baseline_status"),
+        F.first("session_count").alias("session_count"),
+        F.map_from_entries(F.collect_list(entry)).alias("_profile"),
+    )
+
+
+def join_profiles(
+    sessions: DataFrame, baselines: DataFrame, how: str = "inner",
+    split_above: int | None = None,
 ) -> DataFrame:
-    """Join long session values with baseline rows on (person, feature).
+    """Wide session rows with the profile of their person: one join row per session.
 
-    People with very many sessions would land in one join partition.  Their baseline rows, at
-    most (features * sessions / limit) of them, are broadcast instead.
+    The profile side has one row per person, so adaptive execution may split the partition of a
+    person with very many sessions.  ``split_above`` does it by plan instead, for stored
+    baseline tables: profiles of people above that many sessions, at most sessions / split_above
+    of them, are broadcast, and their sessions are not shuffled at all.
     """
-    limit = limit or groups.group_limit(long)
-    on = ["user_id", "feature"]
-    heavy = stats.filter(F.col("session_count") > limit)
-    if heavy.isEmpty():
-        return long.join(stats, on)
-    heavy = F.broadcast(groups.pin(heavy))
-    light = long.join(heavy, on, "left_anti").join(
-        stats.filter(F.col("session_count") <= limit), on)
-    return light.unionByName(long.join(heavy, on))
+    known = profiles(baselines)
+    if split_above is None:
+        return sessions.join(known, "user_id", how)
+    heavy = F.broadcast(known.filter(F.col("session_count") > split_above))
+    rest = known.filter(F.col("session_count") <= split_above)
+    light = sessions.join(heavy, "user_id", "left_anti").join(rest, "user_id", how)
+    return light.unionByName(sessions.join(heavy, "user_id"))
+
+
+def _entries(features: Sequence[str]) -> Column:
+    """Array of (feature, value, statistics) for the features a session and its profile share."""
+    def entry(f: str) -> Column:
+        known = F.try_element_at("_profile", F.lit(f))
+        value = c.number(f)
+        return F.when(value.isNotNull() & known.isNotNull(), F.struct(
+            F.lit(f).alias("feature"), value.alias("value"), known.alias("s")))
+
+    return F.filter(F.array(*[entry(f) for f in features]), lambda x: x.isNotNull())
+
+
+def _long(joined: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    return joined.select(*keep, F.explode(_entries(features)).alias("_e")).select(
+        *keep, "_e.feature", "_e.value", "_e.s.*")
 
 
 def baseline_outliers(
     sessions: DataFrame, baselines: DataFrame, features: Sequence[str] | None = None,
-    keep: Sequence[str] = ("user_id", "session_id"), limit: int | None = None,
+    keep: Sequence[str] = ("user_id", "session_id"), split_above: int | None = None,
 ) -> DataFrame:
     """Historical sessions far from the personal median, per feature."""
     features = baseline_features(sessions, features)
+    joined = join_profiles(sessions.select(*keep, *features), baselines, "inner", split_above)
     cutoff = F.when(F.col("mad") > CUTOFF_FLOOR, OUTLIER_FACTOR * F.col("mad")).otherwise(
         OUTLIER_FACTOR * F.col("std"))
-    known = baselines.filter("baseline_status = 'available'").select(
-        "user_id", "feature", "session_count", "median", cutoff.alias("cutoff"))
-    joined = join_baselines(unpivot_features(sessions, features, keep), known, limit)
-    return joined.filter(
+    return _long(joined, features, keep).withColumn("cutoff", cutoff).filter(
         (F.col("cutoff") > CUTOFF_FLOOR)
         & (F.abs(F.col("value") - F.col("median")) > F.col("cutoff"))
     ).select(*keep, "feature", "value", "median", "cutoff")
@@ -145,32 +162,55 @@ def session_deviation(
     tolerance: float = TOLERANCE,
     features: Sequence[str] | None = None,
     keep: Sequence[str] = ("user_id", "session_id"),
-    limit: int | None = None,
+    split_above: int | None = None,
 ) -> DataFrame:
     """One row per (session, feature) with absolute, relative and standardised deviation."""
     features = baseline_features(sessions, features)
-    known = baselines.filter("baseline_status = 'available'").select(
-        "user_id", "feature", "session_count", F.col("mean").alias("baseline_mean"),
-        F.col("std").alias("baseline_std"), F.col("median").alias("baseline_median"),
-        F.col("mad").alias("baseline_mad"))
-    joined = join_baselines(unpivot_features(sessions, features, keep), known, limit)
-    return deviation_columns(joined.drop("session_count"), tolerance)
+    joined = join_profiles(sessions.select(*keep, *features), baselines, "inner", split_above)
+    long = _long(joined, features, keep).select(*keep, "feature", "value", *[
+        F.col(s).alias(f"baseline_{s}") for s in ("mean", "std", "median", "mad")])
+    return deviation_columns(long, tolerance)
+
+
+def _z(value: Column, mean: Column, std: Column, median: Column, mad: Column) -> Column:
+    robust = F.when(mad > NEAR_ZERO, (value - median) / (MAD_SCALE * mad)).otherwise(0.0)
+    return F.when(std > NEAR_ZERO, (value - mean) / std).otherwise(robust)
+
+
+def session_index(
+    sessions: DataFrame, baselines: DataFrame, features: Sequence[str] | None = None,
+    keep: Sequence[str] = ("user_id", "session_id"), split_above: int | None = None,
+) -> DataFrame:
+    """Deviation index of every session, NULL with a status where there is no baseline.
+
+    The index is computed inside the joined row: no row per feature and no second shuffle.
+    """
+    features = baseline_features(sessions, features)
+    joined = join_profiles(sessions.select(*keep, *features), baselines, "left", split_above)
+    sizes = F.transform(_entries(features), lambda e: F.least(F.lit(4.0), F.abs(_z(
+        e["value"], e["s"]["mean"], e["s"]["std"], e["s"]["median"], e["s"]["mad"]))))
+    joined = joined.withColumn("_sizes", sizes)
+    n = F.size("_sizes")
+    total = F.aggregate("_sizes", F.lit(0.0), lambda a, x: a + x)
+    status = F.coalesce("baseline_status", F.lit("unavailable"))
+    return joined.select(
+        *keep, status.alias("baseline_status"), "session_count",
+        F.when(status == "available", F.when(n > 0, total / n * 25.0).otherwise(0.0))
+        .alias("typing_deviation_index"),
+        F.when((status == "available") & (n > 0), n.cast("long")).alias("evaluated_features"),
+    )
 
 
 def deviation_columns(df: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Deviation columns from value, baseline_mean, _std, _median and _mad."""
     value, mean, std = F.col("value"), F.col("baseline_mean"), F.col("baseline_std")
-    flat = ~(std > NEAR_ZERO)
-    robust = F.when(
-        F.col("baseline_mad") > NEAR_ZERO,
-        (value - F.col("baseline_median")) / (MAD_SCALE * F.col("baseline_mad"))).otherwise(0.0)
-    z = F.when(flat, robust).otherwise((value - mean) / std)
+    z = _z(value, mean, std, F.col("baseline_median"), F.col("baseline_mad"))
     out = df.withColumns({
         "absolute_deviation": value - mean,
         "percentage_deviation": F.when(
             F.abs(mean) > NEAR_ZERO, (value - mean) / mean * 100.0).otherwise(0.0),
         "z_score": z,
-        "has_zero_variance": flat,
+        "has_zero_variance": ~(std > NEAR_ZERO),
     })
     direction = (F.when(F.col("z_score") > tolerance, "higher")
                  .when(F.col("z_score") < -tolerance, "lower").otherwise("within_baseline"))
@@ -191,20 +231,6 @@ def deviation_index(
     )
 
 
-def index_with_status(sessions: DataFrame, baselines: DataFrame, index: DataFrame) -> DataFrame:
-    """The index for every session; NULL with the reason where there is no baseline."""
-    status = baselines.select("user_id", "baseline_status", "session_count").distinct()
-    return (
-        sessions.select("user_id", "session_id")
-        .join(index, ["user_id", "session_id"], "left")
-        .join(status, "user_id", "left")
-        .withColumn("baseline_status", F.coalesce("baseline_status", F.lit("unavailable")))
-        .withColumn("typing_deviation_index", F.when(
-            F.col("baseline_status") == "available",
-            F.coalesce("typing_deviation_index", F.lit(0.0))))
-    )
-
-
 def deviation_level(index: Column) -> Column:
     return (F.when(index.isNull(), "unavailable").when(index >= 60.0, "higher_deviation")
             .when(index >= 30.0, "moderate_deviation").otherwise("expected_variance"))

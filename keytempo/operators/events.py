@@ -84,13 +84,19 @@ def event_features(
     raw: DataFrame,
     pause_ms: float = LIVE_PAUSE_MS,
     max_dwell_ms: float = MAX_DWELL_MS,
+    newest: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Raw key events to the 11-column feature frame, one row per accepted pair."""
+    """Raw key events to the 11-column feature frame, one row per accepted pair.
+
+    ``newest`` keeps only the last events of each session, after all features are computed.
+    """
 
     def body(g):
-        pairs = live_pairs(g, g.rows, max_dwell_ms)
-        return feature_columns(pairs, pause_ms).select(*EVENT_COLUMNS)
+        rows = feature_columns(live_pairs(g, g.rows, max_dwell_ms), pause_ms)
+        if newest is not None:
+            rows = newest_rows(g, rows, newest)
+        return rows.select(*EVENT_COLUMNS)
 
     return over_groups(key_rows(raw), KEYS, ORDER, body, limit, colocate=True)
 
@@ -105,6 +111,12 @@ def rolling_wpm(raw: DataFrame, back: int = FRAME_EVENTS - 1, limit: int | None
     return over_groups(key_rows(raw), KEYS, ORDER, body, limit, colocate=True)
 
 
+def newest_rows(g, rows: DataFrame, n: int) -> DataFrame:
+    """Body: the last ``n`` rows of each group."""
+    rows = g.derive(rows, number="_at", rows="_rows")
+    return rows.filter(F.col("_at") >= F.col("_rows") - n).drop("_at", "_rows")
+
+
 def keep_last(
     df: DataFrame,
     n: int = BUFFER_EVENTS,
@@ -112,10 +124,6 @@ def keep_last(
     order: Sequence[str] = ("sequence_index",),
     limit: int | None = None,
 ) -> DataFrame:
-    """The newest ``n`` events of each session.  Run it after flights are computed."""
-
-    def body(g):
-        rows = g.derive(g.rows, number="_at", rows="_rows")
-        return rows.filter(F.col("_at") >= F.col("_rows") - n).drop("_at", "_rows", "_seg")
-
-    return over_groups(df, keys, order, body, limit)
+    """The newest ``n`` events of each session of an event table that already has flights."""
+    return over_groups(
+        df, keys, order, lambda g: newest_rows(g, g.rows, n).drop("_seg"), limit)

@@ -263,16 +263,20 @@ def timing_features(
     return over_groups(df, keys, order, body, limit)
 
 
-def telemetry_body(g, pairs: DataFrame, pause_ms: float = ev.LIVE_PAUSE_MS) -> DataFrame:
-    """Body: live summary of accepted pairs."""
+def telemetry_body(
+    g, pairs: DataFrame, pause_ms: float = ev.LIVE_PAUSE_MS, extra: dict | None = None
+) -> DataFrame:
+    """Body: live summary of accepted pairs, with ``extra`` aggregates."""
     rows = pairs.withColumns({
         "_dwell": F.when(F.col("dwell_time") > 0, F.col("dwell_time")),
         "_flight": F.when(F.col("flight_time") >= 0, F.col("flight_time")),
     })
     at = F.struct(*g.order)
+    more = dict(extra or {})
     table = g.aggregate(
         rows,
         {
+            **more,
             "event_count": F.count(F.lit(1)),
             "_dwell_mean": F.avg("_dwell"),
             "_flight_mean": F.avg("_flight"),
@@ -302,6 +306,7 @@ def telemetry_body(g, pairs: DataFrame, pause_ms: float = ev.LIVE_PAUSE_MS) -> D
         "correction_count",
         c.ratio(F.col("backspace_count") + F.col("correction_count"), count).alias("error_rate"),
         seconds.alias("duration_seconds"),
+        *more,
     )
 
 

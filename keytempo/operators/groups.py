@@ -4,7 +4,7 @@ Most sessions and people are small, a few may hold a third of all rows.  ``over_
 counts the rows of each group (partial counts are combined before the shuffle) and asks whether
 any group is above a limit.
 
-* Usually none is: the body runs on plain window functions, one exchange and one sort.
+* Usually none is, or the whole input is no larger than what one task reads: the body runs on plain window functions, one exchange and one sort.
 * Otherwise the large groups go to ``LargeGroups``, which cuts each of them into segments along
   the order column.  Windows then run per (group, segment), and what must cross a segment border
   (totals, the last few rows, the last value seen) travels in one small row per segment.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 GROUP_ROWS = 250_000
 GROUP_ROWS_MAX = 4_000_000
 KEY_LIST_BYTES = 256 * 1024 * 1024
+TASK_BYTES = 32 * 1024 * 1024
 KEY_ENTRY_BYTES = 64
 ROW_BYTES = 8
 CUTS = 1024
@@ -39,9 +40,9 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def group_limit(df: DataFrame) -> int:
-    """Rows a group may have before it is cut into segments."""
-    rows = estimated_bytes(df) // ROW_BYTES
+def group_limit(size: int) -> int:
+    """Rows a group of a ``size``-byte input may have before it is cut into segments."""
+    rows = size // ROW_BYTES
     needed = ceil(rows * KEY_ENTRY_BYTES / KEY_LIST_BYTES)
     return min(max(GROUP_ROWS, needed), GROUP_ROWS_MAX)
 
@@ -80,10 +81,15 @@ def over_groups(
     belong to no group and are left out.
     """
     keys = list(keys)
-    limit = limit or group_limit(df)
     df = df.dropna(subset=keys)
-    big = large_keys(df, keys, limit)
-    if big.isEmpty():
+    if limit is None:
+        size = estimated_bytes(df)
+        limit = group_limit(size)
+        # An input that fits a task as a whole has no group that does not.
+        big = large_keys(df, keys, limit) if size > TASK_BYTES else None
+    else:
+        big = large_keys(df, keys, limit)
+    if big is None or big.isEmpty():
         return body(SmallGroups(df.repartition(*keys) if colocate else df, keys, order))
     big = F.broadcast(pin(big))
     small = df.join(big, keys, "left_anti")

@@ -34,15 +34,14 @@ def pair_canonical(events: DataFrame, limit: int | None = None) -> DataFrame:
         .alias("both")
     ).scalar()
     order = ["timestamp", *(["event_id"] if "event_id" in events.columns else []), "event_type"]
-    tagged = events.withColumn(
-        "_kind", F.when(down, "down").when(up, "up").otherwise("other")
-    ).filter(~both | (F.col("_kind") != "other"))
+    tagged = events.withColumn("_kind", F.when(down, "down").when(up, "up").otherwise("other"))
 
     def body(g):
+        rows = g.rows.withColumn("_both", both).filter(~F.col("_both") | (F.col("_kind") != "other"))
         rows = g.derive(
-            g.rows, within=("key_identifier",),
+            rows, within=("key_identifier",),
             shift={"_next": ("_kind", -1), "_next_time": ("timestamp", -1)},
-        ).withColumn("_both", both)
+        )
         return (
             rows.filter(~F.col("_both") | (F.col("_kind") == "down"))
             .withColumns({

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keytempo import names
 
+LOOK_ROWS = 10_000
 PREFIX = 4  # hex digits of the hash that bucket the groups: at most 65,536 buckets
 
 
@@ -82,10 +83,17 @@ def grouped_split3(
     return _split(df, group, test, val, seed, row_id, least=3)
 
 
+def has_groups(df: DataFrame, group: str, least: int) -> bool:
+    """Whether there are at least ``least`` groups; usually a look at some rows is enough."""
+    known = df.select(group).filter(F.col(group).isNotNull())
+    for rows in (known.limit(LOOK_ROWS), known):
+        if rows.distinct().limit(least).count() >= least:
+            return True
+    return False
+
+
 def _split(df, group, test, val, seed, row_id, least) -> DataFrame:
-    few = group not in df.columns or (
-        df.select(group).filter(F.col(group).isNotNull()).distinct().limit(least).count() < least)
-    if not few:
+    if group in df.columns and has_groups(df, group, least):
         return df.join(assign_split(df, group, test, val, seed), group)
     if row_id is None:
         raise ValueError("too few groups to split whole groups and no row_id to cut by")
@@ -117,8 +125,7 @@ def split_windows(
     seed: int = 42,
 ) -> DataFrame:
     """Three-way split of windows; too few people fall back to whole sessions."""
-    people = windows.select(group).distinct().limit(3).count()
-    if people >= 3:
+    if has_groups(windows, group, 3):
         return windows.join(assign_split(windows, group, test, val, seed), group)
     return windows.join(assign_split(windows, "session_id", test, val, seed), "session_id")
 

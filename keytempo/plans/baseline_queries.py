@@ -9,7 +9,7 @@ from keytempo.operators import baselines, charts, evaluation, models, scaling, s
 from keytempo.operators import windows
 from keytempo.plans.event_queries import session_table
 from keytempo.plans.key_events import key_events, stable
-from keytempo.plans.quality_queries import labelled_features, labelled_windows
+from keytempo.plans.quality_queries import labelled_windows
 from keytempo.plans.registry import query
 from keytempo.plans.sql import part, r, with_parts
 
@@ -102,9 +102,7 @@ def deviation_index(spark, sf_dir):
 
 def indexed(spark, sf_dir):
     sessions = session_table(spark, sf_dir)
-    base = baselines.user_baselines(sessions)
-    index = baselines.deviation_index(baselines.session_deviation(sessions, base))
-    return baselines.index_with_status(sessions, base, index)
+    return baselines.session_index(sessions, baselines.user_baselines(sessions))
 
 
 @query("deviation_level", with_parts("tdi_all", body=f"""
@@ -213,9 +211,9 @@ SELECT user_id, session_id, window_index, first_label AS label, window_index * 5
 FROM members GROUP BY user_id, session_id, window_index, first_label"""))
 def sliding_windows(spark, sf_dir):
     """Ten events every five; values shown as scaled whole numbers of three features."""
-    df = windows.sliding_windows(
-        labelled_features(spark, sf_dir), ("dwell_time", "flight_time", "backspace"), length=10,
-        stride=5, label="state", times=("press_time", "release_time"))
+    df = labelled_windows(
+        spark, sf_dir, features=("dwell_time", "flight_time", "backspace"),
+        times=("press_time", "release_time"))
 
     def whole(x, scale):
         return F.round(x.cast("double") * scale).cast("long").cast("string")
@@ -235,8 +233,7 @@ part("vectors", "members", sql="SELECT user_id, session_id, window_index, first_
 
 
 def vectors(spark, sf_dir):
-    return windows.window_aggregates(
-        labelled_features(spark, sf_dir), length=10, stride=5, label="state")
+    return labelled_windows(spark, sf_dir, summary=True)
 
 
 @query("window_aggregates", with_parts("vectors", body="""
@@ -247,6 +244,25 @@ def window_aggregates(spark, sf_dir):
     return stable(vectors(spark, sf_dir))
 
 
+@query("press_windows", with_parts("fl", body=f"""
+, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_id
+                                     ORDER BY press_time, event_id) - 1 AS pos FROM fl),
+k AS (SELECT user_id, session_id, unnest(range(0, (count(*) - 8) // 4 + 1)) AS window_index FROM n
+      GROUP BY user_id, session_id HAVING count(*) >= 8)
+SELECT k.user_id, k.session_id, window_index, window_index * 4 AS start_index,
+  window_index * 4 + 8 AS end_index, {r('avg(dwell)')} AS mean_dwell,
+  {r('stddev_pop(dwell)')} AS std_dwell, {r('median(dwell)')} AS median_dwell,
+  {r('min(dwell)')} AS min_dwell, {r('max(dwell)')} AS max_dwell
+FROM k JOIN n ON n.user_id = k.user_id AND n.session_id = k.session_id
+  AND pos >= window_index * 4 AND pos < window_index * 4 + 8 GROUP BY ALL"""))
+def press_windows(spark, sf_dir):
+    """Windows over a table of presses: eight every four."""
+    df = key_events(spark, sf_dir).withColumn(
+        "dwell", F.col("release_time") - F.col("press_time"))
+    return stable(windows.window_aggregates(
+        df, ("dwell",), length=8, stride=4, order=("press_time", "event_id")))
+
+
 # --- splits -----------------------------------------------------------------------------------
 
 part("ranked", "ev", sql="""
@@ -366,8 +382,7 @@ SELECT user_id, session_id, window_index, split, {r('avg((dwell_time - c) / s)',
 FROM members JOIN split2 USING (user_id), p GROUP BY user_id, session_id, window_index, split"""))
 def scaled_windows(spark, sf_dir):
     """Windows scaled over all time steps of the training windows, shown by their mean."""
-    rows = windows.sliding_windows(
-        labelled_features(spark, sf_dir), ("dwell_time",), length=10, stride=5)
+    rows = labelled_windows(spark, sf_dir, features=("dwell_time",))
     parts = splits.grouped_split(rows)
     params = scaling.fit_window_scaler(parts.filter("split = 'train'"), ("dwell_time",))
     scaled = scaling.apply_window_scaler(parts, params, ("dwell_time",))

@@ -85,9 +85,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id
                                    ORDER BY sequence_index DESC) AS back FROM pairs)
 WHERE back <= 10"""))
 def keep_last_events(spark, sf_dir):
-    pairs = pairing.pair_live(down_up(spark, sf_dir)).select(
-        "user_id", "session_id", "sequence_index", "dwell_time", "flight_time")
-    return stable(events.keep_last(pairs, n=10))
+    return stable(events.event_features(down_up(spark, sf_dir), newest=10).select(
+        "user_id", "session_id", "sequence_index", "dwell_time", "flight_time"))
+
+
+@query("keep_last_presses", with_parts("fl", body=f"""
+SELECT event_id, user_id, session_id, {r('flight')} AS flight_time
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id
+                                   ORDER BY press_time DESC, event_id DESC) AS back FROM fl)
+WHERE back <= 5"""))
+def keep_last_presses(spark, sf_dir):
+    df = events.flight_times(key_events(spark, sf_dir))
+    return stable(events.keep_last(df, 5, order=("press_time", "event_id")).select(
+        "event_id", "user_id", "session_id", "flight_time"))
 
 
 @query("dedup_raw_events", with_parts("raw", body=f"""

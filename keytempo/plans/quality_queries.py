@@ -349,6 +349,18 @@ def session_gate(spark, sf_dir):
     return stable(validation.session_gate(pairing.pair_live(down_up(spark, sf_dir))))
 
 
+@query("session_evidence", with_parts("gated", "tel", body=f"""
+SELECT g.user_id, g.session_id, total_paired_events, valid_dwell_count, valid_flight_count,
+  reasons, {r('g.duration_seconds')} AS duration_seconds, {r('mean_dwell_ms')} AS mean_dwell_ms,
+  {r('median_flight_ms')} AS median_flight_ms, {r('estimated_wpm')} AS estimated_wpm
+FROM gated g JOIN tel t ON g.user_id = t.user_id AND g.session_id = t.session_id"""))
+def session_evidence(spark, sf_dir):
+    return stable(validation.session_evidence(down_up(spark, sf_dir)).select(
+        "user_id", "session_id", "total_paired_events", "valid_dwell_count",
+        "valid_flight_count", "reasons", "duration_seconds", "mean_dwell_ms",
+        "median_flight_ms", "estimated_wpm"))
+
+
 part("spans", "features", sql="""
 SELECT user_id, session_id, n, first_label, unnest(range(0, (n - 10) // 5 + 1)) AS window_index
 FROM (SELECT user_id, session_id, count(*) AS n, arg_min(state, sequence_index) AS first_label
@@ -375,17 +387,10 @@ def training_readiness(spark, sf_dir):
         labelled_windows(spark, sf_dir), timesteps=10, features=6))
 
 
-def labelled_features(spark, sf_dir):
-    """Event features with the session's condition."""
-    rows = events.event_features(down_up(spark, sf_dir))
-    number = F.col("user_id").cast("long")
-    return rows.withColumn("state", F.when(number % 2 == 1, "stressed").otherwise("neutral"))
-
-
-def labelled_windows(spark, sf_dir):
-    return windows.sliding_windows(
-        labelled_features(spark, sf_dir), length=10, stride=5, label="state",
-        times=("press_time", "release_time"))
+def labelled_windows(spark, sf_dir, **options):
+    """Windows of ten events every five, labelled with the session's condition."""
+    spec = windows.Windows(length=10, stride=5, label="state", **options)
+    return windows.live_windows(down_up(spark, sf_dir), spec)
 
 
 # --- chart series -----------------------------------------------------------------------------

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from keytempo.functions.columns import map_condition, mask_key
-from keytempo.operators import adapt, assessments, baselines, evaluation, features, pairing
-from keytempo.operators import privacy, validation
+from keytempo.operators import adapt, assessments, baselines, evaluation, privacy
+from keytempo.operators import validation
 from keytempo.plans.baseline_queries import LEVEL_SQL, indexed
 from keytempo.plans.event_queries import session_table
 from keytempo.plans.key_events import down_up, key_events, stable, table
@@ -417,8 +417,7 @@ LEFT JOIN (SELECT * FROM shares WHERE place = 1) place USING (user_id, session_i
 
 
 def assessed(spark, sf_dir, top=False):
-    raw = down_up(spark, sf_dir)
-    gate = validation.session_gate(pairing.pair_live(raw))
+    evidence = validation.session_evidence(down_up(spark, sf_dir))
     counts = key_events(spark, sf_dir).groupBy("user_id", "session_id", "key_token").agg(
         F.count(F.lit(1)).cast("double").alias("n"))
     probs = counts.groupBy("user_id", "session_id").agg(F.map_from_entries(
@@ -430,7 +429,7 @@ def assessed(spark, sf_dir, top=False):
         ranked = baselines.top_deviations(baselines.session_deviation(
             sessions, baselines.user_baselines(sessions)))
     return assessments.assess_sessions(
-        gate, features.telemetry(raw), indexed(spark, sf_dir), prediction, ranked)
+        evidence, indexed(spark, sf_dir), prediction, ranked)
 
 
 @query("assessments", with_parts("judgement", body=f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keytempo import names
 from keytempo.operators.assessments import flatten_assessments
-from keytempo.operators.baselines import wide_baselines
+from keytempo.operators.baselines import profiles, wide_baselines
 from keytempo.operators.privacy import redact
 
 ROWS_PER_FILE = 5_000_000
@@ -45,12 +45,11 @@ def save_baselines(baselines: DataFrame, folder: str) -> None:
 
 
 def nest_baselines(baselines: DataFrame) -> DataFrame:
-    """One row per person with all features in a map (at most one entry per feature name)."""
-    stats = F.struct("mean", "std", "median", "mad", "iqr", "min", "max", "sample_count")
-    entry = F.when(F.col("feature").isNotNull(), F.struct("feature", stats.alias("s")))
-    return baselines.groupBy(
-        "user_id", "baseline_status", "session_count", "min_required_sessions",
-    ).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("features"))
+    """One row per person with all features in a map."""
+    required = baselines.groupBy("user_id").agg(
+        F.first("min_required_sessions").alias("min_required_sessions"))
+    return profiles(baselines).withColumnRenamed("_profile", "features").join(
+        required, "user_id")
 
 
 def load_baselines(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,8 +31,10 @@ def deviation_of_closed(closed: DataFrame, baselines: DataFrame) -> DataFrame:
     """Deviation index of session window rows against stored baselines."""
     features = closed.select(
         "user_id", "session_id", *[F.col(c).alias(f) for c, f in METRICS.items()])
-    deviations = bl.session_deviation(features, baselines, features=list(METRICS.values()))
-    return bl.deviation_index(deviations)
+    index = bl.session_index(features, baselines, features=list(METRICS.values()))
+    return index.select("user_id", "session_id", F.when(
+        F.col("evaluated_features") > 0, F.col("typing_deviation_index"))
+        .alias("typing_deviation_index"))
 
 
 def score_sink(

@@ -86,4 +86,9 @@ def test_small_groups_plan_has_one_exchange(spark, sf):
 
 
 def test_limit_follows_input_size(spark, sf):
-    assert groups.group_limit(key_events(spark, sf)) == groups.GROUP_ROWS
+    size = groups.estimated_bytes(key_events(spark, sf))
+    assert 0 < size < groups.TASK_BYTES
+    assert groups.group_limit(size) == groups.GROUP_ROWS
+    keys = groups.KEY_ENTRY_BYTES * (10**13 // groups.ROW_BYTES) / groups.group_limit(10**13)
+    assert keys <= groups.KEY_LIST_BYTES
+    assert groups.group_limit(10**18) == groups.GROUP_ROWS_MAX
