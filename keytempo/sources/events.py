@@ -47,10 +47,18 @@ def read_events(
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, size and time of the files of a folder; contents are not read."""
-    return spark.read.format("binaryFile").load(folder).select(
+    """Name, size and time of the files of a folder; contents are not read.
+
+    A scan leaves out empty files, so the names come from the file index.
+    """
+    scan = spark.read.format("binaryFile").load(folder)
+    names_found = [(p.rstrip("/").rsplit("/", 1)[-1],) for p in scan.inputFiles()]
+    listed = spark.createDataFrame(names_found, "file_name string")
+    sized = scan.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "path", "length", "modificationTime")
+        "length", "modificationTime")
+    return listed.join(sized, "file_name", "left").withColumn(
+        "length", F.coalesce("length", F.lit(0)))
 
 
 def discover_datasets(spark: SparkSession, folder: str) -> DataFrame:

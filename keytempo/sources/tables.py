@@ -81,7 +81,7 @@ def list_sessions(spark: SparkSession, folder: str) -> DataFrame:
     BLOCKED and show nothing of their content.
     """
     docs = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+        spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
         .select(
             F.col("value").alias("assessment_json"),
             F.col("_metadata.file_name").alias("file_name"),

@@ -145,7 +145,7 @@ class PairKeys(StatefulProcessor):
                 self.pending.clear()
                 released, backspace, paused = None, None, True
             elif kind == "resume":
-                released, paused = None, False
+                paused = False  # the pause has already reset everything
             elif paused:
                 continue
             elif kind == "down":
