@@ -6,6 +6,9 @@ person's week, error events are backspaces, and odd user numbers form the second
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,9 @@ def down_up(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("e"), F.col("r.raw_id").cast("string")).alias("event_id"),
         "r.raw_id",
     )
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/keytempo-stream-{uuid.uuid4().hex}"

@@ -320,10 +320,40 @@ def dataset_verdict(spark, sf_dir):
     return validation.dataset_verdict(validation.validate_dataset(delivered(spark, sf_dir)))
 
 
-@query("feature_manifest")
+_MANIFEST = {  # feature suffix or name: (source columns or NULL, share of presses that have it)
+    "dwell_time": ("'press_time+release_time'", "1.0"), "flight_time": ("'flight_time'", "f"),
+    "pause_rate": ("'flight_time'", "f"), "pause_duration": ("'flight_time'", "f"),
+    "long_pause_count": ("'flight_time'", "f"),
+    "typing_speed_wpm": ("'press_time+release_time'", "1.0"),
+    "backspaces": ("'backspace'", "1.0"), "backspace_rate": ("'backspace'", "1.0"),
+    "errors": ("'error_flag'", "1.0"), "error_rate": ("'error_flag'", "1.0"),
+    "completion_time": ("NULL", "0.0"), "completion_variability": ("NULL", "0.0"),
+    "session_duration_sec": ("'press_time'", "1.0"), "keystroke_count": ("'press_time'", "1.0"),
+}
+_FEATURES = (
+    [f"{s}_dwell_time" for s in ("mean", "median", "std", "min", "max", "p25", "p75", "cv", "mad")]
+    + [f"{s}_flight_time" for s in ("mean", "median", "std", "min", "max", "cv", "mad")]
+    + ["pause_rate", "mean_pause_duration", "median_pause_duration", "max_pause_duration",
+       "long_pause_count", "mean_typing_speed_wpm", "median_typing_speed_wpm",
+       "std_typing_speed_wpm", "total_backspaces", "backspace_rate", "total_errors", "error_rate",
+       "mean_word_completion_time", "word_completion_variability", "session_duration_sec",
+       "keystroke_count"])
+
+
+def _manifest_row(name: str) -> str:
+    source, share = next(v for k, v in _MANIFEST.items() if name.endswith(k))
+    return (f"SELECT '{name}' AS feature_name, {source} IS NOT NULL AS available, "
+            f"CAST({source} AS VARCHAR) AS source_columns, {r(f'CAST({share} AS DOUBLE)')} "
+            "AS non_null_share FROM n")
+
+
+@query("feature_manifest", with_parts("fl", body="""
+, n AS (SELECT count(flight) / count(*) AS f FROM fl)
+""" + unpivoted(map(_manifest_row, _FEATURES))))
 def feature_manifest(spark, sf_dir):
     return stable(validation.feature_manifest(
-        events.flight_times(key_events(spark, sf_dir)).drop("timestamp")))
+        events.flight_times(key_events(spark, sf_dir)).drop("timestamp")).select(
+            "feature_name", "available", "source_columns", "non_null_share"))
 
 
 part("gate", "pairs", sql="""

@@ -11,10 +11,11 @@ from keytempo.operators import adapt, assessments, baselines, evaluation, privac
 from keytempo.operators import validation
 from keytempo.plans.baseline_queries import LEVEL_SQL, indexed
 from keytempo.plans.event_queries import session_table
-from keytempo.plans.key_events import down_up, key_events, stable, table
+from keytempo.plans.key_events import down_up, key_events, scratch, stable, table
 from keytempo.plans.registry import query
 from keytempo.plans.sql import part, r, with_parts
 from keytempo.sources import events as event_sources
+from keytempo.sources import tables
 
 SECRET = "example-secret"  # for checks on generated tables only
 KEY = b"0123456789abcdef"
@@ -454,6 +455,51 @@ def reports(spark, sf_dir):
     return assessments.render_reports(assessed(spark, sf_dir, top=True))
 
 
+@query("report_lines", with_parts("judgement", body="""
+SELECT user_id, session_id, '- **Paired events**: ' || total_paired_events AS events_line,
+  '- **Reasons**: ' || CASE WHEN reasons = '' THEN 'none' ELSE reasons END AS reasons_line,
+  '- **Class**: ' || predicted_class AS class_line FROM judgement"""))
+def report_lines(spark, sf_dir):
+    """Three lines of every Markdown report, cut out of the rendered text."""
+    text = assessments.render_reports(assessed(spark, sf_dir))
+    lines = F.split("markdown", "\n")
+
+    def line(label):
+        return F.get(F.filter(lines, lambda x: x.startswith(f"- **{label}**")), F.lit(0))
+
+    return text.select(
+        "user_id", "session_id", line("Paired events").alias("events_line"),
+        line("Reasons").alias("reasons_line"), line("Class").alias("class_line"))
+
+
+@query("recent_audit", """
+SELECT 'DP_QUERY_EXECUTED' AS event_type, 'RESEARCHER' AS actor_role, CAST(event_id AS VARCHAR)
+  AS query_id, '[REDACTED]' AS access_token FROM events ORDER BY ts DESC, event_id LIMIT 50""")
+def recent_audit(spark, sf_dir):
+    """Every event is logged as a query; the newest 50 are read back from the log."""
+    log = table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.lit("DP_QUERY_EXECUTED").alias("event_type"), F.lit("RESEARCHER").alias("actor_role"),
+        F.create_map(F.lit("query_id"), F.col("event_id").cast("string"),
+                     F.lit("access_token"), F.col("props")).alias("details"))
+    folder = f"{scratch(spark)}/audit"
+    tables.append_audit(log, folder)
+    return tables.recent_audit(spark, folder).select(
+        "event_type", "actor_role", F.col("details")["query_id"].alias("query_id"),
+        F.col("details")["access_token"].alias("access_token"))
+
+
+@query("baseline_round_trip", with_parts("base", body=f"""
+SELECT user_id, feature, sample_count, {r('mean')} AS mean, {r('std')} AS std,
+  {r('median')} AS median, {r('mad')} AS mad FROM base"""))
+def baseline_round_trip(spark, sf_dir):
+    """Baselines stored as nested JSON and read back."""
+    folder = scratch(spark)
+    tables.save_baselines(baselines.user_baselines(session_table(spark, sf_dir)), folder)
+    back = tables.load_baselines(spark, folder).filter("feature IS NOT NULL")
+    return stable(back.select("user_id", "feature", "sample_count", "mean", "std", "median", "mad"))
+
+
 @query("flatten_json", with_parts("judgement", body=f"""
 SELECT user_id, session_id, CASE WHEN reasons = '' THEN 'SESSION_VALID' ELSE 'INSUFFICIENT_DATA' END
     AS quality_verdict, reasons = '' AS is_valid, {r('duration_seconds')} AS duration_s,

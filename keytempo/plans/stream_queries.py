@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo.operators import baselines
 from keytempo.plans.event_queries import PAIR_SQL, session_table
-from keytempo.plans.key_events import stable, table
+from keytempo.plans.key_events import scratch, stable, table
 from keytempo.plans.registry import query
 from keytempo.plans.sql import part, r, with_parts
 from keytempo.streaming import keys, sinks
@@ -18,12 +15,6 @@ from keytempo.streaming import keys, sinks
 TICK_MS = 60_000.0
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/keytempo-stream-{uuid.uuid4().hex}"
-
-
 def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of down, up and clock rows.
 
