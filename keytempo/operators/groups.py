@@ -30,6 +30,7 @@ TASK_BYTES = 32 * 1024 * 1024
 KEY_ENTRY_BYTES = 64
 ROW_BYTES = 8
 CUTS = 1024
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 _SEG, _START = "_seg", "_start"
 
@@ -93,7 +94,8 @@ def over_groups(
         return body(SmallGroups(df.repartition(*keys) if colocate else df, keys, order))
     big = F.broadcast(pin(big))
     small = df.join(big, keys, "left_anti")
-    large = df.join(big, keys, "left_semi")
+    # Written once, so that no later step scans the whole input again for its large groups.
+    large = pin(df.join(big, keys, "left_semi"))
     return body(SmallGroups(small.repartition(*keys) if colocate else small, keys, order))\
         .unionByName(body(LargeGroups(large, keys, order, limit)))
 
@@ -185,13 +187,13 @@ class LargeGroups:
     """The same operations on groups too large for one task.
 
     ``rows`` carries a segment number that never decreases along the order.  ``derive`` builds
-    one summary row per segment, sums or looks up over the (at most 2 * CUTS) summaries of a
+    one summary row per segment, sums or looks up over the summaries of a
     group, joins the result back as the carry of a segment and finishes inside the segment.
     """
 
     def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int):
         self.keys, self.order, self.limit = list(keys), list(order), limit
-        self.rows = cut(rows, self.keys, self.order[0], limit) if self.order else rows
+        self.rows = cut(rows, self.keys, self.order, limit) if self.order else rows
         self._derived = False
 
     def derive(
@@ -330,31 +332,60 @@ class LargeGroups:
         return out.select(*self.keys, *plain, *quantiles, *mads)
 
 
-def cut(df: DataFrame, keys: Sequence[str], column: str, rows_per_segment: int) -> DataFrame:
-    """Add a segment number that never decreases with ``column`` inside a group.
+def cut(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_segment: int
+) -> DataFrame:
+    """Add a segment number that never decreases along ``order`` inside a group.
 
     Cut points come from a mergeable quantile sketch; any cut points give right results, good
     ones give even segments.  A group gets about rows / rows_per_segment of them, at most
-    CUTS - 1, so the broadcast is bounded by twice the number of segments.
+    CUTS - 1, so the broadcast is bounded by twice the number of segments.  A value of the first
+    column that fills several steps of the sketch (many equal times) becomes a segment of its
+    own, which is cut again by the second order column if that is a number.
     """
-    points = F.percentile_approx(column, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]))
-    wanted = F.ceil(F.col("_rows") / F.lit(rows_per_segment)) + 1
-    stride = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / wanted)).cast("int")
-    cuts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), points.alias("_points"))
+    keys, column = list(keys), order[0]
+    cuts = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), _points(column).alias("_points"))
+    repeated = F.array_distinct(F.filter(
+        F.col("_points"),
+        lambda x, i: (i > 0) & (x == F.get(F.col("_points"), i - 1))))
     cuts = cuts.select(
         *keys,
-        F.array_distinct(
-            F.filter(F.col("_points"), lambda _, i: (i + 1) % stride == 0)
-        ).alias("_cuts"),
-    )
-    return df.join(F.broadcast(cuts), list(keys)).withColumn(
-        _SEG, _cuts_below(F.col("_cuts"), F.col(column))
-    ).drop("_cuts")
+        F.array_distinct(F.concat(
+            _thinned(F.col("_points"), F.col("_rows"), rows_per_segment), repeated))
+        .alias("_cuts"),
+        repeated.alias("_ties"),
+    ).withColumn("_cuts", F.array_sort("_cuts"))
+    df = df.join(F.broadcast(cuts), keys)
+    tied = F.coalesce(F.array_contains("_ties", F.col(column)), F.lit(False))
+    place = _cuts_below(F.col("_cuts"), F.col(column)) * 2 + tied.cast("int")
+    df = df.withColumn(_SEG, place.cast("long") * CUTS).withColumn("_tied", tied)
+    if len(order) > 1 and dict(df.dtypes)[order[1]] in NUMBERS:
+        ties = df.filter("_tied").groupBy(*keys, _SEG).agg(
+            F.count(F.lit(1)).alias("_rows"), _points(order[1]).alias("_points"))
+        ties = ties.select(*keys, _SEG, _thinned(
+            F.col("_points"), F.col("_rows"), rows_per_segment).alias("_more"))
+        df = df.join(F.broadcast(ties), [*keys, _SEG], "left")
+        df = df.withColumn(_SEG, F.col(_SEG) + F.when(
+            F.col("_tied"), _cuts_below(F.col("_more"), F.col(order[1]))).otherwise(0))
+        df = df.drop("_more")
+    return df.drop("_cuts", "_ties", "_tied")
+
+
+def _points(column: str) -> Column:
+    return F.percentile_approx(column, F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]))
+
+
+def _thinned(points: Column, rows: Column, rows_per_segment: int) -> Column:
+    """Every n-th cut point, so that a segment has about ``rows_per_segment`` rows."""
+    wanted = F.ceil(rows / F.lit(rows_per_segment)) + 1
+    stride = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / wanted)).cast("int")
+    return F.array_distinct(F.filter(points, lambda _, i: (i + 1) % stride == 0))
 
 
 def _cuts_below(cuts: Column, value: Column) -> Column:
     """How many of the ascending cut points lie below ``value`` (binary search)."""
-    steps = F.array(*[F.lit(CUTS >> i) for i in range(1, CUTS.bit_length())])
+    steps = F.array(*[F.lit((2 * CUTS) >> i) for i in range(1, (2 * CUTS).bit_length())])
     found = F.aggregate(
         steps, F.lit(0),
         lambda at, step: F.when(
@@ -388,7 +419,7 @@ def exact_quantiles(
         ])).alias("_m"),
     ).select(*keys, "_m.*").filter(F.col("_value").isNotNull())
     counted = pin(long.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_w")))
-    pieces = cut(counted, by, "_value", rows_per_segment)
+    pieces = cut(counted, by, ["_value"], rows_per_segment)
 
     per_segment = pieces.groupBy(*by, _SEG).agg(F.sum("_w").alias("_t"))
     earlier = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)

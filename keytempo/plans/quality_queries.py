@@ -426,7 +426,7 @@ def labelled_windows(spark, sf_dir, **options):
 # --- chart series -----------------------------------------------------------------------------
 
 @query("hold_histogram", with_parts("fl", body=f"""
-SELECT bin, {r('bin * 25.0')} AS bin_start, {r('(bin + 1) * 25.0')} AS bin_end, count(*) AS events
+SELECT bin, {r('bin * 25.0::DOUBLE')} AS bin_start, {r('(bin + 1) * 25.0::DOUBLE')} AS bin_end, count(*) AS events
 FROM (SELECT CAST(greatest(0, least(19, floor(dwell / 25.0))) AS INTEGER) AS bin FROM fl)
 GROUP BY bin"""))
 def hold_histogram(spark, sf_dir):

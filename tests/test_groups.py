@@ -85,6 +85,16 @@ def test_small_groups_plan_has_one_exchange(spark, sf):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_segments_follow_the_order_and_split_equal_times(spark):
+    time = F.when(F.col("id") % 2 == 0, 500.0).otherwise(F.col("id") * 1.0)
+    df = spark.range(4000).select(F.lit("k").alias("k"), time.alias("t"), "id")
+    out = groups.cut(df, ["k"], ["t", "id"], 100)
+    sizes = [r["count"] for r in out.groupBy("_seg").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 30 and max(sizes) <= 300
+    ordered = [r._seg for r in out.orderBy("t", "id").collect()]
+    assert ordered == sorted(ordered)
+
+
 def test_limit_follows_input_size(spark, sf):
     size = groups.estimated_bytes(key_events(spark, sf))
     assert 0 < size < groups.TASK_BYTES
