@@ -196,6 +196,15 @@ COMPARED_METRICS = {
     "backspace_count": "Corrections",
 }
 
+# --- fixed values: bands of the strain heuristic ----------------------------------------------
+
+STRAIN_CATEGORIES = {
+    "unknown": "Insufficient Data",
+    "low": "Low Strain (Fluent Rhythm)",
+    "moderate": "Moderate Strain (Occasional Hesitation)",
+    "high": "High Strain (Fragmented Rhythm / Fatigue Indicators)",
+}
+
 # --- fixed values: assessment states ----------------------------------------------------------
 
 ASSESSMENT_STATES = (

@@ -334,10 +334,10 @@ def strain_score(timing: DataFrame) -> DataFrame:
     )
     score = F.when(enough, F.round(score, 1)).otherwise(0.0)
     category = (
-        F.when(~enough, "Insufficient Data")
-        .when(score < 35, "Low Strain (Fluent Rhythm)")
-        .when(score < 70, "Moderate Strain (Occasional Hesitation)")
-        .otherwise("High Strain (Fragmented Rhythm / Fatigue Indicators)")
+        F.when(~enough, names.STRAIN_CATEGORIES["unknown"])
+        .when(score < 35, names.STRAIN_CATEGORIES["low"])
+        .when(score < 70, names.STRAIN_CATEGORIES["moderate"])
+        .otherwise(names.STRAIN_CATEGORIES["high"])
     )
     return timing.withColumns({
         "strain_score": score,

@@ -6,7 +6,7 @@ executor only repeats the step it worked on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo import names
@@ -144,24 +144,28 @@ def run_training(
     }
 
 
+def _series(i: int) -> Column:
+    return F.transform("values", lambda v: v[i].cast("double"))
+
+
+def _mean(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+
+
+def _spread(xs: Column, mean: Column) -> Column:
+    return F.sqrt(_mean(F.transform(xs, lambda x: (x - mean) * (x - mean))))
+
+
 def _vectors(parts: DataFrame, features_in: list[str]) -> DataFrame:
     """Summary vector of each stored window; a window holds a fixed number of steps."""
-    added = {}
-    for i, f in enumerate(features_in):
-        xs = F.transform("values", lambda v, i=i: v[i].cast("double"))
-        n = F.size("values")
-        mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
-        added[f"_x_{f}"] = F.array_sort(xs)
-        added[f"mean_{f}"] = mean
-    out = parts.withColumns(added)
-    n = F.size("values")
-    middle = ((n - 1) / 2)
+    out = parts.withColumns({
+        f"_x_{f}": F.array_sort(_series(i)) for i, f in enumerate(features_in)})
+    out = out.withColumns({f"mean_{f}": _mean(F.col(f"_x_{f}")) for f in features_in})
+    middle = (F.size("values") - 1) / 2
     for f in features_in:
-        xs, mean = F.col(f"_x_{f}"), F.col(f"mean_{f}")
+        xs = F.col(f"_x_{f}")
         out = out.withColumns({
-            f"std_{f}": F.sqrt(F.aggregate(
-                F.transform(xs, lambda x, m=mean: (x - m) * (x - m)), F.lit(0.0),
-                lambda a, x: a + x) / n),
+            f"std_{f}": _spread(xs, F.col(f"mean_{f}")),
             f"median_{f}": (F.get(xs, F.floor(middle)) + F.get(xs, F.ceil(middle))) / 2.0,
             f"min_{f}": F.array_min(xs),
             f"max_{f}": F.array_max(xs),

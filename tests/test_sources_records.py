@@ -124,3 +124,26 @@ def test_feature_run_writes_everything(spark, sf, tmp_path):
     means = train.agg(F.avg("mean_dwell_time")).first()[0]
     assert abs(means) < 1e-9
     assert "key" not in spark.read.parquet(f"{tmp_path}/out/events").columns
+
+
+def test_training_run(spark, sf, tmp_path):
+    df = key_events(spark, sf).withColumn("d", F.col("release_time") - F.col("press_time"))
+    win = windows.sliding_windows(
+        df, ("d",), length=4, stride=2, order=("press_time", "event_id"), label="state")
+    tables.write_windows(win, f"{tmp_path}/w")
+    out = feature_run.run_training(
+        f"{tmp_path}/w", spark, ["d"], kind="logistic_regression")
+    assert out["readiness"].filter("severity = 'error' AND NOT passed").count() == 0
+    assert out["audit"].filter("NOT passed").count() == 0
+    metrics = {r.split: r for r in out["metrics"].collect()}
+    assert set(metrics) == {"train", "val", "test"}
+    assert sum(r.samples_evaluated for r in metrics.values()) == win.count()
+    assert out["confusion"].count() == 4 and out["gaps"].count() == 1
+    exact = windows.window_aggregates(
+        df, ("d",), length=4, stride=2, order=("press_time", "event_id"))
+    pairs = exact.join(out["scores"].select(
+        "user_id", "session_id", "window_index", F.col("std_d").alias("s"),
+        F.col("median_d").alias("m")), ["user_id", "session_id", "window_index"])
+    worst = pairs.agg(F.max(F.abs(F.col("std_d") - F.col("s"))),
+                      F.max(F.abs(F.col("median_d") - F.col("m")))).first()
+    assert max(worst) < 1e-3
