@@ -47,20 +47,20 @@ def hex_number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], into: str) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], into: str, digits: int = 3) -> DataFrame:
     """Number the rows of each group from 0, in a fixed order, however large a group is.
 
-    Rows are dealt to 4,096 buckets by a hash of the order columns and sorted there; bucket totals give the offsets,
-    at most 4,096 rows per group.  Rows equal in all order columns take their numbers in any order.
+    Rows are dealt to 16**digits buckets by a hash of the order columns and sorted there; bucket totals give the offsets,
+    one row per group and bucket.  Rows equal in all order columns take their numbers in any order.
     """
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in order])
-    rows = df.withColumn("_b", hex_number(F.md5(text.cast("binary")), 3))
+    rows = df.withColumn("_b", hex_number(F.md5(text.cast("binary")), digits))
     totals = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_b").alias("_o"),
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     if not group:
-        offsets = F.broadcast(offsets)  # 4,096 rows at most
+        offsets = F.broadcast(offsets)  # 16**digits rows at most
     inside = Window.partitionBy(*group, "_b").orderBy(*order)
     rows = rows.withColumn("_r", F.row_number().over(inside))
     on = [rows[c] == offsets[f"_g_{c}"] for c in group] + [rows["_b"] == offsets["_o"]]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from keytempo.llm import chat, oracles, packing, sharding
+from keytempo.llm import chat, decontamination, language_id, oracles, packing, pii, sharding
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_perspective_rotation": chat.op2_perspective_rotation,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_surrogates": pii.op7_surrogates,
+    "op8_language_id": language_id.op8_language_id,
     "op9_feistel_shards": sharding.op9_feistel_shards,
 }
 
