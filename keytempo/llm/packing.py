@@ -128,7 +128,7 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     intervals = spark.createDataFrame(
         plan(histogram, sizes),
         "p_length int, p_rank long, p_count long, p_bin long, bin_offset int, bin_capacity int, bin_content int")
-    rows = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank")
+    rows = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank", digits=2)
     found = rows.join(F.broadcast(intervals), (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("p_rank"))
                       & (F.col("_rank") < F.col("p_rank") + F.col("p_count")), "left")
     return found.select("doc_id", "piece", "first_word", "length",
