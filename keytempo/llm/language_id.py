@@ -27,9 +27,13 @@ def training_rows(docs: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str
     smallest hashes of doc_id, and cuts from hashed places anywhere in their texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     share = hex_number(F.md5(F.col("doc_id").cast("string").cast("binary")), 12) / float(1 << 48)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    some = (known.select("doc_id", "text", "lang", share.alias("_h")).join(counts, "lang")
-            .where(F.col("_h") * F.col("_n") <= 2 * per_label)  # about twice the wanted number; all where there are few
+    # The network has an output per label, so the labels are few; the rows are many and aren't shuffled.
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 2.0 * per_label / n)])[F.col("lang")]
+    some = (known.select("doc_id", "text", "lang", share.alias("_h"))
+            .where(F.col("_h") <= limit)  # about twice the wanted number; all where there are few
             .withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))))
             .where(F.col("_k") <= per_label))
     cuts = some.select("lang", "_h", "doc_id", F.posexplode(F.transform(
