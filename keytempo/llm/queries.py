@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from keytempo.llm import chat, decontamination, language_id, oracles, packing, pii, sharding
+from keytempo.llm import (
+    block_dedup,
+    chat,
+    decontamination,
+    embedding_dedup,
+    language_id,
+    ngram_join,
+    oracles,
+    packing,
+    pii,
+    sharding,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_perspective_rotation": chat.op2_perspective_rotation,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+    "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_surrogates": pii.op7_surrogates,
     "op8_language_id": language_id.op8_language_id,
+    "op10_fixed_block_anchors": block_dedup.op10_fixed_block_anchors,
     "op9_feistel_shards": sharding.op9_feistel_shards,
 }
 
