@@ -75,7 +75,8 @@ def run_rows(texts: DataFrame, buckets: int, places: int, run: int, block: int)
             key, did, tag, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             lost = smallest(key, did)
-            out = [(-1, d, t, None, a) for d, t, a in by_text(did[lost], tag[lost], at[lost])]
+            out = [(buckets + shard, rows, None) for shard, rows in
+                   repeats.sharded(np.stack([tag[lost], did[lost], at[lost]], 1), buckets)]
             key, did, tag, at = key[~lost], did[~lost], tag[~lost], at[~lost]
             bucket = (key[:, 0] % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((at, tag, did, bucket))
@@ -83,13 +84,13 @@ def run_rows(texts: DataFrame, buckets: int, places: int, run: int, block: int)
                 if len(g):
                     lengths = np.flatnonzero(np.concatenate([[True], (did[g][1:] != did[g][:-1]) | (tag[g][1:] != tag[g][:-1])]))
                     head = np.stack([did[g][lengths], tag[g][lengths], np.diff(np.append(lengths, len(g)))], 1)
-                    out.append((int(bucket[g[0]]), None, None,
+                    out.append((int(bucket[g[0]]),
                                 key[g][:, 0].tobytes() + (key[g][:, 1].astype(np.uint32)).tobytes(),
                                 head.astype(np.int64).tobytes() + at[g].astype(np.int64).tobytes()))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(
-                    (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                names=["bucket", "did", "tag", "keys", "starts"])
+                    (pa.int32(), pa.binary(), pa.binary()))],
+                names=["bucket", "keys", "starts"])
 
         held = 0
         for batch in batches:
@@ -98,7 +99,7 @@ def run_rows(texts: DataFrame, buckets: int, places: int, run: int, block: int)
                 words, first, _, _ = hashed_words(data, np.array([0, len(data)]))
                 _, at = windows(words, first, block, run)
                 key = common.spans(common.sums(words), at, at + block)
-                known = np.unique(np.concatenate([np.frombuffer(h.as_buffer(), np.uint64) for h in hits.values]))
+                known = np.unique(np.frombuffer(hits.as_buffer(), np.uint64))
                 starts = runs_around(words, np.flatnonzero(np.isin(repeats.place(key, places), known)), run, block)
                 if len(starts):
                     one = common.spans(common.sums(words), starts, starts + run)
@@ -112,20 +113,11 @@ def run_rows(texts: DataFrame, buckets: int, places: int, run: int, block: int)
         if parts:
             yield flush()
 
-    return texts.mapInArrow(offer, "bucket int, did long, tag long, keys binary, starts binary")
+    return texts.mapInArrow(offer, "bucket int, keys binary, starts binary")
 
 
-def by_text(did: np.ndarray, tag: np.ndarray, at: np.ndarray):
-    order = np.lexsort((at, tag, did))
-    did, tag, at = did[order], tag[order], at[order]
-    cut = np.flatnonzero((np.diff(did) != 0) | (np.diff(tag) != 0)) + 1
-    if len(did):
-        for g in np.split(np.arange(len(did)), cut):
-            yield int(did[g[0]]), int(tag[g[0]]), at[g].astype(np.int64).tobytes()
-
-
-def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Starts of the runs of a bucket that a smaller document holds, per text."""
+def settle(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """Starts of the runs of a bucket that a smaller document holds."""
     keys, dids, tags, ats = [], [], [], []
     for k, s in zip(pdf["keys"], pdf["starts"], strict=True):
         n = len(k) // 12
@@ -137,7 +129,7 @@ def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         ats.append(at)
     key, did, tag, at = (np.concatenate(x) for x in (keys, dids, tags, ats))
     lost = smallest(key, did)
-    return pd.DataFrame(list(by_text(did[lost], tag[lost], at[lost])), columns=["did", "tag", "starts"])
+    return repeats.frame(repeats.sharded(np.stack([tag[lost], did[lost], at[lost]], 1), shards))
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -159,11 +151,8 @@ def remove_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     found = repeats.shared_keys(long_rows, lambda data, offsets: probes(data, offsets, run, block), buckets)
     texts = stored(repeats.holders(long_rows, found), "run-texts")
     offered = run_rows(texts, buckets, buckets, run, block)
-    settled = offered.withColumn("bucket", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(
-        F.lit(buckets) + F.pmod(F.hash("did", "tag"), F.lit(buckets)))).groupBy("bucket").applyInPandas(
-        lambda pdf: pdf[["did", "tag", "starts"]] if pdf["bucket"].iloc[0] >= buckets else settle(pdf),
-        "did long, tag long, starts binary")
-    gone = settled.groupBy("did", "tag").agg(F.collect_list("starts").alias("starts"))
+    gone = repeats.merged(repeats.settled(offered, lambda pdf: settle(pdf, buckets), buckets, "keys"), 2, 3).select(
+        F.col("k1").alias("did"), F.col("k0").alias("tag"), F.col("rows").alias("starts"))
 
     def cut(batches):
         for batch in batches:
@@ -171,7 +160,7 @@ def remove_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
             for did, tag, text, starts in zip(*(batch.column(c) for c in ("did", "tag", "text", "starts")), strict=True):
                 data = np.frombuffer(text.as_py().encode(), np.uint8)
                 begin, end, _ = common.find_words(data, np.array([0, len(data)]))
-                at = np.unique(np.concatenate([np.frombuffer(s.as_buffer(), np.int64) for s in starts.values]))
+                at = np.unique(np.frombuffer(starts.as_buffer(), np.int64))
                 lost = repeats.ranges_covered(at, run, len(begin))
                 raw, digest, first = data.tobytes(), hashlib.sha256(), True
                 for b, e in zip(begin[~lost].tolist(), end[~lost].tolist(), strict=True):

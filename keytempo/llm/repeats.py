@@ -67,10 +67,8 @@ def shared_keys(rows: DataFrame, keys_of: Callable, buckets: int) -> DataFrame:
                 return []
             known, first, flag, several = local_keys(where, owner, anchor)
             out = []
-            known = known[np.argsort(owner[known], kind="stable")]
-            for at in np.split(known, np.flatnonzero(np.diff(owner[known])) + 1):
-                if len(at):
-                    out.append((-1, int(owner[at[0]]), np.unique(where[at]).tobytes(), None, None))
+            out += [(buckets + shard, rows, None, None) for shard, rows in
+                    sharded(np.stack([owner[known], where[known].view(np.int64)], 1), buckets)]
             again = np.argsort(first, kind="stable")  # back to the order of documents, so that owners form runs
             first, flag, several = first[again], flag[again], several[again]
             bucket = (where[first] >> np.uint64(KEPT)).astype(np.uint32)
@@ -80,15 +78,15 @@ def shared_keys(rows: DataFrame, keys_of: Callable, buckets: int) -> DataFrame:
                 packed = (low << np.uint64(1)) | (flag[at]).astype(np.uint64)
                 own = owner[first[at]]
                 run = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                out.append((int(bucket[at[0]]), None, packed.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
+                out.append((int(bucket[at[0]]), packed.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
                             own[run].tobytes(), np.diff(np.append(run, len(own))).astype(np.uint32).tobytes()))
             return out
 
         def rows_out(found):
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in found], t) for i, t in enumerate(
-                    (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                names=["bucket", "tag", "keys", "owners", "runs"])
+                    (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                names=["bucket", "keys", "owners", "runs"])
 
         held = 0
         for batch in batches:
@@ -125,20 +123,45 @@ def shared_keys(rows: DataFrame, keys_of: Callable, buckets: int) -> DataFrame:
         anchored = np.logical_or.reduceat((key & np.uint64(1)).astype(bool), begin)
         hit = (several & anchored)[group]
         where, owner = (bucket << np.uint64(KEPT)) | low[hit], owner[hit]
-        order = np.argsort(owner, kind="stable")
-        where, owner = where[order], owner[order]
-        cut = np.flatnonzero(np.diff(owner)) + 1
-        return pd.DataFrame({"tag": owner[np.concatenate([[0], cut])] if len(owner) else owner,
-                             "places": [x.tobytes() for x in np.split(where, cut)] if len(owner) else []})
-
-    offered = rows.select("tag", "text").mapInArrow(
-        offer, "bucket int, tag long, keys binary, owners binary, runs binary")
-    # A task's own findings leave through the same stage, so that texts are read once.
-    met = offered.withColumn("bucket", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(
-        F.lit(buckets) + F.pmod(F.hash("tag"), F.lit(buckets)))).groupBy("bucket").applyInPandas(
-        lambda pdf: pdf[["tag", "keys"]].rename(columns={"keys": "places"}) if pdf["bucket"].iloc[0] >= buckets else meet(pdf),
-        "tag long, places binary")
-    return met.groupBy("tag").agg(F.collect_list("places").alias("places"))
+        return frame(sharded(np.stack([owner, where.view(np.int64)], 1), buckets))
+
+    offered = rows.select("tag", "text").mapInArrow(offer, "bucket int, keys binary, owners binary, runs binary")
+    return merged(settled(offered, meet, buckets, "keys"), 1, 2).select(F.col("k0").alias("tag"), F.col("rows").alias("places"))
+
+
+def sharded(rows: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """Rows of numbers, the name of a text (a hash) first, packed by a shard of the texts."""
+    shard = (common.mix(rows[:, 0].astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order])) + 1
+    return [(int(shard[g[0]]), np.ascontiguousarray(rows[g], np.int64).tobytes()) for g in np.split(order, cut) if len(g)]
+
+
+def frame(found: list[tuple[int, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=["shard", "rows"])
+
+
+def settled(offered: DataFrame, settle: Callable, buckets: int, passing: str) -> DataFrame:
+    """(shard, rows) of ``settle`` for each bucket.  What tasks settled on their own stands in buckets from ``buckets`` on and
+    leaves through the same stage, so that texts are read once."""
+    return offered.groupBy("bucket").applyInPandas(
+        lambda pdf: settle(pdf) if pdf["bucket"].iloc[0] < buckets
+        else pd.DataFrame({"shard": pdf["bucket"] - buckets, "rows": pdf[passing]}), "shard int, rows binary")
+
+
+def merged(shards: DataFrame, names: int, width: int) -> DataFrame:
+    """One row per text: its name (``names`` numbers k0, k1) and the rest of its rows of ``width`` numbers, packed."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(pdf["rows"]), np.int64).reshape(-1, width)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        key = rows[:, :names]
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        ends = np.append(begin[1:], len(rows))
+        rest = np.ascontiguousarray(rows[:, names:])
+        return pd.DataFrame({**{f"k{i}": key[begin, i] for i in range(names)},
+                             "rows": [rest[b:e].tobytes() for b, e in zip(begin, ends, strict=True)]})
+
+    return shards.groupBy("shard").applyInPandas(merge, ", ".join(f"k{i} long" for i in range(names)) + ", rows binary")
 
 
 def holders(rows: DataFrame, found: DataFrame) -> DataFrame:
