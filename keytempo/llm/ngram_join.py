@@ -3,13 +3,15 @@
 A document's set is its distinct shingles as 52-bit hashes.  Documents with equal sets are one class.  Two sets with
 Jaccard >= t share a token among the first |S| - ceil(t |S|) + 1 of each under *any* global order of the tokens:
 
-* order 1 puts tokens of frequent cells of a counting sketch over all documents last, so it starts with rare tokens.  Its
-  prefixes are dealt to buckets by token and give the candidates.
-* orders 2 and 3 are two hash orders; candidates must share a prefix token under these too before the sets are compared.
+* order 1 sorts tokens by the count of their cell in a counting sketch over all documents, so it starts with rare tokens.
+  Its prefixes are dealt to buckets by token and give the candidates.
+* orders 2 and 3 are two hash orders; candidates must share a prefix token under these too, and may not differ there in more
+  tokens than linked sets can, before the sets are compared.
 
 A token group of more than ``SMALL`` classes gives only pairs with its centre (its smallest class) first.  After these are
 verified and joined into components, a second round looks at the groups again and takes every pair of classes that are still
-in different components, unless their distances to the centre (Jaccard distance is a metric) rule it out.  Every linked pair
+in different components, unless their distances to the centre (Jaccard distance is a metric)
+rule it out.  Every linked pair
 shares a group, so it is either inside one component already or compared; components are exact.
 """
 
@@ -20,12 +22,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keytempo.llm import common
 from keytempo.llm.common import stored, table
 from keytempo.llm.graph import components
 
-HASH, CELLS = 52, 16
+#: Bits of a token's hash, and of a cell of the sketch of token counts.
+HASH, CELLS, CHUNK = 52, 20, 1 << 14
+LAST = (1 << 63) - 1
 SMALL = 3
 #: Prefix tokens per bucket, about; the number of buckets follows the data.
 BUCKET_TOKENS = 250_000
@@ -80,35 +85,45 @@ def first_of(doc: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
 def scan(docs: DataFrame, n: int) -> DataFrame:
     """Per document its set's size and fingerprint; per task one row with the sketch of its token counts."""
     def run(batches):
-        cells = np.zeros(1 << CELLS, np.int64)
+        cells = np.zeros(1 << CELLS, np.int32)
         for batch in batches:
+            at = 0
             for ids, data, offsets in common.text_slices(batch.column(0), batch.column(1)):
                 doc, token = shingle_sets(data, offsets, n)
                 size, fp = fingerprints(doc, token, len(ids))
-                cells += np.bincount((token >> np.uint64(HASH - CELLS)).astype(np.int64), minlength=1 << CELLS)
+                cells += np.bincount((token >> np.uint64(HASH - CELLS)).astype(np.int64), minlength=1 << CELLS).astype(np.int32)
+                some = batch.slice(at, len(ids))
+                at += len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, batch.schema.types[0], from_pandas=True), pa.array(size.astype(np.int64)), pa.array(fp),
-                     pa.nulls(len(ids), pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "cells"])
+                    [some.column("doc_id"), some.column("tag"), pa.array(size.astype(np.int64)), pa.array(fp),
+                     pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+        parts = [c.tobytes() for c in np.split(cells, len(cells) // CHUNK)] if cells.any() else []
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, kind), pa.nulls(1, pa.int64()),
-             pa.nulls(1, pa.int64()), pa.array([cells.tolist()], pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "cells"])
+            [pa.nulls(len(parts), kind), *[pa.nulls(len(parts), pa.int64())] * 3, pa.array(range(len(parts)), pa.int32()),
+             pa.array(parts, pa.binary())], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    names = ["doc_id", "tag", "n", "fp", "chunk", "cells"]
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
     name = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {name}, n long, fp long, cells array<long>")
+    return docs.select(F.lit(0).alias("i"), "text", "doc_id", F.xxhash64("text").alias("tag")).mapInArrow(
+        run, f"doc_id {name}, tag long, n long, fp long, chunk int, cells binary")
 
 
 def rarity(scanned: DataFrame) -> np.ndarray:
-    """A level 0..63 per cell of the sketch (65,536 in all): how far its count is above what chance gives."""
-    rows = (scanned.where("cells is not null").select(F.posexplode("cells").alias("cell", "n"))
-            .groupBy("cell").agg(F.sum("n").alias("n")).collect())
-    count = np.zeros(1 << CELLS)
-    for r in rows:
-        count[r.cell] = r.n
+    """A level 0..63 per cell of the sketch (1,048,576 in all): its count in standard deviations from the median."""
+    def total(kind):
+        return lambda pdf: pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "cells": [
+            np.sum([np.frombuffer(c, kind) for c in pdf["cells"]], axis=0, dtype=np.int64).tobytes()]})
+
+    rows = scanned.where("cells is not null").select("chunk", "cells", F.pmod(F.xxhash64("cells"), F.lit(256)).alias("g"))
+    rows = rows.groupBy("chunk", "g").applyInPandas(total(np.int32), "chunk int, cells binary")  # never all tasks in one group
+    rows = rows.groupBy("chunk").applyInPandas(total(np.int64), "chunk int, cells binary")
+    count = np.zeros((1 << CELLS) // CHUNK * CHUNK)
+    for r in rows.collect():
+        count[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.int64)
     middle = np.median(count)
-    above = (count - middle) / max(1.0, np.sqrt(middle))
-    return np.where(above > 6, np.minimum(63, np.log2(np.maximum(above, 1)).astype(np.int64) + 1), 0).astype(np.uint64)
+    z = (count - middle) / max(1.0, np.sqrt(middle))
+    return np.where(z < 4, np.clip((z + 3) * 6, 0, 42), np.minimum(63, 41 + np.log2(np.maximum(z, 4)) / 2)).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, n: int, percent: int, buckets: int) -> DataFrame:
@@ -144,7 +159,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, n: int, percent: int, buckets:
                 keep = new[doc]
                 doc, token = doc[keep], token[keep]
                 key = np.sort((doc.astype(np.uint64) << np.uint64(52))
-                              | (levels[(token >> np.uint64(HASH - CELLS)).astype(np.int64)] << np.uint64(46))
+                              | (levels[(token >> np.uint64(HASH - CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(46))
                               | (token >> np.uint64(6)))
                 at = first_of(doc, np.bincount(doc, minlength=len(ids)), percent)
                 owner = (key[at] >> np.uint64(52)).astype(np.int64)
@@ -197,21 +212,27 @@ def candidates_of(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(fp, tokens) of the wanted classes, from one document of each."""
+def set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """(fp, n, low, mixed, tokens) of the wanted classes: prefixes under orders 2 and 3, and all tokens sorted."""
     def run(batches):
         for batch in batches:
             for ids, data, offsets in common.text_slices(batch.column(0), batch.column(1)):
                 doc, token = shingle_sets(data, offsets, n)
                 size, fp = fingerprints(doc, token, len(ids))
                 ends = np.cumsum(size)
+                sets = [token[e - s:e] for s, e in zip(size, ends, strict=True)]
+                first = [max(0, int(k)) for k in prefix_length(size, percent)]
+                mixed = [np.sort(common.mix(t))[:k] for t, k in zip(sets, first, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp), pa.array([token[e - s:e].tobytes() for s, e in zip(size, ends, strict=True)], pa.binary())],
-                    names=["fp", "tokens"])
+                    [pa.array(fp), pa.array(size.astype(np.int64)),
+                     pa.array([t[:k].tobytes() for t, k in zip(sets, first, strict=True)], pa.binary()),
+                     pa.array([t.tobytes() for t in mixed], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())],
+                    names=["fp", "n", "low", "mixed", "tokens"])
 
     one = classes.join(wanted, "fp").select(F.col("one").alias("_doc"))
     some = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    return (some.select(F.lit(0).alias("i"), "text").mapInArrow(run, "fp long, tokens binary")
+    return (some.select(F.lit(0).alias("i"), "text")
+            .mapInArrow(run, "fp long, n long, low binary, mixed binary, tokens binary")
             .join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
 
 
@@ -219,29 +240,49 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
+def agree(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int, percent: int) -> bool:
+    """Whether two prefixes under one order leave it open that the sets are linked.
+
+    Up to the smaller of the prefixes' last tokens both are complete, so a token of one that the other lacks there is missing
+    from the other's set.  Linked sets share at least ``need`` tokens.
+    """
+    common_ = shared(x, y)
+    need = -(-percent * (size_x + size_y) // (100 + percent))
+    end = min(x[-1], y[-1])
+    return (common_ > 0 and np.searchsorted(x, end, "right") - common_ <= size_x - need
+            and np.searchsorted(y, end, "right") - common_ <= size_y - need)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, both, size_a, size_b, linked): candidates that share prefix tokens under orders 2 and 3 are compared."""
-    def run(batches):
+    """(a, b, both, size_a, size_b, linked) of the pairs that pass the filters of orders 2 and 3."""
+    def sides(rows, *columns):
+        for c, other in (("a", "x"), ("b", "y")):
+            rows = rows.join(sets.select(F.col("fp").alias(c), *[F.col(k).alias(f"{k}_{other}") for k in columns]), c)
+        return rows
+
+    def numbers(column):
+        return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+
+    def filtered(batches):
         for batch in batches:
-            both, sizes_a, sizes_b = [], [], []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                k, m = (int(prefix_length(np.int64(len(s)), percent)) for s in (x, y))
-                hit = shared(x[:k], y[:m]) > 0  # order 2 is the order of the hashes
-                if hit:  # order 3 is that of the hashes' scrambled values
-                    p, q = common.mix(x), common.mix(y)
-                    hit = shared(np.partition(p, k - 1)[:k], np.partition(q, m - 1)[:m]) > 0
-                both.append(shared(x, y) if hit else -1)
-                sizes_a.append(len(x))
-                sizes_b.append(len(y))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(sizes_a, pa.int64()),
-                 pa.array(sizes_b, pa.int64())], names=["a", "b", "both", "size_a", "size_b"])
+            names = ("low_x", "low_y", "mixed_x", "mixed_y")
+            sizes = [batch.column(c).to_numpy() for c in ("n_x", "n_y")]
+            keep = [agree(x, y, int(m), int(k), percent) and agree(p, q, int(m), int(k), percent)
+                    for x, y, p, q, m, k in zip(*(numbers(batch.column(c)) for c in names), *sizes, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("tokens_a"))
-    right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tokens_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
-    done = rows.mapInArrow(run, "a long, b long, both long, size_a long, size_b long")
+    def compared(batches):
+        for batch in batches:
+            x, y = numbers(batch.column("tokens_x")), numbers(batch.column("tokens_y"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array([shared(s, t) for s, t in zip(x, y, strict=True)], pa.int64()),
+                 pa.array([len(s) for s in x], pa.int64()), pa.array([len(s) for s in y], pa.int64())],
+                names=["a", "b", "both", "size_a", "size_b"])
+
+    left = sides(pairs, "n", "low", "mixed").select("a", "b", "n_x", "n_y", "low_x", "low_y", "mixed_x", "mixed_y")
+    left = left.mapInArrow(filtered, "a long, b long")
+    done = sides(left, "tokens").select("a", "b", "tokens_x", "tokens_y").mapInArrow(
+        compared, "a long, b long, both long, size_a long, size_b long")
     return done.withColumn("linked", F.col("both") * 100 >= percent * (F.col("size_a") + F.col("size_b") - F.col("both")))
 
 
@@ -264,7 +305,7 @@ def open_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, fp, component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, root (a number for the component) and tag (a hash of the text) for every row of ``docs`` (doc_id, text).
 
     A-Z count as a-z; a text of fewer than n words is one shingle; a null text or one without words has the empty set
     and links with nothing.  Rows with equal sets always link.  component_id is the smallest doc_id reachable, a null doc_id
@@ -273,23 +314,23 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     scanned = stored(scan(docs, n), "shingle-sets")
-    known = scanned.where("n is not null").drop("cells")
+    known = scanned.where("n is not null").drop("chunk", "cells")
     levels = rarity(scanned)
     total = known.agg(F.sum("n")).first()[0] or 0
     buckets = max(32, total * (100 - percent) // 100 // BUCKET_TOKENS)
     found = stored(prefixes(docs, levels, n, percent, buckets).groupBy("bucket").applyInPandas(
         lambda pdf: candidates_of(pdf, percent), "a long, b long, fps binary, sizes binary"), "shingle-candidates")
-    pairs = found.where("fps is null").select("a", "b").distinct()
+    pairs = stored(found.where("fps is null").select("a", "b").distinct(), "shingle-pairs")
     classes = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("rows"))
     groups = stored(found.where("fps is not null").select("fps", "sizes").dropDuplicates(["fps"]), "shingle-groups")
     ends = lambda p: p.select(F.col("a").alias("fp")).unionByName(p.select(F.col("b").alias("fp"))).distinct()
-    sets = stored(set_table(docs, classes, ends(pairs), n), "shingle-tokens")
+    sets = stored(set_table(docs, classes, ends(pairs), n, percent), "shingle-tokens")
     tested = stored(verified(pairs, sets, percent), "shingle-links")
     links = tested.where("linked").select("a", "b")
     roots = components(links)
 
     members = groups.select(F.xxhash64("fps").alias("g"), "fps", "sizes").mapInPandas(_members, "g long, centre long, fp long, size long")
-    away = tested.where("both >= 0").select(
+    away = tested.select(
         F.col("a").alias("centre"), F.col("b").alias("fp"),
         (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("distance"))
     placed = (members.join(roots, members["fp"] == roots["node"], "left").drop("node")
@@ -297,23 +338,34 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
               .withColumn("distance", F.when(F.col("fp") == F.col("centre"), 0.0).otherwise(F.col("distance"))))
     mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
     more = (placed.join(mixed, "g").groupBy("g").applyInPandas(lambda pdf: open_pairs(pdf, percent), "a long, b long")
-            .distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+            .distinct().join(pairs, ["a", "b"], "left_anti"))
     more = stored(more, "shingle-candidates")
     if not more.isEmpty():
         lacking = ends(more).join(sets.select("fp"), "fp", "left_anti")
-        sets = sets.unionByName(set_table(docs, classes, lacking, n))
+        sets = sets.unionByName(set_table(docs, classes, lacking, n, percent))
         late = stored(verified(more, sets, percent).where("linked").select("a", "b"), "shingle-links")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
 
     named = known.join(roots, known["fp"] == roots["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "fp", F.coalesce("root", "fp").alias("_root"))
-    smallest = named.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"))
-    return named.join(smallest, "_root", "left").select(
-        "doc_id", "n_shingles", "fp",
+        "doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("root", "fp").alias("root"))
+    smallest = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("_least"))
+    return named.join(smallest, "root", "left").select(
+        "doc_id", "n_shingles", "root", "tag",
         F.when(F.col("n_shingles") > 0, F.coalesce("_least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays, of rows that
+    agree in doc_id and text one.  Texts without words stay.  All columns are kept."""
+    rows = jaccard_classes(docs, n, percent).withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    best = (rows.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("_did", "tag")).alias("x"))
+            .select("x._did", F.col("x.tag").alias("_tag")))
+    stay = best.unionByName(rows.where("n_shingles = 0").select("_did", F.col("tag").alias("_tag")))
+    marked = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tag": F.xxhash64("text")})
+    return marked.join(stay, ["_did", "_tag"], "left_semi").dropDuplicates(["_did", "_tag"]).drop("_did", "_tag")
+
+
 def _members(batches):
     for pdf in batches:
         for g, fps, sizes in zip(pdf["g"], pdf["fps"], pdf["sizes"], strict=True):
