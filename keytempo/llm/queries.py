@@ -13,11 +13,13 @@ from keytempo.llm import (
     packing,
     pii,
     sharding,
+    suffix_dedup,
 )
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_perspective_rotation": chat.op2_perspective_rotation,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
