@@ -1,3 +1,58 @@
-"""Corpus pipeline over ``documents``; its stages follow."""
+"""From raw ``documents`` to packed training sequences.
 
-STAGES: list = []
+Each stage works on all rows that its predecessor kept; its result is written as Parquet to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keytempo.llm import decontamination, language_id, ngram_join, packing, pii
+from keytempo.llm.common import stored, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language is identified: null texts and texts without a letter."""
+    net = language_id.fit(docs.where(~language_id.is_held_out()))
+    return language_id.predict(docs, net).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, one stays."""
+    return ngram_join.one_of_each(docs, 5, 80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item, exactly or edited."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets become surrogates; n_chars follows the text."""
+    out = pii.with_surrogates(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document with its place in a training sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("pii", replace_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL has no byte network, alignment or keyed surrogates; tests compare with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

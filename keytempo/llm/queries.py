@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from keytempo.llm import (
     block_dedup,
     chat,
@@ -17,6 +18,7 @@ from keytempo.llm import (
 )
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_perspective_rotation": chat.op2_perspective_rotation,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
