@@ -6,9 +6,9 @@ anchors.  Anchors found in several texts give contexts, the bytes that 50-byte s
 contexts of an anchor, equal ones folded, form a small text whose suffix array (see lyndon) puts equal 50-byte strings next to
 one another; a string goes where the smallest document with it is another one.
 
-An anchor with many different contexts, such as one at the edge of a very common passage, is split: the strings that start in
-the left or right half of the possible places share more bytes than the anchor, and these are the new keys, until the groups
-are small.
+Strings are taken by the part of the possible places around the anchor that they start in, as those of a part share more bytes
+than the anchor, which are their key: contexts that agree in the anchor only aren't sorted.  A key with many different
+contexts, such as one at the edge of a very common passage, is split again by halves of its places until groups are small.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from keytempo.llm.lyndon import suffix_order
 
 RUN, GRAM = 50, 20
 SPREAD = RUN - GRAM + 1
-#: Different contexts that are sorted together; contexts per bucket and per flush, about; bytes sorted at once.
-TOGETHER, BUCKET, FLUSH, SORTED = 32, 120_000, 150_000, 1 << 20
+#: Parts that the places of a string around its anchor are taken in at first, and different contexts sorted together.
+PARTS, TOGETHER = 4, 8
+#: Contexts per bucket and per flush, about; bytes sorted at once.
+BUCKET, FLUSH, SORTED = 120_000, 150_000, 1 << 20
 _VALUES = common.byte_values(31)
 
 
@@ -74,8 +76,14 @@ def sort_lanes(flat, begin, length, lane, did):
     """Suffix arrays of contexts grouped in lanes (ascending).  (context, offset) of the 50-byte strings that a context of the
     same lane with a smaller did holds."""
     out_c, out_s = [], []
+    # Lanes of like length advance together, so they are sorted by length first.
     cut = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
-    ends = np.append(cut, len(lane))
+    members = np.diff(np.append(cut, len(lane)))
+    by = np.argsort(np.add.reduceat(length + 1, cut), kind="stable")
+    moved = common.concat_ranges(cut[by], members[by])
+    begin, length, did, lane = begin[moved], length[moved], did[moved], np.repeat(np.arange(len(cut)), members[by])
+    ends = np.concatenate([[0], np.cumsum(members[by])])
+    cut = ends[:-1]
     room = np.cumsum(length + 1)
     at = 0
     while at < len(cut):
@@ -108,7 +116,7 @@ def sort_lanes(flat, begin, length, lane, did):
             d = did[a:b][context[order]]
             least = np.minimum.reduceat(d, start)[np.cumsum(~same) - 1]
             hit = order[d > least]
-            out_c.append(context[hit] + a)
+            out_c.append(moved[context[hit] + a])
             out_s.append(offset[hit])
         at = to
     empty = np.zeros(0, np.int64)
@@ -122,7 +130,8 @@ def resolve(flat, begin, left, length, anchor, did):
     """
     prefix = common.sums(_VALUES[flat])
     entries, starts, counts = [], [], []
-    todo = [(np.arange(len(begin)), 1 - SPREAD, 0)]
+    edges = np.linspace(1 - SPREAD, 1, PARTS + 1).astype(int)
+    todo = [(np.arange(len(begin)), int(a), int(b) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     while todo:
         which, low, high = todo.pop()
         a = np.maximum(0, left[which] + low)
