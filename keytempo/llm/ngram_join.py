@@ -8,6 +8,9 @@ Jaccard >= t share a token among the first |S| - ceil(t |S|) + 1 of each under *
 * orders 2 and 3 are two hash orders; candidates must share a prefix token under these too, and may not differ there in more
   tokens than linked sets can, before the sets are compared.
 
+Before any set is fetched, candidates must also agree in a 512-bit parity sketch: each token flips one bit, so two sets differ in
+at least as many tokens as their sketches do in bits.
+
 A token group of more than ``SMALL`` classes gives only pairs with its centre (its smallest class) first.  After these are
 verified and joined into components, a second round looks at the groups again and takes every pair of classes that are still
 in different components, unless their distances to the centre (Jaccard distance is a metric)
@@ -25,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from keytempo.llm import common
-from keytempo.llm.common import stored, table
+from keytempo.llm.common import columns_of, stored, table
 from keytempo.llm.graph import components
 
 #: Bits of a token's hash, and of a cell of the sketch of token counts.
 HASH, CELLS, CHUNK = 52, 20, 1 << 14
+PARITY = 512
 LAST = (1 << 63) - 1
 SMALL = 3
 #: Prefix tokens per bucket, about; the number of buckets follows the data.
@@ -82,6 +86,22 @@ def first_of(doc: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     return common.concat_ranges(begin, prefix_length(size, percent))
 
 
+def parities(doc: np.ndarray, token: np.ndarray, docs: int) -> list[bytes]:
+    bit = (common.mix(token + np.uint64(7)) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(doc * PARITY + bit, minlength=docs * PARITY).reshape(docs, PARITY) & 1
+    return [row.tobytes() for row in np.packbits(odd.astype(np.uint8), axis=1)]
+
+
+def sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, PARITY // 64)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, size_x, size_y, percent: int) -> np.ndarray:
+    """False only for sets that differ in more tokens than linked sets of their sizes can."""
+    total = size_x + size_y
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent))
+
+
 def scan(docs: DataFrame, n: int) -> DataFrame:
     """Per document its set's size and fingerprint; per task one row with the sketch of its token counts."""
     def run(batches):
@@ -96,17 +116,18 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
                 at += len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [some.column("doc_id"), some.column("tag"), pa.array(size.astype(np.int64)), pa.array(fp),
-                     pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+                     pa.array(parities(doc, token, len(ids)), pa.binary()), pa.nulls(len(ids), pa.int32()),
+                     pa.nulls(len(ids), pa.binary())], names=names)
         parts = [c.tobytes() for c in np.split(cells, len(cells) // CHUNK)] if cells.any() else []
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(parts), kind), *[pa.nulls(len(parts), pa.int64())] * 3, pa.array(range(len(parts)), pa.int32()),
+            [pa.nulls(len(parts), kind), *[pa.nulls(len(parts), pa.int64())] * 3, pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32()),
              pa.array(parts, pa.binary())], names=names)
 
-    names = ["doc_id", "tag", "n", "fp", "chunk", "cells"]
+    names = ["doc_id", "tag", "n", "fp", "sketch", "chunk", "cells"]
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
     name = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(F.lit(0).alias("i"), "text", "doc_id", F.xxhash64("text").alias("tag")).mapInArrow(
-        run, f"doc_id {name}, tag long, n long, fp long, chunk int, cells binary")
+        run, f"doc_id {name}, tag long, n long, fp long, sketch binary, chunk int, cells binary")
 
 
 def rarity(scanned: DataFrame) -> np.ndarray:
@@ -286,19 +307,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return done.withColumn("linked", F.col("both") * 100 >= percent * (F.col("size_a") + F.col("size_b") - F.col("both")))
 
 
+def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity sketches leave it open that they are linked."""
+    def run(batches):
+        for batch in batches:
+            x, y = (sketches(batch.column(c).to_pylist()) for c in ("sketch_x", "sketch_y"))
+            keep = may_link(x, y, *(batch.column(c).to_numpy() for c in ("n_x", "n_y")), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = pairs
+    for c, other in (("a", "x"), ("b", "y")):
+        rows = rows.join(classes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{other}"),
+                                        F.col("sketch").alias(f"sketch_{other}")), c)
+    return rows.select("a", "b", "n_x", "n_y", "sketch_x", "sketch_y").mapInArrow(run, "a long, b long")
+
+
 def open_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a group's classes in different components that the distances to the centre don't rule out."""
+    """Pairs of a group's classes in different components that neither sketches nor distances to the centre rule out."""
     fp, size, root = (pdf[c].to_numpy() for c in ("fp", "size", "root"))
     distance = pdf["distance"].to_numpy(float)  # NaN: not known
     out, limit = [], 1 - percent / 100
     order = np.lexsort((fp, root))
     fp, size, root, distance = fp[order], size[order], root[order], distance[order]
+    sketch = sketches(pdf["sketch"])[order]
     for i in range(len(fp)):
         j = np.arange(np.searchsorted(root, root[i], "right"), len(fp))
         if not len(j):
             break
         far = np.abs(distance[j] - distance[i]) > limit + 1e-9
         j = j[close_in_size(size[j], size[i], percent) & ~far]
+        j = j[may_link(sketch[j], sketch[i], size[j], size[i], percent)]
         out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
     pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -320,8 +358,9 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     buckets = max(32, total * (100 - percent) // 100 // BUCKET_TOKENS)
     found = stored(prefixes(docs, levels, n, percent, buckets).groupBy("bucket").applyInPandas(
         lambda pdf: candidates_of(pdf, percent), "a long, b long, fps binary, sizes binary"), "shingle-candidates")
-    pairs = stored(found.where("fps is null").select("a", "b").distinct(), "shingle-pairs")
-    classes = known.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("one"), F.count(F.lit(1)).alias("rows"))
+    classes = stored(known.where("n > 0").groupBy("fp").agg(
+        F.min("doc_id").alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "shingle-classes")
+    pairs = stored(sketched(found.where("fps is null").select("a", "b").distinct(), classes, percent), "shingle-pairs")
     groups = stored(found.where("fps is not null").select("fps", "sizes").dropDuplicates(["fps"]), "shingle-groups")
     ends = lambda p: p.select(F.col("a").alias("fp")).unionByName(p.select(F.col("b").alias("fp"))).distinct()
     sets = stored(set_table(docs, classes, ends(pairs), n, percent), "shingle-tokens")
@@ -333,6 +372,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     away = tested.select(
         F.col("a").alias("centre"), F.col("b").alias("fp"),
         (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("distance"))
+    members = members.join(classes.select("fp", "sketch"), "fp")
     placed = (members.join(roots, members["fp"] == roots["node"], "left").drop("node")
               .withColumn("root", F.coalesce("root", "fp")).join(away, ["centre", "fp"], "left")
               .withColumn("distance", F.when(F.col("fp") == F.col("centre"), 0.0).otherwise(F.col("distance"))))
@@ -341,8 +381,9 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
             .distinct().join(pairs, ["a", "b"], "left_anti"))
     more = stored(more, "shingle-candidates")
     if not more.isEmpty():
-        lacking = ends(more).join(sets.select("fp"), "fp", "left_anti")
-        sets = sets.unionByName(set_table(docs, classes, lacking, n, percent))
+        lacking = stored(ends(more).join(sets.select("fp"), "fp", "left_anti"), "shingle-classes")
+        if not lacking.isEmpty():
+            sets = sets.unionByName(stored(set_table(docs, classes, lacking, n, percent), "shingle-tokens"))
         late = stored(verified(more, sets, percent).where("linked").select("a", "b"), "shingle-links")
         if not late.isEmpty():
             roots = components(links.unionByName(late))
@@ -362,8 +403,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     best = (rows.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("_did", "tag")).alias("x"))
             .select("x._did", F.col("x.tag").alias("_tag")))
     stay = best.unionByName(rows.where("n_shingles = 0").select("_did", F.col("tag").alias("_tag")))
-    marked = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tag": F.xxhash64("text")})
-    return marked.join(stay, ["_did", "_tag"], "left_semi").dropDuplicates(["_did", "_tag"]).drop("_did", "_tag")
+    # The row travels whole, so its column names can't clash with those used here.
+    marked = docs.select(F.struct(*columns_of(docs)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+                         .alias("_did"), F.xxhash64("text").alias("_tag"))
+    return marked.join(stay, ["_did", "_tag"], "left_semi").dropDuplicates(["_did", "_tag"]).select("row.*")
 
 
 def _members(batches):
