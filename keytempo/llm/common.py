@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.  Only a one-process session may use its own temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

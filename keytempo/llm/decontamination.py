@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo.llm import common
-from keytempo.llm.common import numbered, table
+from keytempo.llm.common import columns_of, numbered, table
 
 N, STRETCH, KEEP = 3, 6, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -214,7 +214,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no test item, unchanged; text is mapped in place and never shuffled."""
-    columns = docs.columns
     for items in blocks(benchmark):
         items.choose(count_grams(docs, items))
 
@@ -223,13 +222,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 bad, at = set(), 0
                 for ids, data, offsets in common.text_slices(
-                        pa.array(np.arange(batch.num_rows)), batch.column("_lower")):
+                        pa.array(np.arange(batch.num_rows)), batch.column("lower")):
                     bad |= {at + r[0] for r in leaks_of(items, look, data, offsets)}
                     at += len(ids)
-                keep = pa.array([i not in bad for i in range(batch.num_rows)])
-                yield batch.filter(keep).select(columns)
+                keep = pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())
+                yield batch.select(["row"]).filter(keep)
 
-        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(run, docs.schema)
+        # The row travels whole, so its column names can't clash with those used here.
+        packed = docs.select(F.struct(*columns_of(docs)).alias("row"), F.lower("text").alias("lower"))
+        docs = packed.mapInArrow(run, packed.select("row").schema).select("row.*")
     return docs
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keytempo.llm.common import hex_number, table, text_slices
+from keytempo.llm.common import columns_of, hex_number, table, text_slices
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 256
 #: Bounds of the training sample: documents per label, cuts per document, characters per cut.
@@ -180,20 +180,22 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    marked = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    # The row travels whole, so its column names can't clash with those used here.
+    packed = docs.select(F.struct(*columns_of(docs)).alias("row"),
+                         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
     def run(batches):
         for batch in batches:
-            best, prob = scores(net, pa.array(np.arange(batch.num_rows)), batch.column("text"))
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+            text = batch.column("row").field("text")
+            best, prob = scores(net, pa.array(np.arange(batch.num_rows)), text)
+            letter = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
             names = np.array([*net.labels, UNKNOWN], object)[np.where(letter, best, len(net.labels))]
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_letter"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in keep], pa.array(names, pa.string()), pa.array(np.where(letter, prob, 0.0))],
-                names=[*[batch.schema.names[i] for i in keep], "lang_pred", "score"])
+                [batch.column("row"), pa.array(names, pa.string()), pa.array(np.where(letter, prob, 0.0))],
+                names=["row", "lang_pred", "score"])
 
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return marked.mapInArrow(run, schema)
+    schema = packed.select("row").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    return packed.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
 
 
 def is_held_out(doc_id="doc_id"):

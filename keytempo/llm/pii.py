@@ -19,10 +19,11 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytempo.llm.common import stored, table
+from keytempo.llm.common import columns_of, stored, table
 
 KEY = b"keytempo-demo-key"  # callers give their own secret
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "Mister", "Господин")
@@ -209,14 +210,14 @@ def replace(text: str, names: dict[tuple[str, str], str]) -> tuple[str, int]:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """Distinct (_id, _text_hash, kind, entity) of the texts that may hold entities."""
+    """Distinct (id, h, kind, entity) of the rows (id, h, text)."""
     def run(batches):
         for pdf in batches:
-            rows = {(i, h, k, e) for i, h, t in zip(pdf["_id"], pdf["_h"], pdf["text"], strict=True)
+            rows = {(i, h, k, e) for i, h, t in zip(pdf["id"], pdf["h"], pdf["text"], strict=True)
                     for _, _, k, e in find(t)}
-            yield pd.DataFrame(sorted(rows), columns=["_id", "_h", "kind", "entity"])
+            yield pd.DataFrame(sorted(rows), columns=["id", "h", "kind", "entity"])
 
-    return docs.select("_id", "_h", "text").mapInPandas(run, "_id string, _h long, kind string, entity string")
+    return docs.select("id", "h", "text").mapInPandas(run, "id string, h long, kind string, entity string")
 
 
 def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -251,53 +252,36 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, count: str | None = None)
     of replaced mentions.
 
     A null or empty text stays.  Rows repeated in doc_id and text are replaced alike; equal doc_ids with other texts are told
-    apart by a hash of the text.  A null doc_id is allowed.  Given the key, results do not depend on partitions.  Columns
-    named like the helpers _id, _h, _n, _names are not allowed in ``docs``.
+    apart by a hash of the text.  A null doc_id is allowed.  Given the key, results do not depend on partitions.  A table that
+    has a column named like ``count`` gets a new one in its place.
     """
-    plain = docs.columns
-    kept = [*plain, count] if count else plain
-    maybe = may_hold(F.col("text"))
-    marked = (docs.where(maybe).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-              .withColumn("_h", F.xxhash64("text")))
+    docs = docs.drop(count) if count else docs
+    # The row travels whole, so its column names can't clash with those used here.
+    packed = docs.select(F.struct(*columns_of(docs)).alias("row"), "text", may_hold(F.col("text")).alias("maybe"),
+                         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"))
+    marked = packed.where("maybe")
     found = stored(mentions(marked), "pii-mentions").distinct()
     names = surrogates(found.select("kind", "entity").distinct(), key)
-    own = (found.join(names, ["kind", "entity"]).groupBy("_id", "_h")
-           .agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("_names")))
-    joined = marked.join(own, ["_id", "_h"], "left").withColumn("_n", F.lit(0)).select(*plain, "_n", "_names")
+    own = (found.join(names, ["kind", "entity"]).groupBy("id", "h")
+           .agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("names")))
+    joined = marked.join(own, ["id", "h"], "left").select("row", "text", "names")
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             new, number = [], []
-            for text, rows in zip(pdf["text"], pdf["_names"], strict=True):
+            for text, rows in zip(batch.column("text").to_pylist(), batch.column("names").to_pylist(), strict=True):
                 t, k = (text, 0) if rows is None else replace(
                     text, {(r["kind"], r["entity"]): r["surrogate"] for r in rows})
                 new.append(t)
                 number.append(k)
-            yield pdf.assign(text=new, _n=number).drop(columns="_names")
-
-    # Other columns travel as one JSON-free struct of their own types through the join, untouched by pandas.
-    ids = [c for c in plain if c != "text"]
-    packed = joined.select(F.struct(*ids).alias("_row"), "text", "_n", "_names") if ids else joined
-    changed = _mapped(packed, run).select(*[F.col(f"_row.`{c}`").alias(c) if c != "text" else F.col("text") for c in plain],
-                                          F.col("_n"))
-    rest = docs.where(~maybe).withColumn("_n", F.lit(0))
-    out = rest.unionByName(changed)
-    return (out.withColumnRenamed("_n", count) if count else out).select(*kept)
-
-
-def _mapped(packed: DataFrame, run) -> DataFrame:
-    """Arrow batches: ``run`` sees text and names only, the packed row passes by."""
-    import pyarrow as pa
-
-    def arrow(batches):
-        for batch in batches:
-            pdf = pd.DataFrame({"text": batch.column("text").to_pylist(), "_names": batch.column("_names").to_pylist()})
-            for done in run([pdf.assign(_n=0)]):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_row"), pa.array(done["text"].tolist(), pa.string()), pa.array(done["_n"].tolist(), pa.int32())],
-                    names=["_row", "text", "_n"])
-
-    return packed.mapInArrow(arrow, packed.drop("_names").schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(new, pa.string()), pa.array(number, pa.int32())], names=["row", "text", "n"])
+
+    schema = joined.select("row", "text").withColumn("n", F.lit(0)).schema
+    rest = packed.where("not maybe").select("row", "text", F.lit(0).alias("n"))
+    out = rest.unionByName(joined.mapInArrow(run, schema))
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns, *([F.col("n").alias(count)] if count else []))
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
