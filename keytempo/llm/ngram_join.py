@@ -8,12 +8,12 @@ Jaccard >= t share a token among the first |S| - ceil(t |S|) + 1 of each under *
 * orders 2 and 3 are two hash orders; candidates must share a prefix token under these too, and may not differ there in more
   tokens than linked sets can, before the sets are compared.
 
-Before any set is fetched, candidates must also agree in a 512-bit parity sketch: each token flips one bit, so two sets differ in
-at least as many tokens as their sketches do in bits.
+Before any set is fetched, candidates must also agree in a parity sketch of at least half as many bits as the set has tokens: each
+token flips one bit, so two sets differ in at least as many tokens as their sketches do in bits.
 
 A token group of more than ``SMALL`` classes gives only pairs with its centre (its smallest class) first.  After these are
-verified and joined into components, a second round looks at the groups again and takes every pair of classes that are still
-in different components, unless their distances to the centre (Jaccard distance is a metric)
+verified and joined into components, rounds of nearest pairs join more of them, and a last round takes every pair of classes
+that are still in different components, unless their distances to the centre (Jaccard distance is a metric)
 rule it out.  Every linked pair
 shares a group, so it is either inside one component already or compared; components are exact.
 """
@@ -33,9 +33,11 @@ from keytempo.llm.graph import components
 
 #: Bits of a token's hash, and of a cell of the sketch of token counts.
 HASH, CELLS, CHUNK = 52, 20, 1 << 14
-PARITY = 512
+PARITY = 512  # bits of the smallest sketch
 LAST = (1 << 63) - 1
 SMALL = 3
+#: Rounds of nearest pairs, and classes that a nearest pair is looked for among.
+ROUNDS, BLOCK = 2, 1024
 #: Prefix tokens per bucket, about; the number of buckets follows the data.
 BUCKET_TOKENS = 250_000
 _VALUES = common.byte_values(5, lower=True)
@@ -87,19 +89,28 @@ def first_of(doc: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parities(doc: np.ndarray, token: np.ndarray, docs: int) -> list[bytes]:
-    bit = (common.mix(token + np.uint64(7)) >> np.uint64(55)).astype(np.int64)
-    odd = np.bincount(doc * PARITY + bit, minlength=docs * PARITY).reshape(docs, PARITY) & 1
-    return [row.tobytes() for row in np.packbits(odd.astype(np.uint8), axis=1)]
+    """A sketch per document; its width is a power of two, at least PARITY and half the size of the set."""
+    size = np.bincount(doc, minlength=docs)
+    width = np.maximum(PARITY, 1 << np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) >> 1)
+    end = np.cumsum(width)
+    bit = (common.mix(token + np.uint64(7)) & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount((end - width)[doc] + bit, minlength=int(end[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8))
+    return [packed[e - w:e].tobytes() for e, w in zip(end // 8, width // 8, strict=True)]
 
 
-def sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, PARITY // 64)
+def at_width(sketch: bytes, width: int) -> np.ndarray:
+    """A sketch folded to a smaller width."""
+    bits = np.frombuffer(sketch, np.uint64)
+    while len(bits) * 8 > width:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
 
 
-def may_link(x: np.ndarray, y: np.ndarray, size_x, size_y, percent: int) -> np.ndarray:
-    """False only for sets that differ in more tokens than linked sets of their sizes can."""
+def allowed(size_x, size_y, percent: int):
+    """Tokens in which linked sets of these sizes may differ."""
     total = size_x + size_y
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent))
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
 def scan(docs: DataFrame, n: int) -> DataFrame:
@@ -311,8 +322,11 @@ def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose parity sketches leave it open that they are linked."""
     def run(batches):
         for batch in batches:
-            x, y = (sketches(batch.column(c).to_pylist()) for c in ("sketch_x", "sketch_y"))
-            keep = may_link(x, y, *(batch.column(c).to_numpy() for c in ("n_x", "n_y")), percent)
+            most = allowed(*(batch.column(c).to_numpy() for c in ("n_x", "n_y")), percent)
+            keep = []
+            for x, y, k in zip(*(batch.column(c).to_pylist() for c in ("sketch_x", "sketch_y")), most, strict=True):
+                width = min(len(x), len(y))
+                keep.append(np.bitwise_count(at_width(x, width) ^ at_width(y, width)).sum(dtype=np.int64) <= k)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs
@@ -322,23 +336,47 @@ def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n_x", "n_y", "sketch_x", "sketch_y").mapInArrow(run, "a long, b long")
 
 
-def open_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a group's classes in different components that neither sketches nor distances to the centre rule out."""
+def open_pairs(pdf: pd.DataFrame, percent: int, nearest: bool) -> pd.DataFrame:
+    """Pairs of a group's classes in different components that neither sketches nor distances to the centre rule out.
+
+    With ``nearest`` one for each class, the nearest by sketch among BLOCK classes, else all.
+    """
     fp, size, root = (pdf[c].to_numpy() for c in ("fp", "size", "root"))
     distance = pdf["distance"].to_numpy(float)  # NaN: not known
     out, limit = [], 1 - percent / 100
     order = np.lexsort((fp, root))
     fp, size, root, distance = fp[order], size[order], root[order], distance[order]
-    sketch = sketches(pdf["sketch"])[order]
+    sketch = [pdf["sketch"].iloc[i] for i in order]
+    width = np.array([len(x) for x in sketch])
+    # Sketches stacked by width; sizes close enough to link are at most one power of two apart.
+    stacks, row = {}, {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        for v in (w, w // 2):
+            if v * 8 >= PARITY:
+                stacks.setdefault(v, []).append(np.stack([at_width(sketch[i], v) for i in at]))
+                row.setdefault(v, []).append(at)
+    for v in stacks:
+        where = np.full(len(fp), -1)
+        where[np.concatenate(row[v])] = np.arange(sum(map(len, row[v])))
+        stacks[v], row[v] = np.concatenate(stacks[v]), where
+    block = np.argsort(np.argsort(fp)) // BLOCK
     for i in range(len(fp)):
-        j = np.arange(np.searchsorted(root, root[i], "right"), len(fp))
-        if not len(j):
-            break
-        far = np.abs(distance[j] - distance[i]) > limit + 1e-9
-        j = j[close_in_size(size[j], size[i], percent) & ~far]
-        j = j[may_link(sketch[j], sketch[i], size[j], size[i], percent)]
+        if nearest:
+            j = np.flatnonzero((root != root[i]) & (block == block[i]))
+        else:
+            j = np.arange(np.searchsorted(root, root[i], "right"), len(fp))
+        j = j[close_in_size(size[j], size[i], percent) & ~(np.abs(distance[j] - distance[i]) > limit + 1e-9)]
+        differ = np.zeros(len(j), np.int64)
+        for v in np.unique(np.minimum(width[j], width[i])):
+            some = np.flatnonzero(np.minimum(width[j], width[i]) == v)
+            differ[some] = np.bitwise_count(stacks[v][row[v][j[some]]] ^ stacks[v][row[v][i]]).sum(1, dtype=np.int64)
+        open_ = differ <= allowed(size[j], size[i], percent)
+        j, differ = j[open_], differ[open_]
+        if nearest and len(j):
+            j = j[[np.argmin(differ)]]
         out.append(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -372,21 +410,32 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     away = tested.select(
         F.col("a").alias("centre"), F.col("b").alias("fp"),
         (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("distance"))
-    members = members.join(classes.select("fp", "sketch"), "fp")
-    placed = (members.join(roots, members["fp"] == roots["node"], "left").drop("node")
-              .withColumn("root", F.coalesce("root", "fp")).join(away, ["centre", "fp"], "left")
-              .withColumn("distance", F.when(F.col("fp") == F.col("centre"), 0.0).otherwise(F.col("distance"))))
-    mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-    more = (placed.join(mixed, "g").groupBy("g").applyInPandas(lambda pdf: open_pairs(pdf, percent), "a long, b long")
-            .distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = stored(more, "shingle-candidates")
-    if not more.isEmpty():
-        lacking = stored(ends(more).join(sets.select("fp"), "fp", "left_anti"), "shingle-classes")
+    members = stored(members.join(classes.select("fp", "sketch"), "fp").join(away, ["centre", "fp"], "left")
+                     .withColumn("distance", F.when(F.col("fp") == F.col("centre"), 0.0).otherwise(F.col("distance"))),
+                     "shingle-members")
+    done = pairs
+
+    def still_open(nearest):
+        placed = members.join(roots, members["fp"] == roots["node"], "left").drop("node").withColumn(
+            "root", F.coalesce("root", "fp"))
+        mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
+        return stored(placed.join(mixed, "g").groupBy("g").applyInPandas(
+            lambda pdf: open_pairs(pdf, percent, nearest), "a long, b long").distinct().join(
+            done, ["a", "b"], "left_anti"), "shingle-pairs")
+
+    # Nearest pairs first, as long as they join components, so that few pairs are left for the last, complete round.
+    for nearest in [True] * ROUNDS + [False]:
+        more = still_open(nearest)
+        if more.isEmpty():
+            continue
+        lacking = stored(ends(more).join(sets.select("fp"), "fp", "left_anti"), "shingle-ends")
         if not lacking.isEmpty():
             sets = sets.unionByName(stored(set_table(docs, classes, lacking, n, percent), "shingle-tokens"))
         late = stored(verified(more, sets, percent).where("linked").select("a", "b"), "shingle-links")
+        done = done.unionByName(more)
         if not late.isEmpty():
-            roots = components(links.unionByName(late))
+            links = links.unionByName(late)
+            roots = components(links)
 
     named = known.join(roots, known["fp"] == roots["node"], "left").select(
         "doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("root", "fp").alias("root"))
