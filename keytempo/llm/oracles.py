@@ -31,3 +31,94 @@ SELECT conv_id, perspective, segment, part, count(*)::INT AS n_messages, (count(
        coalesce(string_agg(at::BIGINT || '-' || (at + length(body))::BIGINT, ',' ORDER BY at) FILTER (train), '') AS mask
 FROM o GROUP BY conv_id, perspective, segment, part
 """
+
+#: Words of runs of 50 that also start in a document with a smaller doc_id.
+WORD_RUNS = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+win AS (SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+h AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM win),
+m AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+hit AS (SELECT r, i FROM h JOIN m USING (h) WHERE least < doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM hit),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+#: Bytes of strings of 50 that also start in a document with a smaller doc_id; texts are taken as hexadecimal digits.
+BYTE_RUNS = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT *, length(x) // 2 AS n FROM d),
+win AS (SELECT r, doc_id, unnest(range(0, n - 49)) AS i, x FROM s WHERE n >= 50),
+h AS (SELECT r, doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS h FROM win),
+m AS (SELECT h, min(doc_id) AS least FROM h GROUP BY h),
+hit AS (SELECT r, i FROM h JOIN m USING (h) WHERE least < doc_id),
+edge AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM hit),
+span AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END)
+           OVER (PARTITION BY r ORDER BY i) AS k FROM edge),
+gone AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM span GROUP BY r, k),
+parts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start FROM gone),
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+           string_agg(substr(x, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) AS t
+         FROM parts JOIN s USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE t || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM s LEFT JOIN sums USING (r)
+"""
+
+#: Four-word shingles, Jaccard of 85 % and more, smallest doc_id reachable.
+JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y USING (h)
+                    WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 85 * (p.n + q.n - m)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
+def turn(source: str) -> str:
+    """SQL for one pass of the Feistel network over the column y of ``source``."""
+    sql = f"SELECT *, y // b AS l, y % b AS r FROM ({source})"
+    for k in range(6):
+        own, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        noise = f"('0x' || substr(md5('keytempo:{k}:' || {other}), 1, 12))::BIGINT"
+        sql = f"SELECT * REPLACE (({own} + {noise}) % {size} AS {own}) FROM ({sql})"
+    return f"SELECT * EXCLUDE (l, r) REPLACE (l * b + r AS y) FROM ({sql})"
+
+
+#: Checksum byte by byte, row numbers, Feistel network with cycle walking.
+SHARDS = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8],
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits),
+d AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size,
+    CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(octet_length(encode(text))),
+        lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+      lambda c, byte: xor(c // 256, t[xor(c % 256, byte) + 1]))) END AS text_crc32
+  FROM (SELECT *, hex(encode(text)) AS x FROM documents), crc),
+k AS (SELECT *, substr(md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), chr(0)),
+    coalesce(CAST(text_crc32 AS VARCHAR), chr(0)), CAST(size AS VARCHAR))), 1, 3) AS bucket FROM d),
+n AS (SELECT count(*) AS n, greatest(1, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1) AS a FROM documents),
+g AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+f AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, text_crc32 NULLS FIRST, size)
+        - 1 AS row_number FROM k),
+walk AS ({turn("SELECT row_number AS x, row_number AS y, n, a, b FROM f, g")}
+  UNION ALL {turn("SELECT * FROM walk WHERE y >= n")})
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(y % 40 AS INTEGER) AS shard, y // 40 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, row_number, y AS place
+FROM f JOIN walk ON x = row_number WHERE y < n
+"""

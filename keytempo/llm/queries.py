@@ -32,5 +32,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_suffix_dedup": oracles.BYTE_RUNS,
+    "op5_ngram_jaccard": oracles.JACCARD,
+    "op9_feistel_shards": oracles.SHARDS,
+    "op10_fixed_block_anchors": oracles.WORD_RUNS,
     "op2_perspective_rotation": oracles.PERSPECTIVES,
 }
