@@ -92,18 +92,17 @@ WORD_COLUMNS = ("word_time", "word_duration")
 
 # --- fixed values: baseline features (unit, meaning, what a higher value is) ------------------
 
-BASELINE_FEATURES = {
-    "mean_typing_speed_wpm": ("WPM", "typing velocity", "faster_cadence"),
-    "mean_dwell_time": ("ms", "average key hold duration", "longer_holds"),
-    "mean_flight_time": ("ms", "average inter-key interval", "slower_transitions"),
-    "backspace_rate": ("ratio", "editing and correction frequency", "more_revisions"),
-    "pause_rate": ("ratio", "frequency of behavioral pauses", "more_pauses"),
-    "mean_pause_duration": ("ms", "average duration of cognitive hesitations", "longer_pauses"),
-    "cv_flight_time": (
-        "dimensionless", "inter-key rhythm irregularity", "less_consistent_cadence"),
-    "cv_dwell_time": ("dimensionless", "dwell duration motor variance", "less_consistent_holds"),
-    "error_rate": ("ratio", "explicit error occurrence frequency", "more_errors"),
-}
+BASELINE_FEATURES = (
+    "mean_typing_speed_wpm",
+    "mean_dwell_time",
+    "mean_flight_time",
+    "backspace_rate",
+    "pause_rate",
+    "mean_pause_duration",
+    "cv_flight_time",
+    "cv_dwell_time",
+    "error_rate",
+)
 
 # --- fixed values: feature catalogue (category, unit, alternative sets of needed columns) -----
 

@@ -165,7 +165,7 @@ def assessment_rows(assessed: DataFrame, created_at: Column | None = None) -> Da
                  F.col("top_probability").alias("confidence")).alias("model_result"),
     ))
     return assessed.select(
-        F.concat(F.lit("asmt_"), F.col("session_id")).alias("assessment_id"),
+        F.concat(F.lit("asmt_"), F.concat_ws("_", "user_id", "session_id")).alias("assessment_id"),
         "session_id", F.col("user_id").alias("pseudonymized_user_id"),
         F.lit("ANALYSIS").alias("session_type"),
         (created_at if created_at is not None else F.current_timestamp()).alias("created_at"),
@@ -208,9 +208,18 @@ def flatten_assessments(df: DataFrame, column: str = "assessment_json") -> DataF
     )
 
 
+SESSION = ("pseudonymized_user_id", "session_id")
+
+
+def session_keys(*frames: DataFrame) -> list[str]:
+    """Person and session where the tables have both; a session id alone may belong to several people."""
+    return [k for k in SESSION if all(k in df.columns for df in frames)]
+
+
 def history(archive: DataFrame, stored: DataFrame) -> DataFrame:
     """Archive rows plus table rows of sessions the archive does not have."""
-    missing = stored.join(archive.select("session_id").distinct(), "session_id", "left_anti")
+    keys = session_keys(archive, stored)
+    missing = stored.join(archive.select(*keys).distinct(), keys, "left_anti")
     return archive.unionByName(missing, allowMissingColumns=True)
 
 
@@ -221,42 +230,51 @@ def recent_assessments(df: DataFrame, user: str | None = None, n: int = 100) ->
     return df.orderBy(F.col("created_at").desc(), "assessment_id").limit(n)
 
 
-def assessment_detail(df: DataFrame, session_or_id: str) -> DataFrame:
-    """Assessments of a session id or of an assessment id."""
+def assessment_detail(df: DataFrame, session_or_id: str, user: str | None = None) -> DataFrame:
+    """Assessments of a session id (of one person if given) or of an assessment id."""
     clean = session_or_id.removeprefix("assessment_").removesuffix(".json")
-    return df.filter((F.col("session_id") == clean) | (F.col("assessment_id") == clean)
-                     | (F.col("assessment_id") == f"asmt_{clean}"))
+    found = df.filter((F.col("session_id") == clean) | (F.col("assessment_id") == clean)
+                      | (F.col("assessment_id") == f"asmt_{clean}"))
+    return found if user is None else found.filter(F.col("pseudonymized_user_id") == user)
+
+
+def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key as (keys, ``_new``): the last by ``order``; full ties are settled by a hash of the row.
+
+    Only the order and the hash are compared, so the other columns may have any type, also maps.
+    """
+    rest = [n for n in df.columns if n not in keys]
+    tie = F.xxhash64(F.to_json(F.struct(*rest)))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, tie)).alias("_new"))
 
 
 def latest_profile(profiles: DataFrame, keys: Sequence[str] = ("user_id",)) -> DataFrame:
     """Newest baseline profile per person."""
-    rest = [n for n in profiles.columns if n not in (*keys, "last_updated")]
-    newest = profiles.groupBy(*keys).agg(F.max(F.struct("last_updated", *rest)).alias("_p"))
-    return newest.select(*keys, "_p.*")
+    return newest_rows(profiles, keys, ["last_updated"]).select(*keys, "_new.*")
 
 
-def delete_sessions(df: DataFrame, ids: DataFrame, key: str = "session_id") -> DataFrame:
+def delete_sessions(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows that stay when the sessions in ``ids`` are deleted."""
-    return df.join(ids.select(key).distinct(), key, "left_anti")
+    keys = session_keys(df, ids)
+    return df.join(ids.select(*keys).distinct(), keys, "left_anti")
 
 
 def merge_by_key(
     base: DataFrame,
     updates: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     update_cols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Insert new keys and overwrite existing ones with their newest update.
+    """Insert new keys and overwrite existing ones with their newest update, the last by ``order``.
 
-    ``update_cols`` limits which columns change on an existing row.  Repeated updates of a key
+    ``order`` is one column or several, the later ones to settle ties.  ``update_cols`` limits which columns change on an existing row.  Repeated updates of a key
     are reduced by an aggregate before the join, so a key with very many updates is no problem.
     """
     keys = list(keys)
     columns = [n for n in base.columns if n not in keys]
     change = set(update_cols if update_cols is not None else columns)
-    ordered = [order, *[n for n in updates.columns if n not in (*keys, order)]]
-    newest = updates.groupBy(*keys).agg(F.max(F.struct(*ordered)).alias("_new"))
+    newest = newest_rows(updates, keys, [order] if isinstance(order, str) else order)
     old = base.select(*keys, F.struct(*columns).alias("_old"))
     given = set(updates.columns)
 

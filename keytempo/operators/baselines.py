@@ -80,20 +80,6 @@ def user_baselines(
     ).select("user_id", "baseline_status", "session_count", "min_required_sessions", "b.*")
 
 
-def describe_features(df: DataFrame) -> DataFrame:
-    """Add unit, meaning and what a higher value is for a ``feature`` column."""
-    def lookup(i: int, default: Column) -> Column:
-        table = F.create_map(*[
-            F.lit(x) for f, meta in names.BASELINE_FEATURES.items() for x in (f, meta[i])])
-        return F.coalesce(F.element_at(table, F.col("feature")), default)
-
-    return df.withColumns({
-        "unit": lookup(0, F.lit("dimensionless")),
-        "interpretation": lookup(1, F.col("feature")),
-        "higher_is": lookup(2, F.lit("higher")),
-    })
-
-
 def profiles(baselines: DataFrame) -> DataFrame:
     """One row per person with all feature statistics in a map (one entry per feature)."""
     stats = F.struct(*[s for s in STATS if s in baselines.columns])

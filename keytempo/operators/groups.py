@@ -1,53 +1,34 @@
 """Ordered work and exact quantiles on groups of any size.
 
-Most sessions and people are small, a few may hold a third of all rows.  ``over_groups`` first
-counts the rows of each group (partial counts are combined before the shuffle) and asks whether
-any group is above a limit.
-
-* Usually none is, or the whole input is no larger than what one task reads: the body runs on plain window functions, one exchange and one sort.
-* Otherwise the large groups go to ``LargeGroups``, which cuts each of them into segments along
-  the order column.  Windows then run per (group, segment), and what must cross a segment border
-  (totals, the last few rows, the last value seen) travels in one small row per segment.
-
-Only the answer to "is there a large group" reaches the driver.  The list of large keys is
-broadcast: it has at most rows / limit entries, and the limit grows with the estimated input
-size so that the list stays below ``KEY_LIST_BYTES``.
+Most sessions and people are small, a few may hold a third of all rows.  ``over_groups`` counts the rows of each group
+(partial counts are combined before the shuffle) and asks whether any group is above ``GROUP_ROWS``.
+
+* Usually none is: the body runs on plain window functions, one exchange and one sort.
+* Otherwise the large groups go to ``LargeGroups``, which cuts each of them into segments along the order column.  Windows
+  then run per (group, segment), and what must cross a segment border (totals, the last few rows, the last value seen)
+  travels in one small row per segment.
+
+The limit is one constant at every size, so a task never sorts more than that.  Only the answer to "is there a large
+group" reaches the driver.  Lists of large keys, their quantiles and cut points are joined by key: Spark broadcasts such
+a side when it has measured that it is small, and shuffles it otherwise.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
-from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 250_000
-GROUP_ROWS_MAX = 4_000_000
-KEY_LIST_BYTES = 256 * 1024 * 1024
-TASK_BYTES = 32 * 1024 * 1024
-KEY_ENTRY_BYTES = 64
-ROW_BYTES = 8
-CUTS = 1024
+#: Segments that one round cuts a group or a segment into, at most; and the step between the numbers of a round.
+CUTS, STEP = 1024, 2048
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 _SEG, _START = "_seg", "_start"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; reads file metadata only, runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def group_limit(size: int) -> int:
-    """Rows a group of a ``size``-byte input may have before it is cut into segments."""
-    rows = size // ROW_BYTES
-    needed = ceil(rows * KEY_ENTRY_BYTES / KEY_LIST_BYTES)
-    return min(max(GROUP_ROWS, needed), GROUP_ROWS_MAX)
-
-
 def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return (
         df.groupBy(*keys)
@@ -57,15 +38,43 @@ def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Only a one-process session may use its own temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="keytempo-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that later steps reread it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keytempo-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def ordered_rank(df: DataFrame, order: Sequence[str], rank: str) -> DataFrame:
+    """Number all rows from 0 in the order of ``order`` without gathering them.
+
+    Rows are dealt to ranges and sorted there; a row's number is its place in its range plus the sizes of the ranges before,
+    one number per partition.  Written once, as ranges may come out differently when they are computed again.
+    """
+    number = F.monotonically_increasing_id()
+    placed = pin(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumns({"_part": F.shiftright(number, 33), "_at": number.bitwiseAND(F.lit((1 << 33) - 1))}))
+    line = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_start"))
+    return (placed.join(F.broadcast(starts), "_part")  # a row per partition
+            .withColumn(rank, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start"))
+
+
 def over_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -83,16 +92,11 @@ def over_groups(
     """
     keys = list(keys)
     df = df.dropna(subset=keys)
-    if limit is None:
-        size = estimated_bytes(df)
-        limit = group_limit(size)
-        # An input that fits a task as a whole has no group that does not.
-        big = large_keys(df, keys, limit) if size > TASK_BYTES else None
-    else:
-        big = large_keys(df, keys, limit)
-    if big is None or big.isEmpty():
+    limit = GROUP_ROWS if limit is None else limit
+    big = large_keys(df, keys, limit)
+    if big.isEmpty():
         return body(SmallGroups(df.repartition(*keys) if colocate else df, keys, order))
-    big = F.broadcast(pin(big))
+    big = pin(big)
     small = df.join(big, keys, "left_anti")
     # Written once, so that no later step scans the whole input again for its large groups.
     large = pin(df.join(big, keys, "left_semi"))
@@ -315,11 +319,10 @@ class LargeGroups:
         out = df.groupBy(*self.keys).agg(*[e.alias(n) for n, e in plain.items()])
         centre = {f"_centre_{c}": (c, 0.5) for c in sorted(set(mads.values()))}
         if quantiles or centre:
-            # One row per large group, bounded like the key list.
             found = pin(exact_quantiles(df, self.keys, {**quantiles, **centre}, self.limit))
-            out = out.join(F.broadcast(found), self.keys, "left")
+            out = out.join(found, self.keys, "left")
         if mads:
-            centres = F.broadcast(found.select(*self.keys, *centre))
+            centres = found.select(*self.keys, *centre)
             distances = df.join(centres, self.keys).select(
                 *self.keys,
                 *[F.abs(F.col(c) - F.col(f"_centre_{c}")).alias(f"_dist_{c}")
@@ -328,7 +331,7 @@ class LargeGroups:
             spread = exact_quantiles(
                 distances, self.keys, {n: (f"_dist_{c}", 0.5) for n, c in mads.items()}, self.limit
             )
-            out = out.join(F.broadcast(spread), self.keys, "left")
+            out = out.join(spread, self.keys, "left")
         return out.select(*self.keys, *plain, *quantiles, *mads)
 
 
@@ -337,39 +340,49 @@ def cut(
 ) -> DataFrame:
     """Add a segment number that never decreases along ``order`` inside a group.
 
-    Cut points come from a mergeable quantile sketch; any cut points give right results, good
-    ones give even segments.  A group gets about rows / rows_per_segment of them, at most
-    CUTS - 1, so the broadcast is bounded by twice the number of segments.  A value of the first
-    column that fills several steps of the sketch (many equal times) becomes a segment of its
-    own, which is cut again by the second order column if that is a number.
+    Cut points come from a mergeable quantile sketch; any cut points give right results, good ones give even segments.  A
+    round cuts what is above ``rows_per_segment`` into at most CUTS parts, and rounds go on until nothing is above it, so
+    the number of segments follows the rows of a group.  A value of the first column that fills several steps of the sketch
+    (many equal times) becomes a part of its own; the next round cuts it by the next column that is a number.
     """
-    keys, column = list(keys), order[0]
-    cuts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), _points(column).alias("_points"))
-    repeated = F.array_distinct(F.filter(
-        F.col("_points"),
-        lambda x, i: (i > 0) & (x == F.get(F.col("_points"), i - 1))))
-    cuts = cuts.select(
-        *keys,
-        F.array_distinct(F.concat(
-            _thinned(F.col("_points"), F.col("_rows"), rows_per_segment), repeated))
-        .alias("_cuts"),
-        repeated.alias("_ties"),
-    ).withColumn("_cuts", F.array_sort("_cuts"))
-    df = df.join(F.broadcast(cuts), keys)
-    tied = F.coalesce(F.array_contains("_ties", F.col(column)), F.lit(False))
-    place = _cuts_below(F.col("_cuts"), F.col(column)) * 2 + tied.cast("int")
-    df = df.withColumn(_SEG, place.cast("long") * CUTS).withColumn("_tied", tied)
-    if len(order) > 1 and dict(df.dtypes)[order[1]] in NUMBERS:
-        ties = df.filter("_tied").groupBy(*keys, _SEG).agg(
-            F.count(F.lit(1)).alias("_rows"), _points(order[1]).alias("_points"))
-        ties = ties.select(*keys, _SEG, _thinned(
-            F.col("_points"), F.col("_rows"), rows_per_segment).alias("_more"))
-        df = df.join(F.broadcast(ties), [*keys, _SEG], "left")
-        df = df.withColumn(_SEG, F.col(_SEG) + F.when(
-            F.col("_tied"), _cuts_below(F.col("_more"), F.col(order[1]))).otherwise(0))
-        df = df.drop("_more")
-    return df.drop("_cuts", "_ties", "_tied")
+    keys = list(keys)
+    kinds = dict(df.dtypes)
+    columns = [order[0], *[c for c in order[1:] if kinds[c] in NUMBERS]]
+    df = df.withColumn(_SEG, F.lit(0).cast("long"))
+    for _ in range(5):  # five rounds number 2**55 segments
+        sizes = df.groupBy(*keys, _SEG).agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[(F.min(c) < F.max(c)).alias(f"_wide{i}") for i, c in enumerate(columns)])
+        by = F.lit(None).cast("int")
+        for i in reversed(range(len(columns))):
+            by = F.when(F.coalesce(F.col(f"_wide{i}"), F.lit(False)), i).otherwise(by)
+        crowded = pin(sizes.where(F.col("_rows") > rows_per_segment).withColumn("_by", by)
+                      .where("_by is not null").select(*keys, _SEG, "_rows", "_by"))
+        if crowded.isEmpty():
+            break
+        df = _recut(df, crowded, keys, columns, rows_per_segment)
+    return df
+
+
+def _recut(df, crowded, keys, columns, rows_per_segment) -> DataFrame:
+    """One round: number the parts of crowded segments inside their segment's step."""
+    at = [*keys, _SEG]
+    marked = df.join(crowded, at, "left")
+    number = F.lit(0)
+    for i, column in enumerate(columns):
+        chosen = F.col("_by") == i
+        points = (marked.where(chosen).groupBy(*at)
+                  .agg(F.first("_rows").alias("_total"), _points(column).alias("_points")))
+        repeated = F.array_distinct(F.filter(
+            F.col("_points"), lambda x, j: (j > 0) & (x == F.get(F.col("_points"), j - 1))))
+        points = points.select(*at, repeated.alias(f"_ties{i}"), F.array_sort(F.array_distinct(F.concat(
+            _thinned(F.col("_points"), F.col("_total"), rows_per_segment), repeated))).alias(f"_cuts{i}"))
+        marked = marked.join(points, at, "left")
+        tied = F.coalesce(F.array_contains(f"_ties{i}", F.col(column)), F.lit(False))
+        number = F.when(chosen, _cuts_below(F.col(f"_cuts{i}"), F.col(column)) * 2 + tied.cast("int")).otherwise(number)
+    number = F.coalesce(number, F.lit(0)).cast("long")
+    # Written once: a sketch may give other cut points when it is computed again.
+    return pin(marked.withColumn(_SEG, F.col(_SEG) * STEP + number).select(*df.columns))
 
 
 def _points(column: str) -> Column:
@@ -385,7 +398,7 @@ def _thinned(points: Column, rows: Column, rows_per_segment: int) -> Column:
 
 def _cuts_below(cuts: Column, value: Column) -> Column:
     """How many of the ascending cut points lie below ``value`` (binary search)."""
-    steps = F.array(*[F.lit((2 * CUTS) >> i) for i in range(1, (2 * CUTS).bit_length())])
+    steps = F.array(*[F.lit(CUTS >> i) for i in range(CUTS.bit_length())])
     found = F.aggregate(
         steps, F.lit(0),
         lambda at, step: F.when(
@@ -399,7 +412,7 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
-    rows_per_segment: int = GROUP_ROWS,
+    rows_per_segment: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group without gathering a group.
 
@@ -419,7 +432,7 @@ def exact_quantiles(
         ])).alias("_m"),
     ).select(*keys, "_m.*").filter(F.col("_value").isNotNull())
     counted = pin(long.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_w")))
-    pieces = cut(counted, by, ["_value"], rows_per_segment)
+    pieces = cut(counted, by, ["_value"], rows_per_segment or GROUP_ROWS)
 
     per_segment = pieces.groupBy(*by, _SEG).agg(F.sum("_w").alias("_t"))
     earlier = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)

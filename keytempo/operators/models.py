@@ -21,7 +21,7 @@ def fit_baseline_classifier(
     """Random forest (100 trees of depth 6) or logistic regression with balanced weights."""
     weights = class_weights(train, label).select(label, "class_weight")
     # One row per class.
-    weighted = train.join(F.broadcast(weights), label)
+    weighted = train.join(weights, label)
     common = {"featuresCol": "_vector", "labelCol": label, "weightCol": "class_weight"}
     if kind == "logistic_regression":
         model = LogisticRegression(maxIter=1000, **common)

@@ -126,7 +126,7 @@ def dedup_events(raw: DataFrame) -> DataFrame:
     event cost little.
     """
     payload = [n for n in raw.columns if n not in (*KEYS, "event_id")]
-    first = F.min(F.struct("raw_id", *[n for n in payload if n != "raw_id"])).alias("_row")
+    first = F.min_by(F.struct(*payload), "raw_id").alias("_row")  # values of any type, also maps
     columns = list(raw.columns)
     with_id = (
         raw.filter(F.col("event_id").isNotNull())
@@ -135,10 +135,10 @@ def dedup_events(raw: DataFrame) -> DataFrame:
     )
     unseen = with_id.unionByName(raw.filter(F.col("event_id").isNull()))
     signature = [*KEYS, "event_type", "timestamp_ms", "key_token"]
-    rest = [n for n in columns if n not in signature and n != "raw_id"]
+    rest = [n for n in columns if n not in signature]
     return (
         unseen.groupBy(*signature)
-        .agg(F.min(F.struct("raw_id", *rest)).alias("_row"))
+        .agg(F.min_by(F.struct(*rest), "raw_id").alias("_row"))
         .select(*signature, "_row.*").select(*columns)
     )
 
@@ -190,8 +190,3 @@ def active_duration(raw: DataFrame, markers: DataFrame, limit: int | None = None
 
     spans = over_groups(stream, KEYS, ORDER, body, limit)
     return spans.withColumn("active_sec", F.col("span_sec") - F.col("paused_sec"))
-
-
-def tie_break(kind: Column, row: Column) -> Column:
-    """A unique increasing id for down and up rows made from one row."""
-    return row * 2 + (kind == "up").cast("long")

@@ -24,18 +24,26 @@ def _epsilon(value: float) -> float:
 
 
 def _noise(scale: Column, seed: int | None, keys: Sequence[str]) -> Column:
-    """Laplace noise; with a seed it depends on the group only, not on partitions or retries."""
+    """Laplace noise; with a seed it depends on the group only, not on partitions or retries.
+
+    Whoever knows seed and groups can take seeded noise off again: seeds are for tests.
+    """
     if seed is None:
         return c.laplace(scale, F.rand())
-    steps = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 53))
-    return c.laplace(scale, (steps.cast("double") + 0.5) / float(1 << 53))
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    steps = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+    return c.laplace(scale, (steps.cast("double") + 0.5) / float(1 << 52))
 
 
 def private_mean(
     df: DataFrame, col: str, bounds: tuple[float, float], epsilon: float = EPSILON,
     seed: int | None = None, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean of clipped values plus Laplace noise, per group.  The true mean is not returned."""
+    """Mean of clipped values plus Laplace noise, per group.  The true mean is not returned.
+
+    ``sample_size``, and with it the sensitivity, is exact: where group sizes are secret, drop both and publish a
+    ``private_count``.
+    """
     low, high = map(float, bounds)
     if low >= high:
         raise ValueError(f"lower bound {low} must be below upper bound {high}")

@@ -7,9 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keytempo.operators.groups import exact_quantiles
-
-MAX_CLASSES = 10_000
+from keytempo.operators.groups import exact_quantiles, ordered_rank
 
 
 def fit_scaler(train: DataFrame, features: Sequence[str], kind: str = "standard") -> DataFrame:
@@ -38,17 +36,19 @@ def fit_scaler(train: DataFrame, features: Sequence[str], kind: str = "standard"
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def scaler_values(params: DataFrame) -> dict[str, tuple[float, float]]:
-    """Fitted parameters on the driver, one small row per feature, as model fitting needs."""
-    return {r["feature"]: (r["centre"], r["scale"]) for r in params.collect()}
+def _fitted(params: DataFrame) -> Column:
+    """The parameters as one map from feature to (centre, scale), looked up while the plan runs."""
+    pair = F.struct("feature", F.struct("centre", "scale"))
+    return params.agg(F.map_from_entries(F.collect_list(pair)).alias("m")).scalar()
+
 
+def apply_scaler(df: DataFrame, params: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Scale ``features`` in place."""
+    def scaled(f: str) -> Column:
+        p = F.element_at("_fitted", F.lit(f))
+        return (F.col(f) - p["centre"]) / p["scale"]
 
-def apply_scaler(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Scale the fitted columns in place."""
-    return df.withColumns({
-        f: (F.col(f) - F.lit(centre)) / F.lit(scale)
-        for f, (centre, scale) in scaler_values(params).items()
-    })
+    return df.withColumn("_fitted", _fitted(params)).withColumns({f: scaled(f) for f in features}).drop("_fitted")
 
 
 def fit_window_scaler(
@@ -64,15 +64,16 @@ def apply_window_scaler(
     windows: DataFrame, params: DataFrame, features: Sequence[str], values: str = "values"
 ) -> DataFrame:
     """Scale every time step inside the window arrays."""
-    fitted = scaler_values(params)
+    fitted = F.array(*[F.element_at("_fitted", F.lit(f)) for f in features])
 
     def step(v: Column) -> Column:
         return F.array(*[
-            ((v[i].cast("double") - F.lit(fitted[f][0])) / F.lit(fitted[f][1])).cast("float")
-            for i, f in enumerate(features)
+            ((v[i].cast("double") - F.col("_pairs")[i]["centre"]) / F.col("_pairs")[i]["scale"]).cast("float")
+            for i in range(len(features))
         ])
 
-    return windows.withColumn(values, F.transform(values, step))
+    return (windows.withColumn("_fitted", _fitted(params)).withColumn("_pairs", fitted)
+            .withColumn(values, F.transform(values, step)).drop("_fitted", "_pairs"))
 
 
 def save_scaler(params: DataFrame, path: str) -> None:
@@ -84,14 +85,10 @@ def load_scaler(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_mapping(df: DataFrame, label: str) -> DataFrame:
-    """Sorted distinct labels as rows (label, label_id), at most MAX_CLASSES."""
+    """Sorted distinct labels as rows (label, label_id), however many there are."""
     found = df.filter(F.col(label).isNotNull()).select(
         F.col(label).cast("string").alias("label")).distinct()
-    numbered = found.withColumn(
-        "label_id", F.row_number().over(Window.orderBy("label")).cast("int") - 1)
-    check = F.assert_true(
-        F.col("label_id") < MAX_CLASSES, F.lit(f"more than {MAX_CLASSES} classes"))
-    return numbered.filter(check.isNull())
+    return ordered_rank(found, ["label"], "label_id").withColumn("label_id", F.col("label_id").cast("int"))
 
 
 def encode_labels(
@@ -106,7 +103,7 @@ def encode_labels(
     mapping = mapping if mapping is not None else label_mapping(df, label)
     named = mapping.select(F.col("label").alias("_label"), F.col("label_id").alias(out))
     joined = df.withColumn("_label", F.col(label).cast("string")).join(
-        F.broadcast(named), "_label", "left").drop("_label")
+        named, "_label", "left").drop("_label")
     return joined.withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
@@ -115,7 +112,7 @@ def decode_labels(
 ) -> DataFrame:
     """Add the label of a class number; unknown numbers become ``unassigned``."""
     named = mapping.select(F.col("label_id").alias("_id"), F.col("label").alias(out))
-    joined = df.withColumn("_id", F.col(label_id)).join(F.broadcast(named), "_id", "left")
+    joined = df.withColumn("_id", F.col(label_id)).join(named, "_id", "left")
     return joined.drop("_id").withColumn(out, F.coalesce(out, F.lit("unassigned")))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keytempo import names
+from keytempo.operators.groups import ordered_rank
 
-LOOK_ROWS = 10_000
+UNASSIGNED = "unassigned"
 PREFIX = 4  # hex digits of the hash that bucket the groups: at most 65,536 buckets
 
 
@@ -71,7 +72,10 @@ def grouped_split(
     df: DataFrame, group: str = "user_id", test: float = 0.2, seed: int = 42,
     row_id: str | None = None,
 ) -> DataFrame:
-    """Add ``split`` (train or test).  A single group is cut in row order by ``row_id``."""
+    """Add ``split`` (train or test).  A single group is cut in row order by ``row_id``.
+
+    Rows without a group stay in the result as ``unassigned``, here and in the other splits by group.
+    """
     return _split(df, group, test, 0.0, seed, row_id, least=2)
 
 
@@ -84,40 +88,29 @@ def grouped_split3(
 
 
 def has_groups(df: DataFrame, group: str, least: int) -> bool:
-    """Whether there are at least ``least`` groups; usually a look at some rows is enough."""
-    known = df.select(group).filter(F.col(group).isNotNull())
-    for rows in (known.limit(LOOK_ROWS), known):
-        if rows.distinct().limit(least).count() >= least:
-            return True
-    return False
+    """Whether there are at least ``least`` groups."""
+    return df.select(group).filter(F.col(group).isNotNull()).distinct().limit(least).count() >= least
+
+
+def _assigned(df: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    return df.join(members, group, "left").withColumn("split", F.coalesce("split", F.lit(UNASSIGNED)))
 
 
 def _split(df, group, test, val, seed, row_id, least) -> DataFrame:
     if group in df.columns and has_groups(df, group, least):
-        return df.join(assign_split(df, group, test, val, seed), group)
+        return _assigned(df, assign_split(df, group, test, val, seed), group)
     if row_id is None:
         raise ValueError("too few groups to split whole groups and no row_id to cut by")
     return sequential_split(df, row_id, val, test)
 
 
 def sequential_split(df: DataFrame, row_id: str, val: float, test: float) -> DataFrame:
-    """Cut the rows in ``row_id`` order: first train, then val, then test.
-
-    The cut values come from two exact order statistics of the distinct id.
-    """
-    from keytempo.operators.groups import exact_quantiles
-
-    total = df.count()
-    first_val = int(total * (1.0 - test - val))
-    first_test = int(total * (1.0 - test))
-    last = max(total - 1, 1)
-    cuts = exact_quantiles(df, [], {
-        "_val": (row_id, first_val / last), "_test": (row_id, min(first_test / last, 1.0))})
-    # Positions are whole ranks, so rounding undoes the interpolation.
-    bounds = cuts.select(F.round("_val").alias("v"), F.round("_test").alias("t"))
-    v, t = bounds.select("v").scalar(), bounds.select("t").scalar()
-    return df.withColumn("split", F.when(F.col(row_id) < v, "train")
-                         .when(F.col(row_id) < t, "val").otherwise("test"))
+    """Cut the rows in the order of ``row_id``, a value of any ordered type: first train, then val, then test."""
+    ranked = ordered_rank(df, [row_id], "_rank")
+    total = ranked.count()
+    return ranked.withColumn(
+        "split", F.when(F.col("_rank") < int(total * (1.0 - test - val)), "train")
+        .when(F.col("_rank") < int(total * (1.0 - test)), "val").otherwise("test")).drop("_rank")
 
 
 def split_windows(
@@ -126,8 +119,8 @@ def split_windows(
 ) -> DataFrame:
     """Three-way split of windows; too few people fall back to whole sessions."""
     if has_groups(windows, group, 3):
-        return windows.join(assign_split(windows, group, test, val, seed), group)
-    return windows.join(assign_split(windows, "session_id", test, val, seed), "session_id")
+        return _assigned(windows, assign_split(windows, group, test, val, seed), group)
+    return _assigned(windows, assign_split(windows, "session_id", test, val, seed), "session_id")
 
 
 def apply_split(rows: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:

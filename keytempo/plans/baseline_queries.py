@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keytempo import names
 from keytempo.operators import baselines, charts, evaluation, models, scaling, splits
 from keytempo.operators import windows
-from keytempo.plans.event_queries import session_table
+from keytempo.plans.event_queries import session_table, stored_sessions
 from keytempo.plans.key_events import key_events, stable
 from keytempo.plans.quality_queries import labelled_windows
 from keytempo.plans.registry import query
@@ -48,7 +48,7 @@ FROM (SELECT *, CASE WHEN mad > 1e-4 THEN 2.5 * mad ELSE 2.5 * std END AS cutoff
       FROM lf JOIN base USING (user_id, feature))
 WHERE cutoff > 1e-4 AND abs(value - median) > cutoff"""))
 def baseline_outliers(spark, sf_dir):
-    sessions = session_table(spark, sf_dir)
+    sessions = stored_sessions(spark, sf_dir)
     return stable(baselines.baseline_outliers(sessions, baselines.user_baselines(sessions)))
 
 
@@ -62,7 +62,7 @@ FROM (SELECT *, CASE WHEN std > 1e-5 THEN (value - mean) / std
 
 
 def deviations(spark, sf_dir):
-    sessions = session_table(spark, sf_dir)
+    sessions = stored_sessions(spark, sf_dir)
     return baselines.session_deviation(sessions, baselines.user_baselines(sessions))
 
 
@@ -97,11 +97,12 @@ LEVEL_SQL = """CASE WHEN typing_deviation_index IS NULL THEN 'unavailable'
 SELECT user_id, session_id, {r('typing_deviation_index', 4)} AS typing_deviation_index,
   evaluated_features FROM tdi"""))
 def deviation_index(spark, sf_dir):
-    return stable(baselines.deviation_index(deviations(spark, sf_dir)), 4)
+    index = indexed(spark, sf_dir).filter("evaluated_features > 0")
+    return stable(index.select("user_id", "session_id", "typing_deviation_index", "evaluated_features"), 4)
 
 
-def indexed(spark, sf_dir):
-    sessions = session_table(spark, sf_dir)
+def indexed(spark, sf_dir, sessions=None):
+    sessions = stored_sessions(spark, sf_dir) if sessions is None else sessions
     return baselines.session_index(sessions, baselines.user_baselines(sessions))
 
 
@@ -361,7 +362,7 @@ def _scaled(spark, sf_dir, kind):
     parts = splits.grouped_split(
         session_table(spark, sf_dir).select("user_id", "session_id", *_SCALED))
     params = scaling.fit_scaler(parts.filter("split = 'train'"), _SCALED, kind)
-    return stable(scaling.apply_scaler(parts, params))
+    return stable(scaling.apply_scaler(parts, params, _SCALED))
 
 
 @query("scaled_standard", _scaled_sql("avg({f})", "stddev_pop({f})"))

@@ -5,6 +5,7 @@ from keytempo.plans import (  # noqa: F401
     event_queries,
     quality_queries,
     record_queries,
+    stored_queries,
     stream_queries,
 )
 from keytempo.plans.registry import ORACLES, QUERIES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keytempo.operators import adapt, cleaning, events, features, pairing
-from keytempo.plans.key_events import TIMES, down_up, key_events, stable
+from keytempo.plans.key_events import TIMES, down_up, key_events, stable, written
 from keytempo.plans.registry import query
 from keytempo.plans.sql import part, r, with_parts
 
@@ -262,6 +262,11 @@ def session_table(spark, sf_dir):
     return features.session_features(key_events(spark, sf_dir))
 
 
+def stored_sessions(spark, sf_dir):
+    """The session table for queries that read it more than once."""
+    return written(session_table(spark, sf_dir), "sessions")
+
+
 @query("session_features", with_parts("sf", body=f"""
 SELECT {feature_sql(_FEATURES)}, {r('mean_typing_speed_wpm')} AS median_typing_speed_wpm,
   {r('mean_typing_speed_wpm')} AS min_typing_speed_wpm,

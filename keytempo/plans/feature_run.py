@@ -62,7 +62,7 @@ def run_features(
     params = _written(scaling.fit_scaler(train, columns, scaler), f"{out}/scaler")
     mapping = _written(scaling.label_mapping(train, "target_label"), f"{out}/labels")
     scaled = scaling.encode_labels(
-        scaling.apply_scaler(parts, params), "target_label", mapping)
+        scaling.apply_scaler(parts, params, columns), "target_label", mapping)
     scaled = _written(scaled, f"{out}/features", ["split"])
 
     members = parts.select("user_id", "session_id", "split")
@@ -74,7 +74,7 @@ def run_features(
         scaling.fit_scaler(rows.filter("split = 'train'"), inputs, scaler),
         f"{out}/event_scaler")
     win = windows.sliding_windows(
-        scaling.apply_scaler(rows, steps), inputs, length, stride, order=order,
+        scaling.apply_scaler(rows, steps, inputs), inputs, length, stride, order=order,
         label="state" if "state" in rows.columns else None)
     win = win.join(members, ["user_id", "session_id"])
     win = _written(win, f"{out}/windows", ["split"])

@@ -6,13 +6,13 @@ person's week, error events are backspaces, and odd user numbers form the second
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo.functions.columns import rounded
+from keytempo.operators.groups import shared_folder
 
 
 # Times are the same double in every engine and are never rounded.
@@ -72,5 +72,11 @@ def down_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/keytempo-stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/keytempo-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A step that several later ones read: written to the shared folder once, and read back."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

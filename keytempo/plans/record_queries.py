@@ -11,7 +11,7 @@ from keytempo.operators import adapt, assessments, baselines, evaluation, privac
 from keytempo.operators import validation
 from keytempo.plans.baseline_queries import LEVEL_SQL, indexed
 from keytempo.plans.event_queries import session_table
-from keytempo.plans.key_events import down_up, key_events, scratch, stable, table
+from keytempo.plans.key_events import down_up, key_events, scratch, stable, table, written
 from keytempo.plans.registry import query
 from keytempo.plans.sql import part, r, with_parts
 from keytempo.sources import events as event_sources
@@ -101,8 +101,8 @@ def minimize_report(spark, sf_dir):
         table(spark, sf_dir, "events"), allowed=["event_id", "user_id", "value"])
 
 
-def payloads(spark, sf_dir):
-    """Browser payloads with faults by event type: forbidden key, bad type, bad time, one letter."""
+def payloads(events):
+    """Browser payloads of events with faults by event type: forbidden key, bad type, bad time, one letter."""
     kind = F.col("event_type")
     entries = [
         (F.lit("type"), F.when(kind == "view", "keypress").when(kind == "click", "KeyDown")
@@ -116,7 +116,7 @@ def payloads(spark, sf_dir):
     ]
     payload = F.map_from_entries(F.array(*[
         F.struct(k.alias("k"), v.alias("v")) for k, v in entries]))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("row_id"), F.col("user_id").cast("string").alias("user_id"),
         payload.alias("payload"))
 
@@ -130,21 +130,24 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, value,
        WHEN value > 400 THEN 'raw_character' END AS reason FROM events""")
 
 
-@query("sanitized_events", with_parts("judged", body=f"""
+SANITIZED_SQL = with_parts("judged", body=f"""
 SELECT event_id AS row_id, user_id, CASE WHEN event_type = 'click' THEN 'down' ELSE 'up' END
   AS event_type, {r('t')} AS timestamp_ms, CASE WHEN event_type = 'error' THEN 'k_backspace'
     ELSE 'k_' || event_type END AS key_token, event_type = 'error' AS is_backspace,
   false AS is_enter, false AS is_space, CAST(event_id AS VARCHAR) AS event_id
-FROM judged WHERE reason IS NULL"""))
+FROM judged WHERE reason IS NULL""")
+
+
+@query("sanitized_events", SANITIZED_SQL)
 def sanitized_events(spark, sf_dir):
-    clean, _ = adapt.sanitize_events(payloads(spark, sf_dir), keep=["row_id", "user_id"])
+    clean, _ = adapt.sanitize_events(payloads(table(spark, sf_dir, "events")), keep=["row_id", "user_id"])
     return clean.withColumn("timestamp_ms", F.round("timestamp_ms", 6) + F.lit(0.0))
 
 
 @query("rejected_events", with_parts("judged", body="""
 SELECT event_id AS row_id, user_id, reason FROM judged WHERE reason IS NOT NULL"""))
 def rejected_events(spark, sf_dir):
-    _, rejects = adapt.sanitize_events(payloads(spark, sf_dir), keep=["row_id", "user_id"])
+    _, rejects = adapt.sanitize_events(payloads(table(spark, sf_dir, "events")), keep=["row_id", "user_id"])
     return rejects
 
 
@@ -152,7 +155,7 @@ def rejected_events(spark, sf_dir):
 SELECT event_id AS row_id, CASE WHEN event_type = 'signup' THEN 'text' ELSE '' END
   AS forbidden_keys FROM events""")
 def payload_audit(spark, sf_dir):
-    found = adapt.audit_payload(payloads(spark, sf_dir), "payload")
+    found = adapt.audit_payload(payloads(table(spark, sf_dir, "events")), "payload")
     return found.select("row_id", F.array_join("forbidden_keys", ",").alias("forbidden_keys"))
 
 
@@ -165,15 +168,34 @@ def chronological_events(spark, sf_dir):
 
 # --- privacy ----------------------------------------------------------------------------------
 
-@query("private_mean")
+def noise_sql(scale: str) -> str:
+    """The seeded noise of a group: 52 bits of md5 through the inverse Laplace distribution."""
+    return f"""-({scale}) * sign(u - 0.5) * ln(greatest(1.0::DOUBLE - 2.0::DOUBLE * abs(u - 0.5::DOUBLE), 5e-324))"""
+
+
+part("noisy", sql="""
+SELECT *, (('0x' || substr(md5('7:' || event_type), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+FROM (SELECT event_type, avg(least(greatest(value, 0.0), 500.0)) AS mean, count(*) AS n FROM events
+      GROUP BY event_type)""")
+
+
+@query("private_mean", with_parts("noisy", body=f"""
+SELECT event_type, {r('mean + ' + noise_sql('500.0::DOUBLE / n'))} AS private_value, 1.0::DOUBLE AS epsilon,
+  {r('500.0::DOUBLE / n', 9)} AS sensitivity, {r('500.0::DOUBLE / n', 9)} AS noise_scale, n AS sample_size,
+  'Laplace' AS mechanism FROM noisy"""))
 def private_mean(spark, sf_dir):
-    return privacy.private_mean(
+    df = privacy.private_mean(
         table(spark, sf_dir, "events"), "value", (0.0, 500.0), seed=7, keys=["event_type"])
+    return df.withColumns({
+        "private_value": F.round("private_value", 6) + 0.0, "sensitivity": F.round("sensitivity", 9) + 0.0,
+        "noise_scale": F.round("noise_scale", 9) + 0.0})
 
 
-@query("private_count")
+@query("private_count", with_parts("noisy", body=f"""
+SELECT event_type, {r('greatest(0.0::DOUBLE, n + ' + noise_sql('1.0::DOUBLE') + ')')} AS private_value,
+  1.0::DOUBLE AS epsilon, 1.0::DOUBLE AS sensitivity, 1.0::DOUBLE AS noise_scale, 'Laplace' AS mechanism FROM noisy"""))
 def private_count(spark, sf_dir):
-    return privacy.private_count(table(spark, sf_dir, "events"), seed=7, keys=["event_type"])
+    return stable(privacy.private_count(table(spark, sf_dir, "events"), seed=7, keys=["event_type"]))
 
 
 @query("private_mean_parameters", f"""
@@ -291,7 +313,7 @@ def encryption_rejects(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name")
     sealed = privacy.encrypt_columns(df, ["c_name"], KEY)
     sealed = sealed.withColumn("c_name", F.when(
-        F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("AAAA"), F.substring("c_name", 5, 999)))
+        F.col("c_mktsegment") == "BUILDING", F.overlay("c_name", F.lit("AAAA"), 1))
         .otherwise(F.col("c_name")))
     good, bad = privacy.decrypt_or_reject(sealed, ["c_name"], KEY)
     return good.select("c_custkey", F.lit(False).alias("rejected")).unionByName(
@@ -424,13 +446,11 @@ def assessed(spark, sf_dir, top=False):
     probs = counts.groupBy("user_id", "session_id").agg(F.map_from_entries(
         F.array_sort(F.collect_list(F.struct("key_token", "n")))).alias("class_probabilities"))
     prediction = evaluation.interpret_probabilities(probs)
-    ranked = None
-    if top:
-        sessions = session_table(spark, sf_dir)
-        ranked = baselines.top_deviations(baselines.session_deviation(
-            sessions, baselines.user_baselines(sessions)))
+    sessions = written(session_table(spark, sf_dir), "sessions")
+    ranked = baselines.top_deviations(baselines.session_deviation(
+        sessions, baselines.user_baselines(sessions))) if top else None
     return assessments.assess_sessions(
-        evidence, indexed(spark, sf_dir), prediction, ranked)
+        evidence, indexed(spark, sf_dir, sessions), prediction, ranked)
 
 
 @query("assessments", with_parts("judgement", body=f"""
@@ -517,16 +537,13 @@ def flatten_json(spark, sf_dir):
 
 # --- sources ----------------------------------------------------------------------------------
 
-@query("dataset_fingerprint")
-def dataset_fingerprint(spark, sf_dir):
-    return event_sources.dataset_fingerprint(table(spark, sf_dir, "lineitem"))
-
-
-@query("candidate_files")
-def candidate_files(spark, sf_dir):
-    return event_sources.candidate_files(spark, sf_dir)
+_LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
-@query("discovered_datasets")
-def discovered_datasets(spark, sf_dir):
-    return event_sources.discover_datasets(spark, sf_dir)
+@query("dataset_fingerprint", f"""
+WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', {', '.join(
+    f"coalesce(CAST({c} AS VARCHAR), '-')" for c in _LINE)})), 1, 15))::BIGINT AS h FROM lineitem)
+SELECT count(*) AS row_count, bit_xor(h) AS xor_hash, CAST(sum(h % 1048576) AS BIGINT) AS sum_hash FROM h""")
+def dataset_fingerprint(spark, sf_dir):
+    return event_sources.dataset_fingerprint(table(spark, sf_dir, "lineitem").select(*_LINE))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keytempo.operators import baselines
 from keytempo.plans.event_queries import PAIR_SQL, session_table
 from keytempo.plans.key_events import scratch, stable, table
+from keytempo.plans.record_queries import SANITIZED_SQL, payloads
 from keytempo.plans.registry import query
 from keytempo.plans.sql import part, r, with_parts
 from keytempo.streaming import keys, sinks
@@ -76,6 +77,40 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").withColumn("seen", F.lit(True))
 
 
+@query("stream_sanitize", SANITIZED_SQL)
+def stream_sanitize(spark, sf_dir):
+    """Browser payloads cleaned while they arrive."""
+    schema = table(spark, sf_dir, "events").schema
+    source = keys.read_event_stream(spark, f"{sf_dir}/events*.parquet", schema, "parquet")
+    folder = scratch(spark)
+    finished(keys.sanitize_stream(payloads(source), keep=["row_id", "user_id"]), folder)
+    return spark.read.parquet(f"{folder}/out").withColumn(
+        "timestamp_ms", F.round("timestamp_ms", 6) + F.lit(0.0))
+
+
+@query("stream_pauses", with_parts("parted", body=f"""
+SELECT user_id, session_id, key_token, down AS press_time, timestamp_ms AS release_time,
+  row_number() OVER s - 1 AS sequence_index,
+  {r('''CASE WHEN lag(timestamp_ms) OVER g IS NOT NULL
+        THEN greatest(0.0, down - lag(timestamp_ms) OVER g) END''')} AS flight_time
+FROM (SELECT *, lag(event_type) OVER k AS before, lag(timestamp_ms) OVER k AS down
+      FROM parted WHERE marker IS NULL AND paused_state = 'resume'
+      WINDOW k AS (PARTITION BY user_id, session_id, key_token, segment ORDER BY timestamp_ms, raw_id))
+WHERE event_type = 'up' AND before = 'down' AND timestamp_ms - down BETWEEN 0 AND 4000
+WINDOW s AS (PARTITION BY user_id, session_id ORDER BY timestamp_ms, raw_id),
+       g AS (PARTITION BY user_id, session_id, segment ORDER BY timestamp_ms, raw_id)"""))
+def stream_pauses(spark, sf_dir):
+    """Presses of signup events pause a session, presses of purchase events resume it."""
+    down = F.col("event_type") == "down"
+    marked = raw_stream(spark, sf_dir).withColumn(
+        "event_type", F.when(down & (F.col("key_token") == "k_signup"), "pause")
+        .when(down & (F.col("key_token") == "k_purchase"), "resume").otherwise(F.col("event_type")))
+    folder = scratch(spark)
+    finished(keys.pair_stream(marked), folder)
+    return stable(spark.read.schema(keys.PAIR_SCHEMA).parquet(f"{folder}/out").select(
+        "user_id", "session_id", "key_token", "press_time", "release_time", "sequence_index", "flight_time"))
+
+
 part("simple", "fl", sql="""
 SELECT user_id, session_id, count(*) AS event_count, avg(dwell) AS mean_dwell_ms,
   arg_min(press_time, struct_pack(a := release_time, b := event_id)) AS start_time,

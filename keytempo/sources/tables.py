@@ -74,14 +74,15 @@ def write_documents(assessment_rows: DataFrame, folder: str) -> None:
         folder)
 
 
-def list_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Scan a folder with one assessment document per JSON file.
+def list_sessions(spark: SparkSession, folder: str, one_per_file: bool = True) -> DataFrame:
+    """Scan a folder with one assessment document per JSON file, or one per line as ``write_documents`` leaves them.
 
     Broken documents become rows with quality CORRUPTED, documents with a forbidden key become
     BLOCKED and show nothing of their content.
     """
     docs = (
-        spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+        (spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True) if one_per_file
+         else spark.read.text(folder))
         .select(
             F.col("value").alias("assessment_json"),
             F.col("_metadata.file_name").alias("file_name"),

@@ -21,6 +21,10 @@ from keytempo.operators.pairing import CORRECTION_GAP_MS, MAX_DWELL_MS
 EVENT_TIME = "event_time"
 KEYS = ("user_id", "session_id")
 DELAY = "30 seconds"
+#: A session without rows for this long is over: its state is removed, later rows start it anew at index 0.
+IDLE_MS = 3_600_000.0
+#: Files that a batch takes at most, so that its rows stay bounded.
+FILES_PER_BATCH = 16
 
 PAIR_SCHEMA = (
     "user_id string, session_id string, sequence_index long, press_time double, "
@@ -29,17 +33,15 @@ PAIR_SCHEMA = (
 )
 _BUFFER = ("event_type string, timestamp_ms double, key_token string, is_backspace boolean, "
            "is_enter boolean, is_space boolean, raw_id long")
-_SESSION = "released double, next_index long, last_backspace double, paused boolean"
+_SESSION = "released double, next_index long, last_backspace double, paused boolean, seen double"
 
 
 def read_event_stream(
     spark: SparkSession, path: str, schema: StructType | str, fmt: str = "json",
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
     """A stream of event files (JSON lines, CSV or Parquet) that appear in a folder."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.format(fmt).load(path)
 
 
@@ -85,10 +87,14 @@ class PairKeys(StatefulProcessor):
     """Pairs the keys of one session.
 
     State: rows the watermark has not passed, the press time of every key that is down, and the
-    last release, next index, last backspace press and pause flag of the session.  The
-    buffer holds the rows of one watermark delay, whatever the length of the session.
+    last release, next index, last backspace press, pause flag and last time of the session.  The
+    buffer holds the rows of one watermark delay, whatever the length of the session.  A timer
+    removes all of it once the session has been idle for ``idle_ms``.
     """
 
+    def __init__(self, idle_ms: float = IDLE_MS):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buffer = handle.getListState("buffer", _BUFFER)
@@ -120,6 +126,10 @@ class PairKeys(StatefulProcessor):
         due = sorted((r for r in rows if r[1] < watermark), key=lambda r: (r[1], r[6]))
         rest = [r for r in rows if r[1] >= watermark]
         if not due:
+            if not rest and self.session.exists() and self.session.get()[4] + self.idle_ms < watermark:
+                self.buffer.clear()
+                self.pending.clear()
+                self.session.clear()
             return
         if rest:
             self.buffer.put([tuple(r) for r in rest])
@@ -127,6 +137,7 @@ class PairKeys(StatefulProcessor):
         else:
             self.buffer.clear()
         found = self._pair(key, due)
+        self._wake(due[-1][1] + self.idle_ms)
         if found:
             yield pd.DataFrame(found)
 
@@ -137,8 +148,8 @@ class PairKeys(StatefulProcessor):
         self.handle.registerTimer(int(time_ms) + 1)
 
     def _pair(self, key, rows) -> list[dict]:
-        released, index, backspace, paused = (
-            self.session.get() if self.session.exists() else (None, 0, None, False))
+        released, index, backspace, paused, _ = (
+            self.session.get() if self.session.exists() else (None, 0, None, False, None))
         found = []
         for kind, time, token, is_backspace, is_enter, is_space, _ in rows:
             if kind == "pause":
@@ -167,7 +178,7 @@ class PairKeys(StatefulProcessor):
                     "is_space": is_space, "is_correction": burst,
                 })
                 released, index = time, index + 1
-        self.session.update((released, index, backspace, paused))
+        self.session.update((released, index, backspace, paused, rows[-1][1]))
         return found
 
 
@@ -175,14 +186,14 @@ def _flag(value) -> bool:
     return bool(value) if value is not None and value == value else False
 
 
-def pair_stream(events: DataFrame) -> DataFrame:
+def pair_stream(events: DataFrame, idle_ms: float = IDLE_MS) -> DataFrame:
     """Accepted pairs of a stream that has gone through ``with_event_time``.
 
     Rows need the raw event columns and ``raw_id``; ``pause`` and ``resume`` rows control the
     session, ``tick`` rows only move time on.
     """
     return events.groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=PairKeys(), outputStructType=PAIR_SCHEMA, outputMode="append",
+        statefulProcessor=PairKeys(idle_ms), outputStructType=PAIR_SCHEMA, outputMode="append",
         timeMode="EventTime",
     )
 

@@ -93,12 +93,3 @@ def test_segments_follow_the_order_and_split_equal_times(spark):
     assert sum(sizes) == 4000 and len(sizes) > 30 and max(sizes) <= 300
     ordered = [r._seg for r in out.orderBy("t", "id").collect()]
     assert ordered == sorted(ordered)
-
-
-def test_limit_follows_input_size(spark, sf):
-    size = groups.estimated_bytes(key_events(spark, sf))
-    assert 0 < size < groups.TASK_BYTES
-    assert groups.group_limit(size) == groups.GROUP_ROWS
-    keys = groups.KEY_ENTRY_BYTES * (10**13 // groups.ROW_BYTES) / groups.group_limit(10**13)
-    assert keys <= groups.KEY_LIST_BYTES
-    assert groups.group_limit(10**18) == groups.GROUP_ROWS_MAX

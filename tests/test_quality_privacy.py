@@ -210,7 +210,7 @@ def test_scaler_uses_population_spread_and_guards_zero(spark, tmp_path):
     params = scaling.fit_scaler(df, ["a", "b"])
     scaling.save_scaler(params, f"{tmp_path}/p")
     back = scaling.load_scaler(spark, f"{tmp_path}/p")
-    assert rows(scaling.apply_scaler(df, back)) == [(-1.0, 0.0), (1.0, 0.0)]
+    assert rows(scaling.apply_scaler(df, back, ["a", "b"])) == [(-1.0, 0.0), (1.0, 0.0)]
 
 
 def test_labels(spark):
