@@ -1,13 +1,15 @@
-"""Queries over tables that a run has stored: feature run, archive scan, profiles, splits of odd rows."""
+"""Queries over tables that a run has stored, and on rows with faults: feature run, archive scan, splits, states, texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keytempo.operators import assessments, splits
+from keytempo.operators import assessments, baselines, cleaning, events, splits, validation
 from keytempo.plans import feature_run
+from keytempo.plans.baseline_queries import LEVEL_SQL, deviations
 from keytempo.plans.event_queries import session_table
 from keytempo.plans.key_events import key_events, scratch, stable, table
+from keytempo.plans.quality_queries import labelled_windows
 from keytempo.plans.record_queries import assessed
 from keytempo.plans.registry import query
 from keytempo.plans.sql import r, with_parts
@@ -100,3 +102,89 @@ def grouped_split_missing(spark, sf_dir):
     """Every seventh event has lost its person and stays in the result without a partition."""
     rows = key_events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("user_id"))
     return splits.grouped_split(rows)
+
+
+_FAULTS = """CASE event_id % 9 WHEN 0 THEN -1.0 WHEN 1 THEN NULL ELSE "timestamp" END"""
+
+
+@query("clean_reasons", with_parts("fl", body=f"""
+, w AS (SELECT event_id, {_FAULTS} AS t, CASE event_id % 9 WHEN 2 THEN 3.0 WHEN 3 THEN 9000.0 ELSE dwell END AS d,
+    CASE event_id % 9 WHEN 4 THEN press_time - 5.0 ELSE release_time END AS release_time, press_time,
+    CASE event_id % 9 WHEN 5 THEN -500.0 WHEN 6 THEN 20000.0 WHEN 7 THEN -50.0 ELSE flight END AS f FROM fl),
+j AS (SELECT *, CASE WHEN t IS NULL OR t < 0 THEN 'invalid_timestamp' WHEN d < 10 THEN 'short_dwell'
+    WHEN d > 4000 THEN 'long_dwell' WHEN release_time - press_time < 10 OR release_time - press_time > 4000 THEN
+      'bad_computed_dwell' WHEN f < -200 THEN 'negative_flight' WHEN f > 10000 THEN 'long_flight' END AS reason FROM w)
+SELECT event_id, reason, {r('CASE WHEN reason IS NULL AND f < 0 THEN 0.0 ELSE f END')} AS flight_time FROM j"""))
+def clean_reasons(spark, sf_dir):
+    """Rows with a fault of every kind; mildly negative flights of clean rows become 0."""
+    nth = F.col("event_id") % 9
+    rows = events.flight_times(key_events(spark, sf_dir)).select(
+        "event_id", "press_time",
+        F.when(nth == 0, -1.0).when(nth == 1, F.lit(None)).otherwise(F.col("timestamp")).alias("timestamp"),
+        F.when(nth == 2, 3.0).when(nth == 3, 9000.0).otherwise(F.col("release_time") - F.col("press_time"))
+        .alias("dwell_time"),
+        F.when(nth == 4, F.col("press_time") - 5.0).otherwise(F.col("release_time")).alias("release_time"),
+        F.when(nth == 5, -500.0).when(nth == 6, 20000.0).when(nth == 7, -50.0).otherwise(F.col("flight_time"))
+        .alias("flight_time"))
+    clean, _ = cleaning.clean_events(rows)
+    bad = cleaning.check_rows(rows).filter("reason IS NOT NULL").select("event_id", "reason", "flight_time")
+    return stable(bad.unionByName(
+        clean.select("event_id", F.lit(None).cast("string").alias("reason"), "flight_time")))
+
+
+@query("sequence_state", with_parts("sf", "spans", body="""
+, b AS (SELECT DISTINCT user_id, session_id, CAST(user_id AS BIGINT) % 3 < 2 AS damaged FROM spans)
+SELECT user_id, session_id, CASE WHEN keystroke_count < 5 THEN 'insufficient_data'
+    WHEN coalesce(damaged, false) THEN 'not_ready'
+    WHEN keystroke_count >= 8 THEN 'prediction_available' ELSE 'model_unavailable' END AS assessment_state,
+  keystroke_count >= 8 AND NOT coalesce(damaged, false) AS assessment_ready
+FROM sf LEFT JOIN b USING (user_id, session_id)"""))
+def sequence_state(spark, sf_dir):
+    """States of sessions whose windows hold bad numbers (every third person) or lack a step (the next)."""
+    person = F.col("user_id").cast("long") % 3
+    windows = labelled_windows(spark, sf_dir, features=("dwell_time", "flight_time"))
+    nan = F.array(F.array(F.lit(float("nan")).cast("float"), F.lit(0.0).cast("float")))
+    broken = windows.withColumn("values", F.when(person == 0, F.concat(nan, F.slice("values", 2, 9)))
+                                .when(person == 1, F.slice("values", 1, 9)).otherwise(F.col("values")))
+    blocked = broken.groupBy("user_id", "session_id").agg(
+        F.bool_or(validation.sequence_problem("values", 10, 2)).alias("blocked"))
+    sessions = session_table(spark, sf_dir).select("user_id", "session_id", "keystroke_count").join(
+        blocked, ["user_id", "session_id"], "left").withColumns({
+            "model_available": F.col("keystroke_count") >= 8, "baseline_status": F.lit("unavailable")})
+    return validation.assessment_state(sessions, blocked=F.col("blocked")).select(
+        "user_id", "session_id", "assessment_state", "assessment_ready")
+
+
+@query("narratives", with_parts("judgement", body=f"""
+, m AS (SELECT user_id, session_id, max(p) FILTER (place = 1) - coalesce(max(p) FILTER (place = 2), 0) AS margin
+        FROM shares GROUP BY user_id, session_id),
+j AS (SELECT *, {LEVEL_SQL} AS level, printf('%.2f', typing_deviation_index) AS i,
+        CAST(round(top_probability * 100.0) AS INTEGER) || '%' AS chance
+      FROM judgement JOIN m USING (user_id, session_id))
+SELECT user_id, session_id, CASE WHEN total_paired_events < 5
+  THEN 'Too few key presses (' || total_paired_events || ') for an assessment; at least 5 are needed.'
+  ELSE CASE level
+      WHEN 'higher_deviation' THEN 'Typing rhythm is far from the personal baseline (index ' || i || ' of 100).'
+      WHEN 'moderate_deviation' THEN
+        'Typing rhythm differs moderately from the personal baseline (index ' || i || ' of 100).'
+      WHEN 'expected_variance' THEN 'Typing rhythm is within the usual personal range (index ' || i || ' of 100).'
+      ELSE 'There is no personal baseline yet; more sessions are needed.' END || ' ' ||
+    CASE WHEN margin >= 0.15 THEN 'The model matches class ''' || predicted_class || ''' (' || chance || ', ' ||
+        CASE WHEN margin >= 0.30 THEN 'high' ELSE 'moderate' END || ' separation).'
+      ELSE 'The model ranks class ''' || predicted_class || ''' first (' || chance || '), but other classes are close.'
+    END
+  END AS overall_interpretation FROM j"""))
+def narratives(spark, sf_dir):
+    """The summary sentences of every session."""
+    return assessed(spark, sf_dir).select("user_id", "session_id", "overall_interpretation")
+
+
+@query("deviation_texts", with_parts("dev", body="""
+SELECT user_id, session_id, CAST(rank AS INTEGER) AS rank,
+  CASE WHEN z > 0 THEN '+' ELSE '' END || printf('%.1f', z) || ' SD ' || direction || ' than baseline' AS descriptor
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY abs(z) DESC, feature) AS rank
+      FROM (SELECT * REPLACE (round(z, 9) AS z) FROM dev)) WHERE rank <= 5"""))
+def deviation_texts(spark, sf_dir):
+    """The descriptions of the largest deviations."""
+    df = deviations(spark, sf_dir).withColumn("z_score", F.round("z_score", 9))
+    return baselines.top_deviations(df).select("user_id", "session_id", "rank", "descriptor")
