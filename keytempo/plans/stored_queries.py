@@ -11,9 +11,11 @@ from keytempo.plans.event_queries import session_table
 from keytempo.plans.key_events import key_events, scratch, stable, table
 from keytempo.plans.quality_queries import labelled_windows
 from keytempo.plans.record_queries import assessed
+from keytempo.plans.record_queries import stored_sessions as stored_rows
 from keytempo.plans.registry import query
 from keytempo.plans.sql import r, with_parts
 from keytempo.sources import tables
+from keytempo.streaming import sinks
 
 _RUN_SQL = with_parts("split2", "ev", body="""
 , clean AS (SELECT * FROM ev WHERE release_time - press_time BETWEEN 10 AND 4000),
@@ -188,3 +190,17 @@ def deviation_texts(spark, sf_dir):
     """The descriptions of the largest deviations."""
     df = deviations(spark, sf_dir).withColumn("z_score", F.round("z_score", 9))
     return baselines.top_deviations(df).select("user_id", "session_id", "rank", "descriptor")
+
+
+@query("erased_table", with_parts("stored", body="""
+SELECT session_id, pseudonymized_user_id, sample_count FROM stored WHERE CAST(pseudonymized_user_id AS BIGINT) % 7 <> 0"""))
+def erased_table(spark, sf_dir):
+    """A stored table after every seventh person is erased: touched buckets are rewritten and old files deleted."""
+    rows = stored_rows(spark, sf_dir).select("session_id", "pseudonymized_user_id", "sample_count")
+    target = sinks.KeyedTable(spark, f"{scratch(spark)}/sessions",
+                              "session_id string, pseudonymized_user_id string, sample_count long")
+    target.merge(rows, 0, ["session_id"], "sample_count")
+    people = rows.filter(F.col("pseudonymized_user_id").cast("long") % 7 == 0)
+    target.erase(1, ["pseudonymized_user_id"], people)
+    target.vacuum()
+    return target.current()[1]

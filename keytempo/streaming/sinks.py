@@ -103,6 +103,33 @@ class KeyedTable:
         self.spark.range(1).select(F.lit(batch_id).alias("batch"), mark.alias("buckets")).coalesce(1).write.mode(
             "append").json(f"{self.path}/published")
 
+    def erase(self, batch_id: int, keys: Sequence[str], rows: DataFrame) -> int:
+        """Delete the rows that agree with ``rows`` in ``keys`` (some or all key columns); returns how many buckets were
+        rewritten.  ``vacuum`` then removes the files that still hold them."""
+        done, versions = self._published()
+        if batch_id <= done:
+            return 0
+        gone, column = rows.select(*keys).distinct(), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        table = self._rows(versions)
+        bucket = F.substring_index(column, "=", -1).cast("int")
+        touched = sorted(r.b for r in table.select("*", bucket.alias("b")).join(gone, list(keys), "left_semi")
+                         .select("b").distinct().collect()) if versions else []
+        if touched:
+            left = self._rows({b: versions[b] for b in touched})
+            left = left.select("*", bucket.alias("bucket")).join(gone, list(keys), "left_anti").select(
+                *table.columns, "bucket")
+            left.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+                f"{self.path}/version={batch_id}")
+            kept = {r.bucket for r in self.spark.read.parquet(f"{self.path}/version={batch_id}").select("bucket")
+                    .distinct().collect()} if not left.isEmpty() else set()
+            for b in set(touched) - kept:  # nothing is left of these
+                self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(
+                    f"{self.path}/version={batch_id}/bucket={b}")
+        mark = F.array(*[F.lit(b) for b in touched]).cast("array<int>")
+        self.spark.range(1).select(F.lit(batch_id).alias("batch"), mark.alias("buckets")).coalesce(1).write.mode(
+            "append").json(f"{self.path}/published")
+        return len(touched)
+
     def vacuum(self) -> int:
         """Delete bucket folders that no published version names any more; returns how many.  Readers of older versions
         must be done."""
