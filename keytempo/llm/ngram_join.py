@@ -13,9 +13,8 @@ token flips one bit, so two sets differ in at least as many tokens as their sket
 
 A token group of more than ``SMALL`` classes gives only pairs with its centre (its smallest class) first.  After these are
 verified and joined into components, rounds of nearest pairs join more of them, and a last round takes every pair of classes
-that are still in different components, unless their distances to the centre (Jaccard distance is a metric)
-rule it out.  Every linked pair
-shares a group, so it is either inside one component already or compared; components are exact.
+that are still in different components, unless sketches or distances to the centre (Jaccard distance is a metric) rule it out.
+Every linked pair shares a group, so it is either inside one component already or compared: components are exact.
 """
 
 from __future__ import annotations

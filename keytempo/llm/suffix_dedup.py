@@ -18,6 +18,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,8 +198,9 @@ def context_rows(texts: DataFrame, buckets: int, places: int) -> DataFrame:
                 if len(g):
                     i = kept[g]
                     numbers = np.stack([key[i].view(np.int64), left[i], length[i], did[i], tag[i], start[i]])
-                    out.append((int(bucket[g[0]]), numbers.astype(np.int64).tobytes(),
-                                flat[common.concat_ranges(begin[i], length[i])].tobytes()))
+                    small = zstandard.ZstdCompressor(level=1).compress
+                    out.append((int(bucket[g[0]]), small(numbers.astype(np.int64).tobytes()),
+                                small(flat[common.concat_ranges(begin[i], length[i])].tobytes())))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(
                     (pa.int32(), pa.binary(), pa.binary()))],
@@ -229,8 +231,9 @@ def context_rows(texts: DataFrame, buckets: int, places: int) -> DataFrame:
 
 def settle(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
     """The removed ranges of a bucket's contexts."""
-    numbers = np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in pdf["numbers"]], 1)
-    flat = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["bytes"]])
+    whole = zstandard.ZstdDecompressor().decompress
+    numbers = np.concatenate([np.frombuffer(whole(x), np.int64).reshape(6, -1) for x in pdf["numbers"]], 1)
+    flat = np.concatenate([np.frombuffer(whole(x), np.uint8) for x in pdf["bytes"]])
     key, left, length, did, tag, start = numbers
     entry, first, count = resolve(flat, np.cumsum(length) - length, left, length, key.view(np.uint64), did)
     return repeats.frame(repeats.sharded(np.stack([tag[entry], did[entry], start[entry] + first, count], 1), shards))
