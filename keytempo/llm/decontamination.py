@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare word trigrams seed alignments of documents with test items.
 
 1. The trigrams of the test items are counted over all documents.
-2. In every stretch of ``STRETCH`` trigrams of an item the ``KEEP`` rarest become seeds, so an item always has seeds all
+2. In every stretch of ``STRETCH`` trigrams of an item the ``KEEP`` rarest that occur become seeds, so an item always has seeds all
    along, also where all its trigrams are frequent.
 3. Where a document has a seed, the item is aligned with the words around it by Smith-Waterman (words as letters).
    A document leaks an item if the alignment's score is ``LEAK`` or more of that of the item with itself.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from keytempo.llm import common
 from keytempo.llm.common import columns_of, numbered, table
 
-N, STRETCH, KEEP = 3, 6, 3
+N, STRETCH, KEEP = 3, 6, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.6
 #: Words of an item aligned at once; longer items are cut into passages of this length.
@@ -69,7 +69,9 @@ class Items:
             own = grams(words)
             count = counts[np.searchsorted(self.grams, own)]
             for k in range(0, len(own), STRETCH):
-                for j in np.lexsort((own[k:k + STRETCH], count[k:k + STRETCH]))[:KEEP]:
+                # Those that no document holds would find nothing.
+                by = np.lexsort((own[k:k + STRETCH], count[k:k + STRETCH]))
+                for j in by[count[k:k + STRETCH][by] > 0][:KEEP]:
                     seeds.setdefault(int(own[k + j]), set()).add((i, int(k + j)))
         self.seeds = np.array(sorted(seeds), np.uint64)
         self.places = [sorted(seeds[int(s)]) for s in self.seeds]
@@ -197,15 +199,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             look = Lookup(items.seeds)
             for batch in batches:
                 found = []
-                for ids, data, offsets in common.text_slices(batch.column(0), batch.column(1)):
+                for rows, data, offsets in common.text_slices(pa.array(np.arange(batch.num_rows)), batch.column(1)):
                     best: dict = {}
                     for d, passage, similarity, start, end in leaks_of(items, look, data, offsets):
                         item = items.passages[passage][0]
                         best[d, item] = max(best.get((d, item), (-1.0,)), (similarity, -start, end))
-                    found += [(ids[d], item, s, -start, end) for (d, item), (s, start, end) in sorted(best.items())]
+                    found += [(int(rows[d]), item, s, -start, end) for (d, item), (s, start, end) in best.items()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in found], t) for i, t in enumerate(
-                        (batch.schema.types[0], pa.int64(), pa.float64(), pa.int64(), pa.int64()))],
+                    [batch.column(0).take(pa.array([r[0] for r in found], pa.int64())),
+                     *[pa.array([r[i] for r in found], t) for i, t in (
+                         (1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]],
                     names=["doc_id", "item_id", "similarity", "start_word", "end_word"])
 
         out = out.unionByName(docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, kind))
