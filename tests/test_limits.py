@@ -119,13 +119,13 @@ def test_idle_sessions_leave_no_state(spark, tmp_path):
 
 
 def test_erasure_rewrites_and_vacuum_deletes(spark, tmp_path):
-    table = sinks.KeyedTable(spark, str(tmp_path / "t"), "k long, who string", buckets=4)
+    table = sinks.KeyedTable(spark, str(tmp_path / "t"), "k long, who string", buckets=2)
     rows_in = spark.range(40).select(F.col("id").alias("k"), F.concat(F.lit("p"), (F.col("id") % 5).cast("string")).alias("who"))
     table.merge(rows_in, 0, ["k"], "k")
     people = spark.createDataFrame([("p1",), ("nobody",)], "who string")
-    assert table.erase(1, ["who"], people) == 4 and table.erase(1, ["who"], people) == 0
+    assert table.erase(1, ["who"], people) == 2 and table.erase(1, ["who"], people) == 0
     assert {r.who for r in table.current()[1].collect()} == {"p0", "p2", "p3", "p4"}
-    assert table.vacuum() == 4
+    assert table.vacuum() == 2
     assert spark.read.parquet(str(tmp_path / "t" / "version=*" / "bucket=*")).filter("who = 'p1'").count() == 0
     everyone = spark.createDataFrame([(f"p{i}",) for i in range(5)], "who string")
-    assert table.erase(2, ["who"], everyone) == 4 and table.current()[1].count() == 0
+    assert table.erase(2, ["who"], everyone) == 2 and table.current()[1].count() == 0

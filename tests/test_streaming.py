@@ -56,7 +56,7 @@ def test_pairs_equal_batch_with_disorder(spark, small, tmp_path):
 
 def test_one_batch_gives_the_same(spark, small, tmp_path):
     feed(spark, small, f"{tmp_path}/in", files=1)
-    run(keys.pair_stream(keys.with_event_time(stream(spark, f"{tmp_path}/in", None))), tmp_path)
+    run(keys.pair_stream(keys.with_event_time(stream(spark, f"{tmp_path}/in", 16))), tmp_path)
     got = spark.read.schema(keys.PAIR_SCHEMA).parquet(f"{tmp_path}/out")
     assert rows(got) == rows(pairing.pair_live(small).select(*got.columns))
 
