@@ -30,7 +30,7 @@ from keytempo.llm.lyndon import suffix_order
 RUN, GRAM = 50, 20
 SPREAD = RUN - GRAM + 1
 #: Parts that the places of a string around its anchor are taken in at first, and different contexts sorted together.
-PARTS, TOGETHER = 4, 8
+PARTS, TOGETHER = 4, 4
 #: Contexts per bucket and per flush, about; bytes sorted at once.
 BUCKET, FLUSH, SORTED = 120_000, 150_000, 1 << 20
 _VALUES = common.byte_values(31)
@@ -177,6 +177,21 @@ def resolve(flat, begin, left, length, anchor, did):
     return np.concatenate(entries), np.concatenate(starts), np.concatenate(counts)
 
 
+def joined(tag, did, start, count) -> np.ndarray:
+    """Rows (tag, did, start, count) with overlapping and touching ranges of a text made one."""
+    order = np.lexsort((start, did, tag))
+    tag, did, start, end = tag[order], did[order], start[order], (start + count)[order]
+    if not len(tag):
+        return np.zeros((0, 4), np.int64)
+    text = np.cumsum(np.concatenate([[True], (tag[1:] != tag[:-1]) | (did[1:] != did[:-1])]))
+    step = int(end.max()) + 1
+    reach = np.maximum.accumulate(text * step + end) - text * step  # the furthest end so far in this text
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] > reach[:-1])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(tag)) - 1
+    return np.stack([tag[first], did[first], start[first], reach[last] - start[first]], 1)
+
+
 def context_rows(texts: DataFrame, buckets: int, places: int) -> DataFrame:
     """Contexts of shared anchors, per bucket of the anchor; what this task's own texts settle goes out as ranges."""
     def offer(batches):
@@ -191,7 +206,7 @@ def context_rows(texts: DataFrame, buckets: int, places: int) -> DataFrame:
             order, _, _, lost = fold(key, common.spans(prefix, begin, begin + length), left * 256 + length, did)
             gone, kept = order[lost], np.sort(order[~lost])
             out = [(buckets + shard, rows, None) for shard, rows in repeats.sharded(
-                np.stack([tag[gone], did[gone], start[gone], length[gone] - RUN + 1], 1), buckets)]
+                joined(tag[gone], did[gone], start[gone], length[gone] - RUN + 1), buckets)]
             bucket = (key[kept] % np.uint64(buckets)).astype(np.int64)
             again = np.argsort(bucket, kind="stable")
             for g in np.split(again, np.flatnonzero(np.diff(bucket[again])) + 1):
@@ -236,7 +251,7 @@ def settle(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
     flat = np.concatenate([np.frombuffer(whole(x), np.uint8) for x in pdf["bytes"]])
     key, left, length, did, tag, start = numbers
     entry, first, count = resolve(flat, np.cumsum(length) - length, left, length, key.view(np.uint64), did)
-    return repeats.frame(repeats.sharded(np.stack([tag[entry], did[entry], start[entry] + first, count], 1), shards))
+    return repeats.frame(repeats.sharded(joined(tag[entry], did[entry], start[entry] + first, count), shards))
 
 
 def covered(ranges: bytes, size: int) -> np.ndarray:
