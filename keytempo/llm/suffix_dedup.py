@@ -32,7 +32,7 @@ SPREAD = RUN - GRAM + 1
 #: Parts that the places of a string around its anchor are taken in at first, and different contexts sorted together.
 PARTS, TOGETHER = 4, 4
 #: Contexts per bucket and per flush, about; bytes sorted at once.
-BUCKET, FLUSH, SORTED = 120_000, 150_000, 1 << 20
+BUCKET, FLUSH, SORTED = 60_000, 60_000, 1 << 20
 _VALUES = common.byte_values(31)
 
 
