@@ -32,7 +32,7 @@ SPREAD = RUN - GRAM + 1
 #: Parts that the places of a string around its anchor are taken in at first, and different contexts sorted together.
 PARTS, TOGETHER = 4, 4
 #: Contexts per bucket and per flush, about; bytes sorted at once.
-BUCKET, FLUSH, SORTED = 60_000, 60_000, 1 << 20
+BUCKET, FLUSH, SORTED = 120_000, 100_000, 1 << 20
 _VALUES = common.byte_values(31)
 
 
@@ -62,6 +62,25 @@ def anchor_keys(data: np.ndarray, offsets: np.ndarray):
     return doc, key, np.ones(len(doc), bool)
 
 
+class Hashes:
+    """Hashes of parts of contexts: prefix sums in one row per context, made some thousand rows at a time."""
+
+    def __init__(self, flat, begin, length):
+        width = int(length.max()) if len(length) else 0
+        up, self.down = common.powers(width + 1)
+        self.sums = np.zeros((len(begin), width + 1), np.uint64)
+        for k in range(0, len(begin), 20_000):
+            n = length[k:k + 20_000]
+            some = self.sums[k:k + 20_000]
+            at = common.concat_ranges(np.arange(len(n)) * (width + 1) + 1, n)
+            some.reshape(-1)[at] = _VALUES[flat[common.concat_ranges(begin[k:k + 20_000], n)]]
+            some[:, 1:] *= up[None, :width]
+            np.cumsum(some, axis=1, out=some)
+
+    def __call__(self, which, start, end):
+        return common.mix((self.sums[which, end] - self.sums[which, start]) * self.down[start])
+
+
 def fold(key: np.ndarray, content: np.ndarray, shape: np.ndarray, did: np.ndarray):
     """Equal contexts of a key: order, first of each kind in it, kind of each, and whether a smaller did has the same."""
     order = np.lexsort((did, shape, content, key))
@@ -129,7 +148,7 @@ def resolve(flat, begin, left, length, anchor, did):
 
     Entry i is flat[begin[i]:begin[i] + length[i]] with its anchor at ``left[i]``; starts count from the context's begin.
     """
-    prefix = common.sums(_VALUES[flat])
+    hashes = Hashes(flat, begin, length)
     entries, starts, counts = [], [], []
     edges = np.linspace(1 - SPREAD, 1, PARTS + 1).astype(int)
     todo = [(np.arange(len(begin)), int(a), int(b) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -141,9 +160,8 @@ def resolve(flat, begin, left, length, anchor, did):
         which, a, e = which[fits], a[fits], e[fits]
         if not len(which):
             continue
-        middle = begin[which] + left[which]
-        core = common.mix(common.spans(prefix, middle + high, middle + low + RUN) ^ anchor[which])
-        content = common.spans(prefix, begin[which] + a, begin[which] + e)
+        core = common.mix(hashes(which, left[which] + high, left[which] + low + RUN) ^ anchor[which])
+        content = hashes(which, a, e)
         order, first, kind, lost = fold(core, content, (left[which] - a) * 256 + (e - a), did[which])
         which, a, e, core = which[order], a[order], e[order], core[order]
         entries.append(which[lost])
@@ -202,8 +220,8 @@ def context_rows(texts: DataFrame, buckets: int, places: int) -> DataFrame:
             flat = np.concatenate([p[6] for p in parts])
             parts.clear()
             begin = np.cumsum(length) - length
-            prefix = common.sums(_VALUES[flat])
-            order, _, _, lost = fold(key, common.spans(prefix, begin, begin + length), left * 256 + length, did)
+            content = Hashes(flat, begin, length)(np.arange(len(begin)), np.zeros_like(length), length)
+            order, _, _, lost = fold(key, content, left * 256 + length, did)
             gone, kept = order[lost], np.sort(order[~lost])
             out = [(buckets + shard, rows, None) for shard, rows in repeats.sharded(
                 joined(tag[gone], did[gone], start[gone], length[gone] - RUN + 1), buckets)]
