@@ -11,7 +11,7 @@ WITH m AS (
   FROM (SELECT *, trim(regexp_replace(coalesce(role, ''), '[\x00-\x20]+', ' ', 'g')) AS r FROM conversations)),
 b AS (SELECT *, floor(turn / 64)::BIGINT * 64 AS block FROM m),
 t AS (SELECT conv_id, turn, block, count(*) AS n, sum(count(*)) OVER (PARTITION BY conv_id, block) AS total
-      FROM b GROUP BY ALL),
+      FROM b GROUP BY conv_id, turn, block),
 s AS (
   SELECT b.*, CASE WHEN total > 1024 THEN b.turn ELSE b.block END AS segment, 0 AS part
   FROM b JOIN t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.turn IS NOT DISTINCT FROM t.turn),
@@ -23,12 +23,12 @@ v AS (
          content || '<|end|>' || chr(10) AS body
   FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER w, 0) + length(head) AS at
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER w, 0) + length(head) AS pos
   FROM v WINDOW w AS (PARTITION BY conv_id, perspective, segment, part ORDER BY turn NULLS FIRST, speaker, content
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, perspective, segment, part, count(*)::INT AS n_messages, (count(*) FILTER (train))::INT AS n_trained,
        string_agg(head || body, '' ORDER BY turn NULLS FIRST, speaker, content) AS rendered,
-       coalesce(string_agg(at::BIGINT || '-' || (at + length(body))::BIGINT, ',' ORDER BY at) FILTER (train), '') AS mask
+       coalesce(string_agg(CAST(pos AS BIGINT) || '-' || CAST(pos + length(body) AS BIGINT), ',' ORDER BY pos) FILTER (train), '') AS mask
 FROM o GROUP BY conv_id, perspective, segment, part
 """
 
