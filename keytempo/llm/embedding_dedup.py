@@ -1,12 +1,17 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors: every pair of a label is compared, in tiles of two bounded blocks.
 
-Equal vectors of a label are first folded into one class.  In each pass the classes are sorted by label and by a key of
-concatenated random hashes (signs of random projections, as bytes), so that similar vectors come to stand near one another.
-Each vector is compared with its ``WINDOW`` successors in that order, in double precision.  Verified pairs of all passes are
-united, links are counted with the sizes of the classes, and components follow.
+Equal vectors of a label are first folded into one class.  The classes are sorted by label and by a key of concatenated random
+hashes (signs of random projections, as bytes), so that similar vectors come to stand near one another, and the order is cut
+into blocks of bounded size.  A label inside one block is compared there; a label that spans several meets itself in a tile per
+pair of its blocks.  In a tile, slices that the triangle inequality holds further apart than the limit are passed over; the
+rest is compared in double precision.  A tile gives a row per linked class, its number of linked vectors and one member of its
+component, never a row per pair.
 
-Sorting is a range partitioning; places in the global order come from stored partition sizes.  Blocks of ``BLOCK`` places,
-with the next ``WINDOW`` places repeated, are the units of comparison, so no label and no group of copies is one task.
+With a number of ``passes`` only neighbours are compared: each vector with its ``window`` successors in that many orders, in
+blocks of ``BLOCK`` places with the next ``window`` places repeated.  That misses links of large clusters and large labels.
+
+Sorting is a range partitioning; places in the global order come from stored partition sizes, so no label and no group of copies
+is one task.
 """
 
 from __future__ import annotations
@@ -21,7 +26,9 @@ from pyspark.sql import functions as F
 from keytempo.llm.common import stored, table
 from keytempo.llm.graph import components
 
-PASSES, HASH_BITS, WINDOW, BLOCK = 8, 48, 512, 1024
+HASH_BITS, WINDOW, BLOCK = 48, 512, 1024
+#: Components of all vectors in a block of a tile, and vectors of a slice.
+TILE, SLICE = 1 << 19, 256
 LIMIT = 0.93
 
 
@@ -47,10 +54,10 @@ def pass_keys(classes: DataFrame, passes: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), p, np.int32)), rows.column("label"), pa.array(np.full(len(at), n, np.int32)),
                          pa.array([k.tobytes() for k in keys], pa.binary()), rows.column("cid"),
-                         pa.array([v.tobytes() for v in x], pa.binary())],
-                        names=["pass", "label", "size", "key", "cid", "vector"])
+                         rows.column("k"), rows.column("n"), pa.array([v.tobytes() for v in x], pa.binary())],
+                        names=["pass", "label", "size", "key", "cid", "k", "n", "vector"])
 
-    return classes.mapInArrow(run, "pass int, label int, size int, key binary, cid long, vector binary")
+    return classes.mapInArrow(run, "pass int, label int, size int, key binary, cid long, k long, n long, vector binary")
 
 
 def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -74,6 +81,12 @@ def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
             .withColumn("place", F.col("_before") + F.col("_at")).drop("_part", "_at", "_p", "_before"))
 
 
+def unit(vectors) -> np.ndarray:
+    x = np.stack([np.frombuffer(v, float) for v in vectors])
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def near_pairs(pdf: pd.DataFrame, window: int, limit: float) -> pd.DataFrame:
     """Pairs of a block with cosine >= limit at most ``window`` places apart; the first of a pair is not a repeated row."""
     pdf = pdf.sort_values("place", kind="stable")
@@ -82,9 +95,7 @@ def near_pairs(pdf: pd.DataFrame, window: int, limit: float) -> pd.DataFrame:
     group = pdf.groupby(["pass", "label", "size"], sort=False).ngroup().to_numpy()
     for g in np.unique(group[:own]):
         at = np.flatnonzero(group == g)
-        x = np.stack([np.frombuffer(v, float) for v in pdf["vector"].iloc[at]])
-        x = x / np.abs(x).max(1, keepdims=True)
-        x = x / np.sqrt((x * x).sum(1, keepdims=True))
+        x = unit(pdf["vector"].iloc[at])
         first = at[at < own]
         near = x[:len(first)] @ x.T >= limit
         apart = place[at][None, :] - place[first][:, None]
@@ -94,14 +105,94 @@ def near_pairs(pdf: pd.DataFrame, window: int, limit: float) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def embedding_duplicates(rows: DataFrame, passes: int = PASSES, window: int = WINDOW, limit: float = LIMIT) -> DataFrame:
+def caps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle of each slice of unit vectors, and the largest angle of one of its vectors to it."""
+    middle, angle = [], []
+    for k in range(0, len(x), SLICE):
+        part = x[k:k + SLICE]
+        c = part.sum(0)
+        c = c / np.sqrt(c @ c) if c @ c > 0 else part[0]
+        middle.append(c)
+        angle.append(np.arccos(np.clip((part @ c).min(), -1, 1)))
+    return np.array(middle), np.array(angle)
+
+
+def tile_links(pdf: pd.DataFrame, limit: float) -> pd.DataFrame:
+    """For every class of a tile that links with another: the number ``far`` of vectors, and one member ``b`` of its component."""
+    out, reach = [], np.arccos(limit) + 1e-6  # more than rounding
+    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    for _, rows in pdf.sort_values("place").groupby(["label", "size"], sort=False):
+        x, n = unit(rows["vector"]), rows["n"].to_numpy(float)
+        block = rows["block"].to_numpy()
+        left = np.flatnonzero(block == pdf["i"].iloc[0])
+        right = np.flatnonzero(block == pdf["j"].iloc[0])
+        (mid, wide), (mids, wides) = caps(x[left]), caps(x[right])
+        far, root = np.zeros(len(rows)), np.arange(len(rows))
+        for s, (c, w) in enumerate(zip(mid, wide, strict=True)):
+            mine = left[s * SLICE:(s + 1) * SLICE]
+            meet = np.arccos(np.clip(mids @ c, -1, 1)) - w - wides <= reach
+            if same:
+                meet[:s] = False
+                meet[s] = True
+            theirs = right[np.repeat(meet, SLICE)[:len(right)]]
+            near = x[mine] @ x[theirs].T >= limit
+            if same:  # theirs begins with mine
+                near[:, :len(mine)] = np.triu(near[:, :len(mine)], 1)
+            p, q = np.nonzero(near)
+            far += np.bincount(mine[p], n[theirs[q]], len(rows)) + np.bincount(theirs[q], n[mine[p]], len(rows))
+            ends = np.searchsorted(p, np.arange(len(mine) + 1))
+            for i in np.unique(p):
+                roots = root[theirs[q[ends[i]:ends[i + 1]]]]
+                if (roots != root[mine[i]]).any():
+                    roots = np.unique(np.append(roots, root[mine[i]]))
+                    root[np.isin(root, roots)] = roots[0]
+        hit, cid = np.flatnonzero(far), rows["cid"].to_numpy()
+        out.append(pd.DataFrame({"k": rows["k"].to_numpy()[hit], "far": far[hit].astype(np.int64),
+                                 "a": cid[hit], "b": cid[root[hit]]}))
+    return pd.concat(out)
+
+
+def all_links(classes: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that connect all components, and (k, far) with the number of vectors each class links with."""
+    longest = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    rows = max(SLICE, TILE // longest)
+    places = (ordered(pass_keys(classes, 1), ["label", "size", "key", "cid", "k"])
+              .withColumn("block", F.expr(f"place div {rows}")))
+    # Only labels that span blocks are looked up: fewer than there are blocks.
+    spans = (places.groupBy(F.col("label").alias("_l"), F.col("size").alias("_s"))
+             .agg(F.min("block").alias("_low"), F.max("block").alias("_high")).where("_low < _high"))
+    tiles = (places.join(spans, (F.col("label") == F.col("_l")) & (F.col("size") == F.col("_s")), "left")
+             .withColumn("_other", F.explode(F.sequence(F.coalesce("_low", "block"), F.coalesce("_high", "block"))))
+             .select(F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"),
+                     "block", "place", "label", "size", "cid", "k", "n", "vector"))
+    links = stored(tiles.groupBy("i", "j").applyInPandas(lambda pdf: tile_links(pdf, limit), "k long, far long, a long, b long"),
+                   "vector-links")
+    return links.select("a", "b").where("a <> b").distinct(), links.groupBy("k").agg(F.sum("far").alias("far"))
+
+
+def window_links(classes: DataFrame, passes: int, window: int, limit: float) -> tuple[DataFrame, DataFrame]:
+    """Links at most ``window`` places apart in some pass, and (k, far) with the number of vectors each class links with."""
+    places = ordered(pass_keys(classes, passes), ["pass", "label", "size", "key", "cid"])
+    blocks = places.withColumn("block", F.explode(F.when(
+        (F.col("place") % BLOCK < window) & (F.col("place") >= BLOCK),
+        F.array(F.expr(f"place div {BLOCK}"), F.expr(f"place div {BLOCK} - 1"))).otherwise(
+        F.array(F.expr(f"place div {BLOCK}")))))
+    pairs = stored(blocks.groupBy("block").applyInPandas(lambda pdf: near_pairs(pdf, window, limit), "a long, b long")
+                   .where("a <> b").distinct(), "vector-pairs")
+    sizes = classes.groupBy("cid").agg(F.sum("n").alias("n"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sizes.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.sum("n").alias("far"))
+    return pairs, classes.join(linked, F.col("cid") == F.col("a")).select("k", "far")
+
+
+def embedding_duplicates(rows: DataFrame, passes: int | None = None, window: int = WINDOW, limit: float = LIMIT) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``rows`` (vec_id, embedding, label).
 
     Only vectors of equal, non-null label and equal length are compared.  A vector that is null, empty, zero, or holds a null
     or a non-finite component links with nothing.  Equal vectors of a label always link.  Rows with the same vec_id count
-    as the same vector in components; a null vec_id never links and is kept.  The window bounds what a pass compares,
-    independent of the number of rows; recall grows with passes and window.  An empty table gives an empty result; other
-    columns are ignored.
+    as the same vector in components; a null vec_id never links and is kept.  All links are found; the work grows with the
+    square of a label.  With ``passes``, only links inside the window of a pass are.  An empty table gives an empty result;
+    other columns are ignored.
     """
     if not 0 < window <= BLOCK:
         raise ValueError("the window must not exceed a block")
@@ -110,20 +201,11 @@ def embedding_duplicates(rows: DataFrame, passes: int = PASSES, window: int = WI
     usable = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
               & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False)))
     valid = rows.where(usable)
-    classes = stored(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n")),
-                     "vector-classes")
-    places = ordered(pass_keys(classes.select("label", "embedding", "cid"), passes), ["pass", "label", "size", "key", "cid"])
-    blocks = places.withColumn("block", F.explode(F.when(
-        (F.col("place") % BLOCK < window) & (F.col("place") >= BLOCK),
-        F.array(F.expr(f"place div {BLOCK}"), F.expr(f"place div {BLOCK} - 1"))).otherwise(
-        F.array(F.expr(f"place div {BLOCK}")))))
-    pairs = stored(blocks.groupBy("block").applyInPandas(lambda pdf: near_pairs(pdf, window, limit), "a long, b long")
-                   .where("a <> b").distinct(), "vector-pairs")
-    sizes = classes.groupBy("cid").agg(F.sum("n").alias("n"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = (both.join(sizes.withColumnRenamed("cid", "b"), "b").groupBy("a").agg(F.sum("n").alias("far")))
-    roots = components(pairs)
-    facts = (classes.join(linked, F.col("cid") == F.col("a"), "left").join(roots, F.col("cid") == F.col("node"), "left")
+    classes = stored(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n"))
+                     .withColumn("k", F.monotonically_increasing_id()), "vector-classes")
+    links, linked = (all_links(classes, limit) if passes is None else window_links(classes, passes, window, limit))
+    roots = components(links)
+    facts = (classes.join(linked, "k", "left").join(roots, F.col("cid") == F.col("node"), "left")
              .select("label", "embedding", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("_links"),
                      F.coalesce("root", "cid").alias("_root")))
     found = valid.join(facts, ["label", "embedding"]).select("vec_id", F.col("_links").alias("n_links"),

@@ -46,3 +46,23 @@ def test_window_blocks_lose_no_neighbour(spark, monkeypatch):
 def test_empty_table(spark):
     assert embedding_dedup.embedding_duplicates(
         spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_links_of_a_cluster_wider_than_any_window(spark, monkeypatch):
+    """2,600 near-equal vectors over several blocks, one of them held twice, next to other labels."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 600 * 16)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=16) + rng.normal(size=(2600, 16)) * 0.16
+    x = np.float32(np.concatenate([x, x[:1], rng.normal(size=(700, 16))]))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000 + i, v.tolist(), i % 3 + 1) for i, v in enumerate(x[2500:3300])]
+    got = embedding_dedup.embedding_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()
+    got = {r.vec_id: r for r in got}
+    ids, vectors, labels = (np.array(c) for c in zip(*rows, strict=True))
+    u = vectors.astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    near = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
+    count = near.sum(1) - 1
+    assert count.max() > 2000 and [got[i].n_links for i in ids] == count.tolist()
+    root = brute.roots(set(ids.tolist()), [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    assert all(got[i].component_id == root[i] and got[i].kept == (root[i] == i) for i in ids.tolist())
