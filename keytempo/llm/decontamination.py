@@ -2,9 +2,10 @@
 
 1. The trigrams of the test items are counted over all documents.
 2. In every stretch of ``STRETCH`` trigrams of an item the ``KEEP`` rarest that occur become seeds, so an item always has seeds all
-   along, also where all its trigrams are frequent.
+   along, also where all its trigrams are frequent.  Of items of up to ``SHORT`` words all that occur are seeds.
 3. Where a document has a seed, the item is aligned with the words around it by Smith-Waterman (words as letters).
-   A document leaks an item if the alignment's score is ``LEAK`` or more of that of the item with itself.
+   A document leaks an item if the alignment's score is ``LEAK`` or more of that of the item with itself, or of a passage of a
+   long item.  Passages overlap, so that each run of ``LEAK`` of a passage's words lies whole in one.
 
 Test items are taken in blocks of bounded size; each block goes to all documents in one map, without a shuffle of text.
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.
@@ -23,8 +24,11 @@ from keytempo.llm.common import columns_of, numbered, table
 N, STRETCH, KEEP = 3, 6, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.6
-#: Words of an item aligned at once; longer items are cut into passages of this length.
-PASSAGE = 128
+#: Items of up to so many words are searched by all their trigrams.
+SHORT = 20
+#: Words of an item aligned at once; of longer items, passages of this length start every ``STEP`` words.  A run of 60 % of a
+#: passage (77 words) lies whole in one of them as STEP <= PASSAGE - 76.
+PASSAGE, STEP = 128, 32
 #: Test items of a block, and words of it that are aligned.
 BLOCK = 10_000
 _APART = np.ones(256, bool)
@@ -48,6 +52,17 @@ def grams(words: np.ndarray) -> np.ndarray:
     return common.mix(out)
 
 
+def passages(n: int) -> list[tuple[int, int]]:
+    """Start and end of the passages of an item of n words.
+
+    Some of them lie end to end, the last with up to half a passage more: what is a leak of the whole item is one of them.
+    The others overlap.
+    """
+    most = PASSAGE + PASSAGE // 2
+    joined = {(k, n if k + most >= n else k + PASSAGE) for k in range(0, max(1, n - PASSAGE // 2), PASSAGE)}
+    return sorted(joined | {(k, k + PASSAGE) for k in [*range(0, n - PASSAGE, STEP), n - PASSAGE] if k >= 0})
+
+
 class Items:
     """A block of test items as passages of word hashes with their trigrams."""
 
@@ -56,10 +71,9 @@ class Items:
         for item, text in rows:
             data = np.frombuffer((text or "").lower().encode(), np.uint8)
             words, _ = word_hashes(data, np.array([0, len(data)]))
-            for k in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE):
-                part = words[k:k + PASSAGE + PASSAGE // 2] if k + PASSAGE + PASSAGE // 2 >= len(words) else words[k:k + PASSAGE]
-                if len(part) >= N:
-                    self.passages.append((item, part))
+            for start, end in passages(len(words)):
+                if end - start >= N:
+                    self.passages.append((item, words[start:end]))
         self.grams = np.unique(np.concatenate([grams(w) for _, w in self.passages] or [np.zeros(0, np.uint64)]))
 
     def choose(self, counts: np.ndarray) -> None:
@@ -71,7 +85,7 @@ class Items:
             for k in range(0, len(own), STRETCH):
                 # Those that no document holds would find nothing.
                 by = np.lexsort((own[k:k + STRETCH], count[k:k + STRETCH]))
-                for j in by[count[k:k + STRETCH][by] > 0][:KEEP]:
+                for j in by[count[k:k + STRETCH][by] > 0][:KEEP if len(words) > SHORT else STRETCH]:
                     seeds.setdefault(int(own[k + j]), set()).add((i, int(k + j)))
         self.seeds = np.array(sorted(seeds), np.uint64)
         self.places = [sorted(seeds[int(s)]) for s in self.seeds]

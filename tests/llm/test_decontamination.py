@@ -72,3 +72,29 @@ def test_blocks_and_empty_tables(spark, frame, monkeypatch):
     assert decontamination.leaks(frame(docs), none).count() == 0
     assert decontamination.leaks(frame([]), benchmark).count() == 0
     assert decontamination.without_leaks(frame(docs), none).count() == len(docs)
+
+
+def test_copies_across_passage_borders_and_edited_short_items(spark, frame):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    long, middle, short = text(400), text(190), text(8)
+    # Edits of words 1 and 5 leave one trigram in a row of three, which is also the item's most frequent.
+    edited = [short[0], "zz", *short[2:5], "zz", *short[6:]]
+    docs = [(k, " ".join([*text(40), *long[k:k + 77], *text(40)])) for k in range(0, 324, 19)]
+    docs += [(1000, " ".join([*text(40), *long[180:330], *text(40)])), (1001, " ".join([*text(40), *middle[40:150], *text(40)])),
+             (1002, " ".join([*text(40), *edited, *text(40)])), (1003, " ".join([*text(40), *long[100:160], *text(40)]))]
+    docs += [(2000 + k, " ".join([*text(5), *short[2:5], *text(5)])) for k in range(9)]
+    docs += [(3000 + k, " ".join([*text(5), *short[k:k + 3], *text(5)])) for k in range(6)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(middle)), (3, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(docs), benchmark).collect()}
+    assert got == {*((k, 1) for k in range(0, 324, 19)), (1000, 1), (1001, 2), (1002, 3)}
+
+
+def test_whole_items_are_covered_end_to_end():
+    for n in range(700):
+        parts = decontamination.passages(n)
+        assert all(0 <= a <= b <= n for a, b in parts)
+        assert n > 192 or (0, n) in parts
+        # Any run of 77 words of an item of more than 128 lies whole in a passage of 128.
+        assert n <= 128 or all(any(a <= k and k + 77 <= b and b - a == 128 for a, b in parts) for k in range(n - 76))
