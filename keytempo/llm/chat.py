@@ -7,16 +7,34 @@ segments of ``BLOCK`` turn numbers, so a very long conversation is never gathere
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keytempo.llm.common import table
+from keytempo.llm.common import stored, table
 
-#: Turn numbers per segment, and messages in a segment above which its turns are dealt out by hash.
+#: Turn numbers per segment, and messages above which a segment is cut into its turns, and a turn into parts.
 BLOCK, MOST = 64, 1024
 OPEN, CLOSE = "<|start|>", "<|end|>\n"
 
 
+def in_order(rows: DataFrame, group: list[str], order: list[str], into: str) -> DataFrame:
+    """Number the rows of each group from 0 in their order, however large a group is.
+
+    Rows are dealt by ranges of group and order; a row per group and range gives what lies before it.
+    """
+    by = [*group, *order]
+    placed = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()),
+                    "ordered").withColumn("_p", F.shiftright("_id", 33))
+    totals = placed.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_p").alias("_q"), "_first",
+                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    on = F.col("_p") == F.col("_q")
+    for c in group:
+        on &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return placed.join(before, on).withColumn(into, F.col("_before") + F.col("_id") - F.col("_first")).select(*rows.columns, into)
+
+
 def rotate(conversations: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """One row per conversation, perspective and segment.
 
@@ -27,7 +45,7 @@ def rotate(conversations: DataFrame, block: int = BLOCK, most: int = MOST) -> Da
     is one message.  A null or blank role is the speaker ``unknown``; a null text is empty.  A null conv_id is a conversation
     like any other.  ``<|`` inside texts and names is written ``< |``, so no message can forge a mark; line ends in names
     become spaces.  Conversations of system messages only have no participant and give no row.  A segment with more than
-    ``most`` messages becomes one segment per turn number, and a turn number with more is dealt to parts by a hash of its
+    ``most`` messages becomes one segment per turn number, and a turn number with more is cut in order into parts of ``most``
     messages.  Other columns are ignored.
     """
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
@@ -45,10 +63,11 @@ def rotate(conversations: DataFrame, block: int = BLOCK, most: int = MOST) -> Da
     messages = messages.join(
         parts, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")), "left")
     split = F.col("_parts").isNotNull()
-    messages = messages.select(
-        "conv_id", "turn", "speaker", "content",
-        F.when(split, F.col("turn")).otherwise(F.col("block")).alias("segment"),
-        F.when(split, F.pmod(F.xxhash64("speaker", "content"), F.col("_parts"))).otherwise(0).cast("int").alias("part"))
+    messages = messages.withColumn("segment", F.when(split, F.col("turn")).otherwise(F.col("block")))
+    columns = ["conv_id", "turn", "speaker", "content", "segment"]
+    large = in_order(messages.where(F.col("_parts") > 1).select(*columns), ["conv_id", "turn"], ["speaker", "content"], "_place")
+    messages = (messages.where(F.coalesce("_parts", F.lit(1)) == 1).select(*columns, F.lit(0).alias("part"))
+                .unionByName(large.select(*columns, F.expr(f"int(_place div {most})").alias("part"))))
     segments = (messages.groupBy("conv_id", "segment", "part")
                 .agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "content"))).alias("messages")))
     people = (messages.where(F.col("speaker") != "system").select(F.col("conv_id").alias("_c"), "speaker").distinct()

@@ -132,3 +132,17 @@ def test_every_participants_view(spark):
     whole = {k: r for k, r in ((( r.conv_id, r.perspective, r.segment), r) for r in chat.rotate(df, 64, 1000).collect())}
     assert whole[4, "p1", 64].n_messages == 64 and whole[4, "p1", 128].rendered == render([(128, "p2", "m128"), (129, "p0", "m129")], "p1")[0]
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_crowded_turns_are_cut_in_order(spark):
+    """Messages of a turn stay in order across its parts, and every part but the last is full."""
+    rows = [(c, 7, f"p{k % 3}", f"t{k:04}") for c in (5, None) for k in range(130)] + [(5, 8, "b", "z"), (6, 0, "a", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.rotate(df, 64, 20).where("perspective = 'p1' and segment = 7").collect()
+    for c in (5, None):
+        parts = sorted((r.part, r) for r in got if r.conv_id == c)
+        assert [p for p, _ in parts] == list(range(7)) and [r.n_messages for _, r in parts] == [20] * 6 + [10]
+        want = sorted((7, who, said) for i, _, who, said in rows if i == c and said[0] == "t")
+        for p, r in parts:
+            text, spans = render(want[p * 20:(p + 1) * 20], "p1")
+            assert r.rendered == text and [tuple(s) for s in r.mask] == spans
