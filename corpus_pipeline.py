@@ -13,9 +13,8 @@ from keytempo.llm.common import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is identified: null texts and texts without a letter."""
-    net = language_id.fit(docs.where(~language_id.is_held_out()))
-    return language_id.predict(docs, net).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    """Drops documents in which no language is identified: null texts, texts without a letter, and what the network takes for noise."""
+    return language_id.identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keytempo.llm.common import columns_of, hex_number, table, text_slices
+from keytempo.llm.common import columns_of, hex_number, stored, table, text_slices
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 256
 #: Bounds of the training sample: documents per label, cuts per document, characters per cut.
 PER_LABEL, CUTS, CUT_CHARS = 600, 4, 256
 STEPS, BATCH = 1200, 96
 UNKNOWN = "und"
+#: Score that always suffices, and shares of labelled held-out rows that the level and the whole rule may drop.
+LEAST, LOST, MOST_LOST = 0.5, 0.001, 0.05
 
 
 def training_rows(docs: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, str]]:
@@ -138,11 +140,30 @@ def cut(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, per_label: int = PER_LABEL) -> ByteNet | None:
-    """Train on the labelled rows of ``docs`` (doc_id, text, lang); None without any."""
+def noise(rows: list[tuple[str, str]], seed: int = 11) -> list[tuple[str, str]]:
+    """Cuts in no language, labelled ``UNKNOWN``: for each of ``rows`` base64, digits, symbols or its text with letters exchanged."""
+    rng = np.random.default_rng(seed)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pools = [small * 2 + digits + "+/", small[:6] + digits, "!#$%&*()=_-|~^<>[]{}:;?/" * 3 + digits + small, small + "     "]
+    out = []
+    for i, (_, text) in enumerate(rows):
+        k = i % (len(pools) + 2)
+        if k < len(pools):
+            made = "".join(rng.choice(list(pools[k]), CUT_CHARS))
+        else:  # every letter becomes another one, alike in the whole cut
+            letters = sorted({*text.lower(), *small} - {c for c in text.lower() if not c.isalpha()})
+            made = text.lower().translate(dict(zip(map(ord, letters), map(str, rng.permutation(letters)), strict=True)))
+        out.append((UNKNOWN, made))
+    return out
+
+
+def fit(docs: DataFrame, per_label: int = PER_LABEL, with_noise: bool = False) -> ByteNet | None:
+    """Train on the labelled rows of ``docs`` (doc_id, text, lang); None without any.  ``with_noise`` adds the label ``und``."""
     rows = sorted(training_rows(docs, per_label))
     if not rows:
         return None
+    if with_noise:
+        rows += noise(rows)
     labels = sorted({lang for lang, _ in rows})
     texts = [x.encode()[:WINDOW] for _, x in rows]
     windows = np.zeros((len(rows), WINDOW), np.uint8)
@@ -198,6 +219,31 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return packed.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang) in whose text a language is identified, unchanged.
+
+    A text without a letter is in no language.  Others are scored by a network that has learned the languages of the rows not
+    held out, and noise.  A row stays if a language wins over noise with a score of at least ``LEAST``, or of the level that
+    all but ``LOST`` of the labelled held-out rows reach where they are recognised, if that is lower.  If that would drop more
+    than ``MOST_LOST`` of the labelled held-out rows, or no row has a label to learn from, all texts with a letter stay.
+    """
+    packed = (docs.where(F.col("text").rlike(r"\p{L}"))
+              .select(F.struct(*columns_of(docs)).alias("row"), "doc_id", "text", F.col("lang").alias("want")))
+    net = fit(docs.where(~is_held_out()), with_noise=True)
+    if net is None:
+        return packed.select("row.*")
+    known = (F.col("lang_pred") != UNKNOWN)
+    seen = stored(predict(packed.where(is_held_out() & F.col("want").isNotNull()).select("doc_id", "text", "want"), net)
+                  .select("want", "lang_pred", "score"), "language-held-out")
+    level = seen.where(known & (F.col("want") == F.col("lang_pred"))).agg(F.percentile_approx("score", F.lit(LOST), F.lit(10000)))
+    level = level.first()[0]
+    least = LEAST if level is None else min(LEAST, level)
+    lost = seen.agg(F.avg(F.when(known & (F.col("score") >= least), 0.0).otherwise(1.0))).first()[0]
+    if lost is not None and lost > MOST_LOST:
+        return packed.select("row.*")
+    return predict(packed, net).where(known & (F.col("score") >= least)).select("row.*")
+
+
 def is_held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

@@ -46,3 +46,23 @@ def test_edges(spark, frame):
     assert {r.lang_pred for r in language_id.predict(frame(rows), None).collect()} == {"und"}
     assert language_id.fit(frame([])) is None and language_id.predict(frame([]), net).count() == 0
     assert language_id.predict(got, net).columns == got.columns  # old predictions are replaced
+
+
+def test_network_decides_what_is_identified(spark, frame):
+    rng = np.random.default_rng(5)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    chars = lambda pool, n: "".join(rng.choice(list(pool), n))
+    b64 = [chars("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 400) for _ in range(15)]
+    symbols = ["a " + chars("!#$%&*()=_-|~^<>[]{}:;?/0123456789", 300) for _ in range(15)]
+    bad = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate([*b64, *symbols, "12 34", None])],
+                                "doc_id long, text string, lang string")
+    some = docs.select("doc_id", "text", "lang")
+    got = language_id.identified(some.unionByName(bad)).select("doc_id").collect()
+    clean = [r.doc_id for r in got if r.doc_id < 10**9]
+    assert len(got) == len(clean) and len(clean) >= 0.999 * some.count()
+
+
+def test_all_lettered_texts_stay_without_labels(frame):
+    rows = [(i, f"some words {i}") for i in range(9)] + [(20, None), (21, "12 34")]
+    assert sorted(r.doc_id for r in language_id.identified(frame(rows, lang=None)).collect()) == list(range(9))
+    assert language_id.identified(frame([])).count() == 0
