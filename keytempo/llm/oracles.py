@@ -122,3 +122,103 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(y %
   CAST(NULL AS INTEGER) AS grown_shard, row_number, y AS place
 FROM f JOIN walk ON x = row_number WHERE y < n
 """
+
+
+#: The table of CRC-32 and a checksum, byte by byte.
+CRC_TABLE = """
+bits AS (
+  SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8],
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits)"""
+
+
+def crc32(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(octet_length(encode({text}))),
+        lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)),
+      lambda c, byte: xor(c // 256, t[xor(c % 256, byte) + 1])))"""
+
+
+UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def leaf_sql(text: str) -> str:
+    parts = (f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+             for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+def tree_sql(name: str, levels: int) -> str:
+    """Levels above the table {name}0 (s, i, h) and, per level, what stands left and right of a node in its run."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}{k}n AS (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM {name}{k}),
+{name}{k}p AS (SELECT s, i, n > 1 AS on_path,
+    coalesce(string_agg(h, '') OVER (PARTITION BY s, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY s, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k}n),
+{name}{k + 1} AS (SELECT s, i // 16 AS i, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM {name}{k}n GROUP BY s, i // 16)""")
+    return ",".join(out)
+
+
+def fold_sql(name: str, levels: int, source: str, s: str, i: str) -> str:
+    """One step per level from ``source`` (f, q and the tree and place of the lowest node) towards the root."""
+    for k in range(levels):
+        source = f"""(SELECT x.* REPLACE (CASE WHEN on_path THEN sha256(p.l || f || p.r) ELSE f END AS f,
+          CASE WHEN on_path THEN q || p.l || p.r ELSE q END AS q)
+        FROM {source} x JOIN {name}{k}p p ON p.s = x.{s} AND p.i = x.{i} // {16 ** k})"""
+    return source
+
+
+#: Trees of up to 16**6 leaves a source and 16**4 sources.
+MANIFEST = f"""
+WITH {CRC_TABLE.strip()},
+d AS (SELECT doc_id, source, row_number() OVER () AS row, {leaf_sql('text')} AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND {crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0
+             THEN {leaf_sql(f"translate(text, {UPPER}, {LOWER})")} END AS changed FROM documents, crc),
+o AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i FROM d),
+a0 AS (SELECT s, i, leaf AS h FROM o), {tree_sql("a", 6)},
+b0 AS (SELECT 0 AS s, s AS i, h FROM a6), {tree_sql("b", 4)},
+start AS (SELECT *, coalesce(changed, leaf) AS f, '' AS q, 0 AS top FROM o),
+done AS {fold_sql("b", 4, fold_sql("a", 6, "start", "s", "i"), "top", "s")}
+SELECT doc_id, leaf, a6.h AS subroot, b4.h AS root, sha256(q) AS proof_sha256, f AS folded_root, f = b4.h AS verified
+FROM done JOIN a6 ON a6.s = done.s JOIN b4 ON b4.s = done.top
+"""
+
+
+def features_sql(table_name: str) -> str:
+    return f"""SELECT k, array_to_string(w[i:i + n - 1], ' ') AS f FROM (
+      SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {table_name}, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)"""
+
+
+def words_sql(table_name: str, columns: str) -> str:
+    return f"""SELECT {columns}, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table_name}"""
+
+
+#: Checksums of the different phrases, counts per bucket, gains, noise and the highest scores.
+RESAMPLED = f"""
+WITH {CRC_TABLE.strip()},
+d AS ({words_sql("documents", "doc_id, row_number() OVER () AS k")}),
+g AS ({words_sql("benchmark", "0 AS k")}),
+df AS (SELECT k, f, count(*) AS c FROM ({features_sql("d")}) GROUP BY k, f),
+gf AS (SELECT f, count(*) AS c FROM ({features_sql("g")}) GROUP BY f),
+b AS (SELECT f, {crc32("f")} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM gf), crc),
+s AS (SELECT bucket, sum(c) AS n FROM df JOIN b USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(c) AS n FROM gf JOIN b USING (f) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM s) + 10000 AS DOUBLE))
+    / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS v
+  FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT k, sum(c) AS n, sum(c * v) AS weight FROM df JOIN b USING (f) JOIN gain USING (bucket) GROUP BY k),
+r AS (SELECT doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT
+          + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN w USING (k)),
+p AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+        count(*) FILTER (words >= 20) OVER () AS eligible FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * eligible // 100 THEN place END AS rank FROM p
+"""

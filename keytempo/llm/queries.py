@@ -5,14 +5,17 @@ from __future__ import annotations
 import corpus_pipeline
 from keytempo.llm import (
     block_dedup,
+    bpe,
     chat,
     decontamination,
     embedding_dedup,
     language_id,
+    merkle,
     ngram_join,
     oracles,
     packing,
     pii,
+    resampling,
     sharding,
     suffix_dedup,
 )
@@ -29,6 +32,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op10_fixed_block_anchors": block_dedup.op10_fixed_block_anchors,
     "op9_feistel_shards": sharding.op9_feistel_shards,
+    "op11_forced_boundary_bpe": bpe.op11_forced_boundary_bpe,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 ORACLES = {
@@ -37,4 +43,6 @@ ORACLES = {
     "op9_feistel_shards": oracles.SHARDS,
     "op10_fixed_block_anchors": oracles.WORD_RUNS,
     "op2_perspective_rotation": oracles.PERSPECTIVES,
+    "op12_merkle_manifest": oracles.MANIFEST,
+    "op13_importance_resampling": oracles.RESAMPLED,
 }
