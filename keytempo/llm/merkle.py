@@ -101,7 +101,7 @@ def climb_block(group: pa.Table) -> pa.Table:
 
 def descend_block(nodes: pa.Table, messages: pa.Table) -> pa.Table:
     n, digest, tree, idx = (nodes.column(c).to_pylist() for c in ("n", "digest", "tree", "idx"))
-    given = {(m["tree"], m["block"]): m for m in messages.to_pylist()}
+    given = {(m["to"], m["block"]): m for m in messages.to_pylist()}
     order, path, subroot, root = [], [], [], []
     for rows in blocks_of(nodes):
         message = given[tree[rows[0]], idx[rows[0]] // BLOCK]
@@ -152,7 +152,8 @@ def sweep_up(leaves: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
 
 def sweep_down(rounds: list[DataFrame], suffixes: DataFrame) -> DataFrame:
     """The leaves with path, subroot and root, from a suffix per tree (tree, round, path, subroot, root)."""
-    message = ["tree", "block", "path", "subroot", "root", "unit"]
+    # The name "to" gives the message a column of its own where both sides come from one stored table.
+    message = [F.col("tree").alias("to"), "block", "path", "subroot", "root", "unit"]
     nodes = None
     for k in reversed(range(len(rounds))):
         inbox = (suffixes.where(F.col("round") == k).withColumn("block", F.lit(0).cast("long"))
