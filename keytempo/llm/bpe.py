@@ -16,10 +16,10 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +30,11 @@ from keytempo.llm.common import table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Longest piece and fragment that is remembered, and how many of each: bounds of a worker's cache, not of the work.
-LONGEST, MOST = 48, 1 << 19
+LONGEST, MOST = 48, 1 << 17
 #: Up to this length plain lists are quicker than a heap and numpy; the result is the same.
 SHORT = 40
-#: Rows and bytes of a result batch.
-BATCH_ROWS, BATCH_BYTES = 512, 1 << 22
+#: Rows and ids of a result batch; a text with more ids makes a batch of its own.
+BATCH_ROWS, BATCH_IDS = 512, 1 << 20
 
 
 def byte_characters() -> dict[str, int]:
@@ -45,23 +45,46 @@ def byte_characters() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """A dictionary that computes missing values and forgets everything when it is full."""
+    """A dictionary that computes missing values.  When it is full it starts anew, but what was asked for since the last
+    time is still found, so frequent keys stay."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONGEST:
-            if len(self) >= MOST:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+def vocabulary(whole: dict) -> dict[int, bytes]:
+    """The bytes of every token, without the added ones."""
+    as_byte = byte_characters()
+    return {i: bytes(as_byte[c] for c in t) for t, i in whole["model"]["vocab"].items()}
+
+
+class Decoder:
+    """Token bytes of one tokenizer file."""
+
+    def __init__(self, definition: str):
+        whole = json.loads(definition)
+        self.tokens = vocabulary(whole) | {t["id"]: t["content"].encode() for t in whole.get("added_tokens") or []}
+
+    def decode(self, ids) -> str:
+        """Bytes of the tokens; ids outside the vocabulary give nothing, bytes that are no UTF-8 replacement marks."""
+        tokens = self.tokens
+        return b"".join([tokens.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
 class ByteBPE:
-    """Encoder and decoder of one tokenizer file."""
+    """Encoder of one tokenizer file."""
 
     def __init__(self, definition: str):
         whole = json.loads(definition)
@@ -70,28 +93,25 @@ class ByteBPE:
                 ("BPE", "ByteLevel", True, False) or whole.get("normalizer") or model.get("ignore_merges"):
             raise ValueError("only byte-level BPE with the usual pattern, without prefix space or normalizer")
         as_byte = byte_characters()
-        self.definition = definition
-        self.tokens: dict[int, bytes] = {i: bytes(as_byte[c] for c in t) for t, i in model["vocab"].items()}
-        ids = {t: i for i, t in self.tokens.items()}
+        ids = {t: i for i, t in vocabulary(whole).items()}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = (bytes(as_byte[c] for c in part) for part in (merge.split(" ") if isinstance(merge, str) else merge))
             self.ranks[ids[left], ids[right]] = rank, ids[left + right]
-        self.forced = self.forced_boundaries(self.tokens.values())
+        self.forced = self.forced_boundaries(ids)
         self.forced_bytes = self.forced.tobytes()
         self.added = {}
         for t in whole.get("added_tokens") or []:
             if t["single_word"] or t["lstrip"] or t["rstrip"]:
                 raise ValueError("added tokens that take in their surroundings are not supported")
             self.added[t["content"]] = t["id"]
-            self.tokens[t["id"]] = t["content"].encode()
         longest_first = sorted(self.added, key=len, reverse=True)
         self.sections = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.any_text, self.ascii_text = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII)
         self.assigned: set[str] = set()
-        self.pieces = Remembered(self.encode_piece)
-        self.fragments = Remembered(self.merge)
+        self.pieces = Remembered(self.encode_piece, MOST)
+        self.fragments = Remembered(self.merge, MOST // 8)
 
     @staticmethod
     def forced_boundaries(tokens) -> np.ndarray:
@@ -130,11 +150,11 @@ class ByteBPE:
             return [piece]
         return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for fragment in self.cut(piece.encode()):
-            out += self.fragments[fragment]
-        return tuple(out)
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of a piece as 32-bit numbers, put together from those of its fragments."""
+        parts = self.cut(piece.encode())
+        ids = self.merge(parts[0]) if len(parts) == 1 else [i for p in parts for i in self.fragments[p]]
+        return array("i", ids).tobytes()
 
     def merge(self, fragment: bytes) -> list[int]:
         """Merge neighbours by rank, leftmost first, until none is left."""
@@ -183,32 +203,24 @@ class ByteBPE:
                 heapq.heappush(heap, (found[0], h))
         return [i for i in ids if i >= 0]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        pieces = self.pieces
+    def encode(self, text: str) -> array:
+        out = []
         for section in self.sections.split(text) if self.sections else (text,):
             if section in self.added:
-                out.append(self.added[section])
+                out.append(array("i", [self.added[section]]).tobytes())
             else:
-                out.extend(chain.from_iterable(map(pieces.__getitem__, self.split(section))))
-        return out
-
-    def decode(self, ids) -> str:
-        """Bytes of the tokens; ids outside the vocabulary give nothing, bytes that are no UTF-8 replacement marks."""
-        tokens = self.tokens
-        return b"".join([tokens.get(i, b"") for i in ids]).decode("utf-8", "replace")
+                out += map(self.pieces.__getitem__, self.split(section))
+        return array("i", b"".join(out))
 
 
-_LOADED: dict[int, ByteBPE] = {}
+_LOADED: dict[type, tuple[str, object]] = {}
 
 
-def loaded(definition: str) -> ByteBPE:
-    """The encoder of a worker process, with its caches; one at a time is kept."""
-    key = hash(definition)
-    if key not in _LOADED or _LOADED[key].definition != definition:
-        _LOADED.clear()
-        _LOADED[key] = ByteBPE(definition)
-    return _LOADED[key]
+def loaded(kind: type, definition: str):
+    """The encoder or decoder of a worker process, with its caches; the last one of each kind is kept."""
+    if kind not in _LOADED or _LOADED[kind][0] != definition:
+        _LOADED[kind] = definition, kind(definition)
+    return _LOADED[kind][1]
 
 
 def definition_of(path: str) -> str:
@@ -216,17 +228,13 @@ def definition_of(path: str) -> str:
         return file.read()
 
 
-def batched(rows: Iterator[tuple], schema: pa.Schema, size_of) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of bounded size; a batch holds one row at least."""
-    kept, size = [], 0
-    for row in rows:
-        kept.append(row)
-        size += size_of(row)
-        if len(kept) >= BATCH_ROWS or size >= BATCH_BYTES:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
-            kept, size = [], 0
-    if kept:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+def runs_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows [start, end) that make a batch of bounded size; one row at least."""
+    total, start = np.concatenate(([0], np.cumsum(sizes))), 0
+    while start < len(sizes):
+        end = max(int(np.searchsorted(total, total[start] + BATCH_IDS, "right")) - 1, start + 1)
+        yield start, min(end, start + BATCH_ROWS)
+        start = min(end, start + BATCH_ROWS)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -239,18 +247,19 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(definition_of(path))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        bpe = loaded(shared.value)
-
-        def rows():
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    text = (text.as_py() or b"").decode("utf-8", "replace")
-                    yield doc_id.as_py(), bpe.encode(text)
-
-        yield from batched(rows(), schema, lambda r: 4 * len(r[1]))
+        bpe = loaded(ByteBPE, shared.value)
+        for batch in batches:
+            texts = batch.column(1)
+            # A text has no more ids than bytes.
+            for start, end in runs_of(pc.binary_length(texts).fill_null(0).to_numpy()):
+                flat, offsets = array("i"), [0]
+                for text in texts[start:end]:
+                    flat.extend(bpe.encode((text.as_py() or b"").decode("utf-8", "replace")))
+                    offsets.append(len(flat))
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:end], ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>")
@@ -262,18 +271,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     Null ids are an empty list; a null or an id outside the vocabulary inside a list gives nothing.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(definition_of(path))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
-        bpe = loaded(shared.value)
-
-        def rows():
-            for batch in batches:
-                for doc_id, ids in zip(batch.column(0), batch.column(1), strict=True):
-                    ids = ids.as_py()
-                    yield doc_id.as_py(), ids, bpe.decode(ids or ())
-
-        yield from batched(rows(), schema, lambda r: 8 * len(r[1] or ()))
+        decoder = loaded(Decoder, shared.value)
+        for batch in batches:
+            lists = batch.column(1)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.fill_null(-1).to_numpy()
+            for start, end in runs_of(np.diff(offsets)):
+                texts = [decoder.decode(values[offsets[i]:offsets[i + 1]].tolist()) for i in range(start, end)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[start:end], lists[start:end], pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
