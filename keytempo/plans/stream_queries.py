@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo.operators import baselines
-from keytempo.plans.event_queries import PAIR_SQL, session_table
+from keytempo.plans.event_queries import PAIR_SQL, TEL_COLUMNS, session_table
 from keytempo.plans.key_events import scratch, stable, table
 from keytempo.plans.record_queries import SANITIZED_SQL, payloads
 from keytempo.plans.registry import query
 from keytempo.plans.sql import part, r, with_parts
-from keytempo.streaming import keys, sinks
+from keytempo.streaming import keys, live, sinks
 
 TICK_MS = 60_000.0
 
@@ -61,6 +61,79 @@ def stream_pairs(spark, sf_dir):
     return stable(spark.read.schema(keys.PAIR_SCHEMA).parquet(f"{folder}/out"))
 
 
+# --- live sessions ----------------------------------------------------------------------------
+
+#: Table time after which a week session is over.
+IDLE_MS = 20_000.0
+
+
+@query("stream_telemetry", with_parts("tel", body="SELECT user_id, session_id, event_count, "
+       "pause_count, backspace_count, correction_count, "
+       + ", ".join(f"{r(n)} AS {n}" for n in TEL_COLUMNS) + " FROM tel"))
+def stream_telemetry(spark, sf_dir):
+    """Telemetry of every session as it ends, with exact medians from state."""
+    folder = scratch(spark)
+    finished(live.telemetry_stream(raw_stream(spark, sf_dir), IDLE_MS), folder)
+    return stable(spark.read.schema(live.TELEMETRY_SCHEMA).parquet(f"{folder}/out").drop("std_flight_ms"))
+
+
+@query("stream_strain", with_parts("tel", body="""
+, m AS (SELECT user_id, session_id, coalesce(stddev_pop(flight_time), 0) AS spread FROM pairs GROUP BY user_id, session_id),
+s AS (SELECT user_id, session_id, event_count, CASE WHEN event_count >= 5 THEN round(100.0 * (0.45 * least(pause_rate / 0.4, 1.0)
+    + 0.35 * least(spread / 300.0, 1.0)
+    + 0.20 * least(greatest((mean_dwell_ms - 80.0) / 150.0, 0.0), 1.0)), 1) ELSE 0.0 END AS strain_score
+  FROM tel JOIN m USING (user_id, session_id))
+SELECT user_id, session_id, strain_score, CASE WHEN event_count < 5 THEN 'Insufficient Data'
+    WHEN strain_score < 35 THEN 'Low Strain (Fluent Rhythm)'
+    WHEN strain_score < 70 THEN 'Moderate Strain (Occasional Hesitation)'
+    ELSE 'High Strain (Fragmented Rhythm / Fatigue Indicators)' END AS strain_category FROM s"""))
+def stream_strain(spark, sf_dir):
+    """The strain score of sessions as they end."""
+    folder = scratch(spark)
+    finished(live.with_live_strain(live.telemetry_stream(raw_stream(spark, sf_dir), IDLE_MS)), folder)
+    return spark.read.parquet(f"{folder}/out").select("user_id", "session_id", "strain_score", "strain_category")
+
+
+_VECTOR = ("dwell_time", "flight_time", "pause_duration", "typing_speed", "backspace", "error_flag")
+
+
+@query("stream_windows", with_parts("features", body=f"""
+, k AS (SELECT user_id, session_id, unnest(range(0, (count(*) - 10) // 5 + 1)) AS window_index FROM features
+        GROUP BY user_id, session_id HAVING count(*) >= 10)
+SELECT k.user_id, k.session_id, window_index, window_index * 5 AS start_index, window_index * 5 + 10 AS end_index,
+  min(press_time) FILTER (sequence_index = window_index * 5) AS start_time,
+  min(release_time) FILTER (sequence_index = window_index * 5 + 9) AS end_time,
+  {", ".join(f"{r(f'sum(CAST(CAST(coalesce({n}, 0) AS FLOAT) AS DOUBLE) * (sequence_index - window_index * 5 + 1))')} AS {n}"
+             for n in _VECTOR)}
+FROM k JOIN features f ON f.user_id = k.user_id AND f.session_id = k.session_id
+  AND sequence_index >= window_index * 5 AND sequence_index < window_index * 5 + 10 GROUP BY ALL"""))
+def stream_windows(spark, sf_dir):
+    """Windows of ten pairs every five, from running sessions; each feature is shown as a sum weighted by place."""
+    folder = scratch(spark)
+    finished(live.window_stream(raw_stream(spark, sf_dir), 10, 5, IDLE_MS), folder)
+
+    def by_place(k):
+        return F.transform("values", lambda v, i: v[k].cast("double") * (i + 1))
+
+    weighted = [F.aggregate(by_place(k), F.lit(0.0), lambda a, x: a + x).alias(n) for k, n in enumerate(_VECTOR)]
+    return stable(spark.read.schema(live.WINDOW_SCHEMA).parquet(f"{folder}/out").select(
+        "user_id", "session_id", "window_index", "start_index", "end_index", "start_time", "end_time", *weighted))
+
+
+@query("stream_keep_last", with_parts("pairs", body=f"""
+SELECT user_id, session_id, sequence_index, {r('dwell_time')} AS dwell_time, {r('flight_time')} AS flight_time
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session_id ORDER BY sequence_index DESC) AS back FROM pairs)
+WHERE back <= 10"""))
+def stream_keep_last(spark, sf_dir):
+    """The ten newest pairs of every session as it ends."""
+    folder = scratch(spark)
+    finished(live.newest_stream(raw_stream(spark, sf_dir), 10, IDLE_MS), folder)
+    return stable(spark.read.schema(keys.PAIR_SCHEMA).parquet(f"{folder}/out").select(
+        "user_id", "session_id", "sequence_index", "dwell_time", "flight_time"))
+
+
+# --- the other streams ------------------------------------------------------------------------
+
 @query("stream_dedup", with_parts("raw", body="""
 SELECT user_id, session_id, event_type, timestamp_ms, key_token, count(DISTINCT raw_id) > 0 AS seen
 FROM raw GROUP BY user_id, session_id, event_type, timestamp_ms, key_token"""))

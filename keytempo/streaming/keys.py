@@ -23,6 +23,8 @@ KEYS = ("user_id", "session_id")
 DELAY = "30 seconds"
 #: A session without rows for this long is over: its state is removed, later rows start it anew at index 0.
 IDLE_MS = 3_600_000.0
+#: Event time of a calendar slot of waiting rows.
+SLOT_MS = 1000.0
 #: Files that a batch takes at most, so that its rows stay bounded.
 FILES_PER_BATCH = 16
 
@@ -31,8 +33,8 @@ PAIR_SCHEMA = (
     "release_time double, dwell_time double, flight_time double, key_token string, "
     "is_backspace boolean, is_enter boolean, is_space boolean, is_correction boolean"
 )
-_BUFFER = ("event_type string, timestamp_ms double, key_token string, is_backspace boolean, "
-           "is_enter boolean, is_space boolean, raw_id long")
+_ROW = ("event_type:string,timestamp_ms:double,key_token:string,is_backspace:boolean,"
+        "is_enter:boolean,is_space:boolean,raw_id:bigint")
 _SESSION = "released double, next_index long, last_backspace double, paused boolean, seen double"
 
 
@@ -87,63 +89,88 @@ class PairKeys(StatefulProcessor):
     """Pairs the keys of one session.
 
     State: rows the watermark has not passed, the press time of every key that is down, and the
-    last release, next index, last backspace press, pause flag and last time of the session.  The
-    buffer holds the rows of one watermark delay, whatever the length of the session.  A timer
-    removes all of it once the session has been idle for ``idle_ms``.
+    last release, next index, last backspace press, pause flag and last time of the session.
+    Waiting rows lie in a calendar: a batch files its rows under their time slot, a timer at the
+    end of a slot takes out that slot only, so every row is written once and read once however
+    many batches its watermark delay spans.  Once the session has been idle for ``idle_ms`` all
+    state is removed.
+
+    Subclasses take the pairs of a session in order (``take``) and may add rows when it is over
+    (``close_session``).
     """
 
-    def __init__(self, idle_ms: float = IDLE_MS):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: float = IDLE_MS, slot_ms: float = SLOT_MS):
+        self.idle_ms, self.slot_ms = idle_ms, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", _BUFFER)
+        self.calendar = handle.getMapState(
+            "calendar", "slot long, part int", f"rows array<struct<{_ROW}>>")
+        self.waiting = handle.getValueState("waiting", "slots array<bigint>, parts array<int>")
         self.pending = handle.getMapState("pending", "key_token string", "press double")
         self.session = handle.getValueState("session", _SESSION)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        slots: dict[int, list[tuple]] = {}
         for pdf in rows:
             # Clock rows only move the watermark.
-            pdf = pdf[pdf["event_type"] != "tick"]
-            if pdf.empty:
-                continue
-            self.buffer.appendList([
-                (r.event_type, float(r.timestamp_ms), r.key_token, _flag(r.is_backspace),
-                 _flag(r.is_enter), _flag(r.is_space), int(r.raw_id))
-                for r in pdf.itertuples(index=False)
-            ])
-            first = float(pdf["timestamp_ms"].min())
-            earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._wake(earliest)
+            for r in pdf[pdf["event_type"] != "tick"].itertuples(index=False):
+                time = float(r.timestamp_ms)
+                slots.setdefault(int(time // self.slot_ms), []).append(
+                    (r.event_type, time, r.key_token, _flag(r.is_backspace),
+                     _flag(r.is_enter), _flag(r.is_space), int(r.raw_id)))
+        if slots:
+            parts = self._parts()
+            for slot, filed in slots.items():
+                part = parts.get(slot, 0)
+                self.calendar.updateValue((slot, part), (filed,))
+                if not part:
+                    self._wake((slot + 1) * self.slot_ms)
+                parts[slot] = part + 1
+            self._keep(parts)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
-        rows = list(self.buffer.get())
-        due = sorted((r for r in rows if r[1] < watermark), key=lambda r: (r[1], r[6]))
-        rest = [r for r in rows if r[1] >= watermark]
-        if not due:
-            if not rest and self.session.exists() and self.session.get()[4] + self.idle_ms < watermark:
-                self.buffer.clear()
-                self.pending.clear()
-                self.session.clear()
+        parts = self._parts()
+        due = sorted(slot for slot in parts if (slot + 1) * self.slot_ms <= watermark)
+        for slot in due:
+            rows = []
+            for part in range(parts.pop(slot)):
+                rows += self.calendar.getValue((slot, part))[0]
+                self.calendar.removeKey((slot, part))
+            yield from self.take(key, self._pair(key, sorted(rows, key=lambda r: (r[1], r[6]))))
+        if due:
+            self._keep(parts)
+        if parts or not self.session.exists():
             return
-        if rest:
-            self.buffer.put([tuple(r) for r in rest])
-            self._wake(min(r[1] for r in rest))
-        else:
-            self.buffer.clear()
-        found = self._pair(key, due)
-        self._wake(due[-1][1] + self.idle_ms)
-        if found:
-            yield pd.DataFrame(found)
+        last = self.session.get()[4]
+        if last + self.idle_ms < watermark:
+            yield from self.close_session(key)
+            for state in (self.calendar, self.waiting, self.pending, self.session):
+                state.clear()
+        elif due:
+            self._wake(last + self.idle_ms)
+
+    def take(self, key, pairs: list[dict]) -> Iterator[pd.DataFrame]:
+        """The pairs of a session as they come, in order."""
+        if pairs:
+            yield pd.DataFrame(pairs)
+
+    def close_session(self, key) -> Iterator[pd.DataFrame]:
+        """The session is over; its state goes when this returns."""
+        yield from ()
 
     def close(self) -> None:
         pass
 
+    def _parts(self) -> dict[int, int]:
+        return dict(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else {}
+
+    def _keep(self, parts: dict[int, int]) -> None:
+        self.waiting.update((list(parts), list(parts.values())))
+
     def _wake(self, time_ms: float) -> None:
         self.handle.registerTimer(int(time_ms) + 1)
 
