@@ -204,3 +204,37 @@ def erased_table(spark, sf_dir):
     target.erase(1, ["pseudonymized_user_id"], people)
     target.vacuum()
     return target.current()[1]
+
+
+_SESSIONS = "session_id string, pseudonymized_user_id string, sample_count long"
+
+
+@query("grown_table", with_parts("stored", body="""
+SELECT session_id, pseudonymized_user_id, sample_count + CASE WHEN day >= '2024-01-15' THEN 100 ELSE 0 END AS sample_count
+FROM stored"""))
+def grown_table(spark, sf_dir):
+    """A stored table that takes the sessions week by week, every week but the first two a second time, and grows from one
+    bucket to as many as its rows need."""
+    rows = stored_rows(spark, sf_dir).select(*[c.split()[0] for c in _SESSIONS.split(", ")], "created_at")
+    target = sinks.KeyedTable(spark, f"{scratch(spark)}/sessions", _SESSIONS, rows_per_bucket=200)
+    weeks = ("2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29")
+    for batch, (start, end) in enumerate(zip((None, *weeks), (*weeks, None), strict=True)):
+        new = rows
+        if start:
+            new = new.filter(F.col("created_at") >= start)
+        if end:
+            new = new.filter(F.col("created_at") < end)
+        target.merge(new.drop("created_at"), batch, ["session_id"], "sample_count")
+    again = rows.filter(F.col("created_at") >= "2024-01-15").withColumn("sample_count", F.col("sample_count") + 100)
+    target.merge(again.drop("created_at"), len(weeks) + 1, ["session_id"], "sample_count")
+    return target.current()[1]
+
+
+@query("stored_detail", with_parts("stored", body="""
+SELECT session_id, pseudonymized_user_id, sample_count FROM stored WHERE session_id = (SELECT max(session_id) FROM stored)"""))
+def stored_detail(spark, sf_dir):
+    """One session read by its key from the stored table: a single bucket of it is opened."""
+    rows = stored_rows(spark, sf_dir).select(*[c.split()[0] for c in _SESSIONS.split(", ")])
+    target = sinks.KeyedTable(spark, f"{scratch(spark)}/sessions", _SESSIONS, rows_per_bucket=100)
+    target.merge(rows, 0, ["session_id"], "sample_count")
+    return target.lookup(rows.agg(F.max("session_id").alias("session_id")))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo.operators import baselines as bl
-from keytempo.operators.assessments import merge_by_key
 from keytempo.operators.validation import GateLimits, with_gate
 from keytempo.schemas import BASELINE_STATS
+from keytempo.streaming.keyed import KeyedTable
 
 METRICS = {"mean_dwell_ms": "mean_dwell_time", "mean_flight_ms": "mean_flight_time"}
 
@@ -53,101 +53,6 @@ def score_sink(
     return write
 
 
-class KeyedTable:
-    """A Parquet table with one row per key, dealt to buckets by a hash of the key.
-
-    A merge rewrites the buckets that its rows fall into, as a new version of each, and then publishes the versions in one
-    file; readers never see half a merge and a repeated batch is skipped.  One writer at a time.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 64):
-        self.spark, self.path, self.schema, self.buckets = spark, path, schema, buckets
-
-    def _published(self) -> tuple[int, dict[int, int]]:
-        """The last batch and the current version of each bucket: one row per bucket reaches the driver."""
-        try:
-            marks = self.spark.read.schema("batch long, buckets array<int>").json(f"{self.path}/published")
-            rows = marks.select("batch", F.explode_outer("buckets").alias("bucket")).groupBy("bucket").agg(
-                F.max("batch").alias("batch")).collect()
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return -1, {}
-        return max((r.batch for r in rows), default=-1), {r.bucket: r.batch for r in rows if r.bucket is not None}
-
-    def _rows(self, versions: dict[int, int]) -> DataFrame:
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        paths = [f"{self.path}/version={v}/bucket={b}" for b, v in sorted(versions.items())]
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def current(self) -> tuple[int, DataFrame]:
-        done, versions = self._published()
-        return done, self._rows(versions)
-
-    def merge(
-        self, batch: DataFrame, batch_id: int, keys: Sequence[str], order: str | Sequence[str],
-        update_cols: Sequence[str] | None = None,
-    ) -> None:
-        done, versions = self._published()
-        if batch_id <= done:
-            return
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        touched = sorted(r.b for r in batch.select(bucket.alias("b")).distinct().collect())
-        if touched:
-            base = self._rows({b: v for b, v in versions.items() if b in touched})
-            merged = merge_by_key(base, batch, keys, order, update_cols)
-            (merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite")
-             .partitionBy("bucket").parquet(f"{self.path}/version={batch_id}"))
-        mark = F.array(*[F.lit(b) for b in touched]).cast("array<int>")
-        self.spark.range(1).select(F.lit(batch_id).alias("batch"), mark.alias("buckets")).coalesce(1).write.mode(
-            "append").json(f"{self.path}/published")
-
-    def erase(self, batch_id: int, keys: Sequence[str], rows: DataFrame) -> int:
-        """Delete the rows that agree with ``rows`` in ``keys`` (some or all key columns); returns how many buckets were
-        rewritten.  ``vacuum`` then removes the files that still hold them."""
-        done, versions = self._published()
-        if batch_id <= done:
-            return 0
-        gone, column = rows.select(*keys).distinct(), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        table = self._rows(versions)
-        bucket = F.substring_index(column, "=", -1).cast("int")
-        touched = sorted(r.b for r in table.select("*", bucket.alias("b")).join(gone, list(keys), "left_semi")
-                         .select("b").distinct().collect()) if versions else []
-        if touched:
-            left = self._rows({b: versions[b] for b in touched})
-            left = left.select("*", bucket.alias("bucket")).join(gone, list(keys), "left_anti").select(
-                *table.columns, "bucket")
-            left.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-                f"{self.path}/version={batch_id}")
-            kept = {r.bucket for r in self.spark.read.parquet(f"{self.path}/version={batch_id}").select("bucket")
-                    .distinct().collect()} if not left.isEmpty() else set()
-            for b in set(touched) - kept:  # nothing is left of these
-                self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(
-                    f"{self.path}/version={batch_id}/bucket={b}")
-        mark = F.array(*[F.lit(b) for b in touched]).cast("array<int>")
-        self.spark.range(1).select(F.lit(batch_id).alias("batch"), mark.alias("buckets")).coalesce(1).write.mode(
-            "append").json(f"{self.path}/published")
-        return len(touched)
-
-    def vacuum(self) -> int:
-        """Delete bucket folders that no published version names any more; returns how many.  Readers of older versions
-        must be done."""
-        _, versions = self._published()
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        gone = 0
-        for version in fs.listStatus(root):
-            name = version.getPath().getName()
-            if not name.startswith("version="):
-                continue
-            for bucket in fs.listStatus(version.getPath()):
-                b = bucket.getPath().getName()
-                if b.startswith("bucket=") and versions.get(int(b[7:])) != int(name[8:]):
-                    gone += bool(fs.delete(bucket.getPath(), True))
-        return gone
-
-
 def upsert_sink(
     table: KeyedTable, keys: Sequence[str], order: str | Sequence[str], update_cols: Sequence[str] | None = None
 ) -> Callable[[DataFrame, int], None]:
