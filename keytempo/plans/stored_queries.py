@@ -10,11 +10,11 @@ from keytempo.plans.baseline_queries import LEVEL_SQL, deviations
 from keytempo.plans.event_queries import session_table
 from keytempo.plans.key_events import key_events, scratch, stable, table
 from keytempo.plans.quality_queries import labelled_windows
-from keytempo.plans.record_queries import assessed
+from keytempo.plans.record_queries import NOW, artifacts, assessed
 from keytempo.plans.record_queries import stored_sessions as stored_rows
 from keytempo.plans.registry import query
 from keytempo.plans.sql import r, with_parts
-from keytempo.sources import tables
+from keytempo.sources import dated, tables
 from keytempo.streaming import sinks
 
 _RUN_SQL = with_parts("split2", "ev", body="""
@@ -238,3 +238,35 @@ def stored_detail(spark, sf_dir):
     target = sinks.KeyedTable(spark, f"{scratch(spark)}/sessions", _SESSIONS, rows_per_bucket=100)
     target.merge(rows, 0, ["session_id"], "sample_count")
     return target.lookup(rows.agg(F.max("session_id").alias("session_id")))
+
+
+_ARTIFACTS = "event_id long, value double, created_at timestamp"
+
+
+@query("retained_table", with_parts("artifacts", body="""
+SELECT event_id, value FROM artifacts WHERE ts + to_days(CAST(days AS INTEGER)) > TIMESTAMP '2024-04-08'"""))
+def retained_table(spark, sf_dir):
+    """A stored table by kind and day after the retention run: old partitions are gone, the ones at the limit rewritten."""
+    path = f"{scratch(spark)}/artifacts"
+    dated.store_by_day(artifacts(spark, sf_dir).select("event_id", "value", "created_at", "artifact_type"), path)
+    dated.retain(spark, path, NOW)
+    return dated.read_by_day(spark, path, _ARTIFACTS).select("event_id", "value")
+
+
+@query("purged_tables", with_parts("stored", body="""
+SELECT 'events' AS name, CAST(event_id AS VARCHAR) AS id FROM events WHERE user_id <> 8
+UNION ALL SELECT 'sessions', session_id FROM stored WHERE pseudonymized_user_id <> '8'"""))
+def purged_tables(spark, sf_dir):
+    """Two stored tables after a person is erased from both, with a second run that finds everything done."""
+    folder = scratch(spark)
+    dated.store_by_day(table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), f"{folder}/events", "ts", None)
+    dated.store_by_day(stored_rows(spark, sf_dir).select("session_id", F.col("pseudonymized_user_id").alias("user_id"), "created_at"),
+                       f"{folder}/sessions", "created_at", None)
+    both = {n: (f"{folder}/{n}", ["day"]) for n in ("events", "sessions")}
+    for _ in range(2):
+        dated.purge_tables(spark, both, "8", f"{folder}/journal")
+    left = dated.read_by_day(spark, f"{folder}/events", "event_id long", None).select(
+        F.lit("events").alias("name"), F.col("event_id").cast("string").alias("id"))
+    return left.unionByName(dated.read_by_day(spark, f"{folder}/sessions", "session_id string", None).select(
+        F.lit("sessions").alias("name"), F.col("session_id").alias("id")))

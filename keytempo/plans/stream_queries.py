@@ -161,6 +161,26 @@ def stream_sanitize(spark, sf_dir):
         "timestamp_ms", F.round("timestamp_ms", 6) + F.lit(0.0))
 
 
+@query("stream_rejects", with_parts("judged", body="""
+SELECT event_id AS row_id, user_id, coalesce(reason, 'clean') AS reason FROM judged"""))
+def stream_rejects(spark, sf_dir):
+    """Clean and rejected browser payloads from one pass; every batch is run twice, as after a lost commit."""
+    schema = table(spark, sf_dir, "events").schema
+    source = keys.read_event_stream(spark, f"{sf_dir}/events*.parquet", schema, "parquet")
+    folder = scratch(spark)
+    sink = sinks.sanitize_sink(f"{folder}/out", keep=["row_id", "user_id"])
+
+    def twice(batch, batch_id):
+        sink(batch, batch_id)
+        sink(batch, batch_id)
+
+    sinks.run_to_end(payloads(source).writeStream.foreachBatch(twice).option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    clean, rejects = sinks.sanitized_output(spark, f"{folder}/out")
+    return clean.select("row_id", "user_id", F.lit("clean").alias("reason")).unionByName(
+        rejects.select("row_id", "user_id", "reason"))
+
+
 @query("stream_pauses", with_parts("parted", body=f"""
 SELECT user_id, session_id, key_token, down AS press_time, timestamp_ms AS release_time,
   row_number() OVER s - 1 AS sequence_index,

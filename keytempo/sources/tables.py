@@ -11,6 +11,7 @@ from keytempo import names
 from keytempo.operators.assessments import flatten_assessments
 from keytempo.operators.baselines import profiles, wide_baselines
 from keytempo.operators.privacy import redact
+from keytempo.sources.dated import newest_partitions
 
 ROWS_PER_FILE = 5_000_000
 
@@ -133,14 +134,16 @@ def newest_first(sessions: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def append_audit(events: DataFrame, path: str, details: str = "details") -> None:
-    """Append redacted audit events as JSON lines."""
-    redact(events, details).write.mode("append").json(path)
+    """Append redacted audit events as JSON lines, by day of their time."""
+    rows = redact(events, details).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").json(path)
 
 
 def recent_audit(
     spark: SparkSession, path: str, n: int = 50, details: str = "map<string,string>"
 ) -> DataFrame:
-    """The newest ``n`` audit events."""
-    log = spark.read.schema(
-        f"timestamp timestamp, event_type string, actor_role string, details {details}").json(path)
+    """The newest ``n`` audit events; only the newest days that hold that many are read."""
+    schema = f"timestamp timestamp, event_type string, actor_role string, details {details}"
+    days = newest_partitions(spark, path, n)
+    log = spark.read.schema(schema).json(days) if days else spark.createDataFrame([], schema)
     return log.orderBy(F.col("timestamp").desc(), "event_type", "actor_role").limit(n)

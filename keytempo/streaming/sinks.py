@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo.operators import baselines as bl
+from keytempo.operators.adapt import with_payload_checks
 from keytempo.operators.validation import GateLimits, with_gate
 from keytempo.schemas import BASELINE_STATS
 from keytempo.streaming.keyed import KeyedTable
+from keytempo.streaming.keys import KEYS
 
 METRICS = {"mean_dwell_ms": "mean_dwell_time", "mean_flight_ms": "mean_flight_time"}
 
@@ -36,6 +38,31 @@ def deviation_of_closed(closed: DataFrame, baselines: DataFrame) -> DataFrame:
         .alias("typing_deviation_index"))
 
 
+def sanitize_sink(path: str, payload: str = "payload", keep: Sequence[str] = KEYS) -> Callable[[DataFrame, int], None]:
+    """Write the clean events of a batch and its rejects with their reasons in one pass and one commit.
+
+    A batch has one folder, cut into ``kind=clean`` and ``kind=rejected``; a batch that is run again overwrites it, so both
+    outputs hold every row once.  Rejected rows carry the ``keep`` columns and the reason, never the payload.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        checked = with_payload_checks(batch, payload)
+        good = F.col("_reason").isNull()
+        fields = [f.name for f in checked.schema["_event"].dataType.fields]
+        rows = checked.select(
+            *keep, *[F.when(good, F.col("_event")[f]).alias(f) for f in fields if f not in keep], F.col("_reason").alias("reason"),
+            F.when(good, "clean").otherwise("rejected").alias("kind"))
+        rows.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def sanitized_output(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(clean events, rejects) of all batches that ``sanitize_sink`` has finished."""
+    rows = spark.read.parquet(path).drop("batch")
+    clean = rows.filter("kind = 'clean'").drop("kind", "reason")
+    return clean, rows.filter("kind = 'rejected'").drop("kind")
+
+
 def score_sink(
     baselines: Callable[[], DataFrame], path: str, limits: GateLimits = GateLimits()
 ) -> Callable[[DataFrame, int], None]:
