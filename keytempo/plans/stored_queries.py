@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keytempo.operators import assessments, baselines, cleaning, events, splits, validation
 from keytempo.plans import feature_run
-from keytempo.plans.baseline_queries import LEVEL_SQL, deviations
+from keytempo.plans.baseline_queries import _STATS, LEVEL_SQL, deviations
 from keytempo.plans.event_queries import session_table
 from keytempo.plans.key_events import key_events, scratch, stable, table
 from keytempo.plans.quality_queries import labelled_windows
@@ -15,7 +15,7 @@ from keytempo.plans.record_queries import stored_sessions as stored_rows
 from keytempo.plans.registry import query
 from keytempo.plans.sql import r, with_parts
 from keytempo.sources import dated, tables
-from keytempo.streaming import sinks
+from keytempo.streaming import incremental, sinks
 
 _RUN_SQL = with_parts("split2", "ev", body="""
 , clean AS (SELECT * FROM ev WHERE release_time - press_time BETWEEN 10 AND 4000),
@@ -270,3 +270,14 @@ def purged_tables(spark, sf_dir):
         F.lit("events").alias("name"), F.col("event_id").cast("string").alias("id"))
     return left.unionByName(dated.read_by_day(spark, f"{folder}/sessions", "session_id string", None).select(
         F.lit("sessions").alias("name"), F.col("session_id").alias("id")))
+
+
+@query("incremental_baselines", with_parts("base", body="SELECT user_id, feature, sample_count, "
+       + ", ".join(f"{r(s)} AS {s}" for s in _STATS) + " FROM base"))
+def incremental_baselines(spark, sf_dir):
+    """Sessions of the last week arrive as an update and the one before is sent again; older sessions are not read again."""
+    sessions = session_table(spark, sf_dir)
+    kept = incremental.IncrementalBaselines(spark, f"{scratch(spark)}/baselines")
+    kept.update(sessions.filter(F.col("session_id") < "2024-01-29"), 0)
+    kept.update(sessions.filter(F.col("session_id") >= "2024-01-22"), 1)
+    return stable(kept.baselines.current()[1].select("user_id", "feature", "sample_count", *_STATS))

@@ -52,11 +52,17 @@ class KeyedTable:
     (linear hashing): when buckets would hold more than ``rows_per_bucket`` on average, the same merge splits as many
     as are needed.  Only the last two directories are kept, so publishing reads and writes as much after a thousand batches as
     after one; a directory has one row per bucket and is all that reaches the driver.  One writer at a time.
+
+    ``cluster`` names key columns that are hashed alone, so rows that share them lie in one bucket; their number has to be bounded.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET):
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 1, rows_per_bucket: int = ROWS_PER_BUCKET,
+                 cluster: Sequence[str] = ()):
         self.spark, self.path, self.schema = spark, path, schema
-        self.first_buckets, self.rows_per_bucket = buckets, rows_per_bucket
+        self.first_buckets, self.rows_per_bucket, self.cluster = buckets, rows_per_bucket, list(cluster)
+
+    def _bucket(self, d: Directory) -> Column:
+        return address(F.xxhash64(*(self.cluster or d.keys)), d.buckets)
 
     # --- directory ---
 
@@ -102,23 +108,25 @@ class KeyedTable:
         return d.batch, self._rows(d)
 
     def _touched(self, rows: DataFrame, d: Directory) -> set[int]:
-        bucket = address(F.xxhash64(*d.keys), d.buckets)
-        return {r.b for r in rows.select(bucket.alias("b")).distinct().collect()}
+        return {r.b for r in rows.select(self._bucket(d).alias("b")).distinct().collect()}
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """The rows whose key is in ``keys`` (all key columns); only the buckets of these keys are read."""
+        """The rows whose key is in ``keys`` (all key columns, or the clustering ones at least); only their buckets are read."""
         d = self.directory()
         if not d.keys:
             return self._rows(d)
-        wanted = keys.select(*d.keys).distinct()
-        return self._rows(d, self._touched(wanted, d)).join(wanted, d.keys, "left_semi")
+        on = [k for k in d.keys if k in keys.columns]
+        if not set(self.cluster or d.keys) <= set(on):
+            raise ValueError(f"rows are found by {self.cluster or d.keys}")
+        wanted = keys.select(*on).distinct()
+        return self._rows(d, self._touched(wanted, d)).join(wanted, on, "left_semi")
 
     # --- writing ---
 
     def _rewrite(self, d: Directory, batch_id: int, rows: DataFrame, replaced: set[int]) -> None:
         """Write ``rows`` as the new content of the ``replaced`` buckets and publish."""
-        target, bucket = f"{self.path}/version={batch_id}", address(F.xxhash64(*d.keys), d.buckets)
-        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        target = f"{self.path}/version={batch_id}"
+        rows.withColumn("bucket", self._bucket(d)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         d.held = {b: held for b, held in d.held.items() if b not in replaced}
         if any(n.startswith("bucket=") for n in self._names(f"version={batch_id}")):
             # Counts come from the Parquet footers.
@@ -164,7 +172,7 @@ class KeyedTable:
         if batch_id <= d.batch:
             return 0
         gone, touched = rows.select(*keys).distinct(), set()
-        if d.held and set(keys) >= set(d.keys):
+        if d.held and set(keys) >= set(self.cluster or d.keys):
             touched = self._touched(gone, d) & set(d.held)
         elif d.held:
             folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
