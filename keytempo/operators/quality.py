@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keytempo import names
@@ -120,13 +120,14 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Count and share per class with the max/min ratio and an imbalance flag."""
     counts = (df.filter(F.col(label).isNotNull()).groupBy(label)
               .agg(F.count(F.lit(1)).alias("class_count")))
-    every = Window.partitionBy()  # one row per class
-    ratio = F.max("class_count").over(every) / F.greatest(
-        F.min("class_count").over(every), F.lit(1))
-    return counts.select(
+    # One row of totals, looked up while the plan runs; classes may be many.
+    total = counts.agg(F.struct(F.max("class_count").alias("most"), F.min("class_count").alias("fewest"),
+                                F.sum("class_count").alias("rows")).alias("t")).scalar()
+    ratio = F.col("_total.most") / F.greatest(F.col("_total.fewest"), F.lit(1))
+    return counts.withColumn("_total", total).select(
         F.col(label).cast("string").alias("label"),
         "class_count",
-        F.round(F.col("class_count") / F.sum("class_count").over(every), 4)
+        F.round(F.col("class_count") / F.col("_total.rows"), 4)
         .alias("class_proportion"),
         F.round(ratio, 2).alias("imbalance_ratio"),
         (F.round(ratio, 2) > 3.0).alias("is_imbalanced"),

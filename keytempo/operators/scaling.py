@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytempo.operators.groups import exact_quantiles, ordered_rank
@@ -120,23 +120,19 @@ def inspect_labels(df: DataFrame, label: str) -> DataFrame:
     """Count and share per label, with the number of classes and of missing labels."""
     counts = df.groupBy(F.col(label).cast("string").alias("label")).agg(
         F.count(F.lit(1)).alias("class_count"))
-    every = Window.partitionBy()  # one row per class
     known = F.when(F.col("label").isNotNull(), F.col("class_count"))
-    valid = F.sum(known).over(every)
-    return counts.withColumns({
-        "class_proportion": F.round(known / F.greatest(valid, F.lit(1)), 4),
-        "num_classes": F.count("label").over(every),
-        "null_count": F.coalesce(F.sum(
-            F.when(F.col("label").isNull(), F.col("class_count"))).over(every), F.lit(0)),
-    }).filter(F.col("label").isNotNull())
+    missing = F.when(F.col("label").isNull(), F.col("class_count"))
+    total = counts.agg(F.struct(F.sum(known).alias("valid"), F.count("label").alias("classes"),
+                                F.coalesce(F.sum(missing), F.lit(0)).alias("nulls")).alias("t")).scalar()
+    return counts.filter(F.col("label").isNotNull()).withColumn("_total", total).withColumns({
+        "class_proportion": F.round(F.col("class_count") / F.greatest(F.col("_total.valid"), F.lit(1)), 4),
+        "num_classes": F.col("_total.classes"), "null_count": F.col("_total.nulls")}).drop("_total")
 
 
 def class_weights(train: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c)."""
     counts = train.filter(F.col(label).isNotNull()).groupBy(label).agg(
         F.count(F.lit(1)).alias("class_count"))
-    every = Window.partitionBy()  # one row per class
-    return counts.withColumn(
-        "class_weight",
-        F.sum("class_count").over(every)
-        / (F.count(F.lit(1)).over(every) * F.col("class_count")))
+    total = counts.agg(F.struct(F.sum("class_count").alias("rows"), F.count(F.lit(1)).alias("classes")).alias("t")).scalar()
+    return counts.withColumn("_total", total).withColumn(
+        "class_weight", F.col("_total.rows") / (F.col("_total.classes") * F.col("class_count"))).drop("_total")

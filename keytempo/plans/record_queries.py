@@ -542,8 +542,8 @@ _LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "
 
 
 @query("dataset_fingerprint", f"""
-WITH h AS (SELECT ('0x' || substr(md5(concat_ws('|', {', '.join(
-    f"coalesce(CAST({c} AS VARCHAR), '-')" for c in _LINE)})), 1, 15))::BIGINT AS h FROM lineitem)
+WITH h AS (SELECT ('0x' || substr(md5({' || '.join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _LINE)}), 1, 15))::BIGINT AS h FROM lineitem)
 SELECT count(*) AS row_count, bit_xor(h) AS xor_hash, CAST(sum(h % 1048576) AS BIGINT) AS sum_hash FROM h""")
 def dataset_fingerprint(spark, sf_dir):
     return event_sources.dataset_fingerprint(table(spark, sf_dir, "lineitem").select(*_LINE))

@@ -116,8 +116,13 @@ def candidate_files(spark: SparkSession, folder: str) -> DataFrame:
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
     """Content hash of a table that does not depend on row order or partitioning.
 
-    A row's hash is 60 bits of the md5 of its values as text, so other engines can repeat it."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns])
+    A row's hash is 60 bits of the md5 of its values as text, each with its length before it and nulls as ``-``, so other
+    engines can repeat it and values can't run into each other."""
+    def framed(c: str):
+        value = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    text = F.concat(*[framed(c) for c in df.columns])
     h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     return df.select(h.alias("h")).agg(
         F.count(F.lit(1)).alias("row_count"),

@@ -75,11 +75,21 @@ def write_documents(assessment_rows: DataFrame, folder: str) -> None:
         folder)
 
 
+def json_keys(text: Column) -> Column:
+    """The keys of a JSON text at any depth, in lower case.
+
+    All strings are taken one after the other, so a key can't be read inside of a value; keys are those before a colon.
+    """
+    strings = F.regexp_extract_all(text, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?'), F.lit(0))
+    keys = F.filter(strings, lambda s: s.endswith(":"))
+    return F.transform(keys, lambda s: F.lower(F.trim(F.regexp_replace(s, r'^"|"\s*:$', ""))))
+
+
 def list_sessions(spark: SparkSession, folder: str, one_per_file: bool = True) -> DataFrame:
     """Scan a folder with one assessment document per JSON file, or one per line as ``write_documents`` leaves them.
 
-    Broken documents become rows with quality CORRUPTED, documents with a forbidden key become
-    BLOCKED and show nothing of their content.
+    Broken documents become rows with quality CORRUPTED, documents with a forbidden key at any depth
+    become BLOCKED and show nothing of their content.
     """
     docs = (
         (spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True) if one_per_file
@@ -89,8 +99,7 @@ def list_sessions(spark: SparkSession, folder: str, one_per_file: bool = True) -
             F.col("_metadata.file_name").alias("file_name"),
             F.col("_metadata.file_modification_time").alias("modified"))
     )
-    body = F.from_json("assessment_json", "map<string,string>")
-    keys = F.transform(F.map_keys(body), lambda k: F.lower(F.trim(k)))
+    keys = json_keys(F.col("assessment_json"))
     parsed = docs.withColumns({
         "_broken": F.try_parse_json("assessment_json").isNull(),
         "_blocked": F.coalesce(F.arrays_overlap(

@@ -147,3 +147,23 @@ def test_training_run(spark, sf, tmp_path):
     worst = pairs.agg(F.max(F.abs(F.col("std_d") - F.col("s"))),
                       F.max(F.abs(F.col("median_d") - F.col("m")))).first()
     assert max(worst) < 1e-3
+
+
+def test_forbidden_keys_are_found_at_any_depth(spark, tmp_path):
+    import json
+    docs = [
+        {"session_id": "a", "meta": {"inner": [{"Raw_Text": "x"}]}},
+        {"session_id": "b", "note": 'says "raw_text": here, \\ and "more'},
+        {"session_id": "c", "raw_text ": 1},
+    ]
+    for i, d in enumerate(docs):
+        (tmp_path / f"assessment_{i}.json").write_text(json.dumps(d))
+    got = {r.session_id: r.quality_verdict for r in tables.list_sessions(spark, str(tmp_path)).collect()}
+    assert got == {"0": "PRIVACY_VIOLATION", "b": "UNKNOWN", "2": "PRIVACY_VIOLATION"}
+
+
+def test_fingerprint_keeps_values_apart(spark):
+    from keytempo.sources.events import dataset_fingerprint
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("-", "x"), ("", "x")]
+    found = {tuple(dataset_fingerprint(spark.createDataFrame([r], "p string, q string")).first()) for r in rows}
+    assert len(found) == len(rows)
