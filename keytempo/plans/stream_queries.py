@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keytempo import names
 from keytempo.operators import baselines
 from keytempo.plans.event_queries import PAIR_SQL, TEL_COLUMNS, session_table
 from keytempo.plans.key_events import scratch, stable, table
@@ -74,7 +75,8 @@ def stream_telemetry(spark, sf_dir):
     """Telemetry of every session as it ends, with exact medians from state."""
     folder = scratch(spark)
     finished(live.telemetry_stream(raw_stream(spark, sf_dir), IDLE_MS), folder)
-    return stable(spark.read.schema(live.TELEMETRY_SCHEMA).parquet(f"{folder}/out").drop("std_flight_ms"))
+    return stable(spark.read.schema(live.TELEMETRY_SCHEMA).parquet(f"{folder}/out").drop(
+        "std_flight_ms", "std_dwell_ms", "mean_pause_ms", "valid_dwell_count", "valid_flight_count"))
 
 
 @query("stream_strain", with_parts("tel", body="""
@@ -94,6 +96,40 @@ def stream_strain(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("user_id", "session_id", "strain_score", "strain_category")
 
 
+part("live_nine", "tel", sql="""
+SELECT user_id, session_id, any_value(estimated_wpm) AS mean_typing_speed_wpm, any_value(mean_dwell_ms) AS mean_dwell_time,
+  avg(flight_time) AS mean_flight_time, count(*) FILTER (p.is_backspace) / count(*) AS backspace_rate,
+  CASE WHEN count(flight_time) > 0 THEN count(*) FILTER (flight_time > 2000) / count(flight_time) END AS pause_rate,
+  CASE WHEN count(flight_time) > 0 THEN coalesce(avg(flight_time) FILTER (flight_time > 2000), 0) END AS mean_pause_duration,
+  CASE WHEN count(flight_time) > 1 AND abs(avg(flight_time)) > 1e-5 THEN stddev_samp(flight_time) / avg(flight_time)
+       WHEN count(flight_time) > 0 THEN 0 END AS cv_flight_time,
+  CASE WHEN count(*) FILTER (dwell_time > 0) > 1
+       THEN (stddev_samp(dwell_time) FILTER (dwell_time > 0)) / (avg(dwell_time) FILTER (dwell_time > 0)) ELSE 0 END AS cv_dwell_time,
+  any_value(error_rate) AS error_rate FROM pairs p JOIN tel USING (user_id, session_id) GROUP BY user_id, session_id""")
+part("live_nine_z", "live_nine", "base", sql="""
+SELECT l.user_id, l.session_id, CASE WHEN std > 1e-5 THEN (value - mean) / std
+  WHEN mad > 1e-5 THEN (value - median) / (1.4826 * mad) ELSE 0 END AS z
+FROM (""" + " UNION ALL ".join(
+    f"SELECT user_id, session_id, '{f}' AS feature, {f} AS value FROM live_nine WHERE {f} IS NOT NULL"
+    for f in names.BASELINE_FEATURES) + """) l JOIN base b USING (user_id, feature)""")
+
+
+@query("stream_deviation", with_parts("live_nine", "live_nine_z", body=f"""
+SELECT user_id, session_id, count(z) AS evaluated_features, {r('avg(CASE WHEN z IS NOT NULL THEN least(abs(z), 4) END) * 25', 4)} AS typing_deviation_index
+FROM live_nine LEFT JOIN live_nine_z USING (user_id, session_id) GROUP BY user_id, session_id"""))
+def stream_deviation(spark, sf_dir):
+    """Sessions compared with their person's baseline on all nine features, as they end."""
+    folder = scratch(spark)
+    baselines.user_baselines(session_table(spark, sf_dir)).write.parquet(f"{folder}/baselines")
+    sink = live.deviation_sink(lambda: sinks.baseline_table(spark, f"{folder}/baselines"), f"{folder}/scored")
+    closed = live.telemetry_stream(raw_stream(spark, sf_dir), IDLE_MS, pause_ms=2000.0)
+    sinks.run_to_end(closed.writeStream.foreachBatch(sink).outputMode("append").option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{folder}/scored").select(
+        "user_id", "session_id", F.coalesce("evaluated_features", F.lit(0).cast("long")).alias("evaluated_features"),
+        (F.round("typing_deviation_index", 4) + F.lit(0.0)).alias("typing_deviation_index"))
+
+
 _VECTOR = ("dwell_time", "flight_time", "pause_duration", "typing_speed", "backspace", "error_flag")
 
 

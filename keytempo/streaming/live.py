@@ -6,15 +6,16 @@ All of it follows the pairs of one session inside the operator that makes them,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from keytempo.operators import features
+from keytempo.operators.baselines import NEAR_ZERO, session_index
 from keytempo.operators.events import (
     BUFFER_EVENTS,
     CHARS_PER_WORD,
@@ -28,7 +29,8 @@ from keytempo.streaming.keys import IDLE_MS, KEYS, PAIR_SCHEMA, SLOT_MS, PairKey
 TELEMETRY_SCHEMA = (
     "user_id string, session_id string, event_count long, mean_dwell_ms double, median_dwell_ms double, "
     "mean_flight_ms double, median_flight_ms double, std_flight_ms double, pause_count long, pause_rate double, "
-    "estimated_wpm double, backspace_count long, correction_count long, error_rate double, duration_seconds double"
+    "estimated_wpm double, backspace_count long, correction_count long, error_rate double, duration_seconds double, "
+    "std_dwell_ms double, mean_pause_ms double, valid_dwell_count long, valid_flight_count long"
 )
 WINDOW_SCHEMA = (
     "user_id string, session_id string, window_index long, start_index long, end_index long, start_time double, "
@@ -99,8 +101,8 @@ class LiveTelemetry(PairKeys):
     moments.  It grows with the different values of a session, not with its rows.
     """
 
-    FIELDS = ("events", "dwells", "dwell_sum", "flights", "flight_mean", "flight_m2", "pauses", "backspaces", "corrections",
-              "start", "end")
+    FIELDS = ("events", "dwells", "dwell_mean", "dwell_m2", "flights", "flight_mean", "flight_m2", "pauses", "pause_sum",
+              "backspaces", "corrections", "start", "end")
 
     def __init__(self, idle_ms: float = IDLE_MS, pause_ms: float = LIVE_PAUSE_MS, live: bool = False, slot_ms: float = SLOT_MS):
         super().__init__(idle_ms, slot_ms)
@@ -120,27 +122,31 @@ class LiveTelemetry(PairKeys):
             "start": pairs[0]["press_time"]}
         dwells = [p["dwell_time"] for p in pairs if p["dwell_time"] > 0]
         flights = [p["flight_time"] for p in pairs if p["flight_time"] is not None]
-        if dwells:
-            self.dwells.add(dwells)
-        if flights:
-            self.flights.add(flights)
-            n, m = len(flights), math.fsum(flights) / len(flights)
-            total, step = s["flights"] + n, m - s["flight_mean"]
-            s["flight_m2"] += math.fsum((x - m) ** 2 for x in flights) + step * step * s["flights"] * n / total
-            s["flight_mean"] += step * n / total
-            s["flights"] = total
+        for name, counts, values in (("dwell", self.dwells, dwells), ("flight", self.flights, flights)):
+            if values:
+                counts.add(values)
+                self._merge_moments(s, name, values)
+        pauses = [x for x in flights if x > self.pause_ms]
         s["events"] += len(pairs)
-        s["dwells"] += len(dwells)
-        s["dwell_sum"] += math.fsum(dwells)
-        s["pauses"] += sum(x > self.pause_ms for x in flights)
+        s["pauses"] += len(pauses)
+        s["pause_sum"] += math.fsum(pauses)
         s["backspaces"] += sum(p["is_backspace"] for p in pairs)
         s["corrections"] += sum(p["is_correction"] for p in pairs)
         s["end"] = pairs[-1]["release_time"]
-        s |= {f: float(s[f]) for f in ("dwell_sum", "flight_mean", "flight_m2")}
+        s |= {f: float(s[f]) for f in ("dwell_mean", "dwell_m2", "flight_mean", "flight_m2", "pause_sum")}
         self.sums.update(tuple(s[f] for f in self.FIELDS))
         if self.live:
             yield self._row(key, s)
 
+    @staticmethod
+    def _merge_moments(s: dict, name: str, values: list[float]) -> None:
+        """Put values into the count, mean and sum of squares of a state row."""
+        before, n, mean = s[f"{name}s"], len(values), math.fsum(values) / len(values)
+        total, step = before + n, mean - s[f"{name}_mean"]
+        s[f"{name}_m2"] += math.fsum((x - mean) ** 2 for x in values) + step * step * before * n / total
+        s[f"{name}_mean"] += step * n / total
+        s[f"{name}s"] = total
+
     def close_session(self, key) -> Iterator[pd.DataFrame]:
         if self.sums.exists():
             if not self.live:
@@ -152,7 +158,7 @@ class LiveTelemetry(PairKeys):
         seconds = max(0.1, (s["end"] - s["start"]) / 1000.0)
         return pd.DataFrame([{
             "user_id": key[0], "session_id": key[1], "event_count": s["events"],
-            "mean_dwell_ms": s["dwell_sum"] / s["dwells"] if s["dwells"] else 0.0,
+            "mean_dwell_ms": s["dwell_mean"],
             "median_dwell_ms": self.dwells.median(s["dwells"]),
             "mean_flight_ms": s["flight_mean"], "median_flight_ms": self.flights.median(s["flights"]),
             "std_flight_ms": math.sqrt(s["flight_m2"] / s["flights"]) if s["flights"] else 0.0,
@@ -160,6 +166,9 @@ class LiveTelemetry(PairKeys):
             "estimated_wpm": min(s["events"] / CHARS_PER_WORD / max(seconds / 60.0, 0.001), MAX_WPM),
             "backspace_count": s["backspaces"], "correction_count": s["corrections"],
             "error_rate": (s["backspaces"] + s["corrections"]) / s["events"], "duration_seconds": seconds,
+            "std_dwell_ms": math.sqrt(s["dwell_m2"] / s["dwells"]) if s["dwells"] else 0.0,
+            "mean_pause_ms": s["pause_sum"] / s["pauses"] if s["pauses"] else 0.0,
+            "valid_dwell_count": s["dwells"], "valid_flight_count": s["flights"],
         }])
 
 
@@ -264,6 +273,35 @@ def with_live_strain(telemetry: DataFrame) -> DataFrame:
     return features.strain_score(timing).drop("keystroke_count", "std_flight_time_ms", "mean_hold_time_ms")
 
 
+def live_features(telemetry: DataFrame) -> DataFrame:
+    """The nine features that baselines compare, from telemetry rows.  Flight features of a session without flights are NULL."""
+    def cv(name: str, n: str) -> Column:
+        count, mean = F.col(n), F.col(f"mean_{name}_ms")
+        sample = F.col(f"std_{name}_ms") * F.sqrt(count / (count - 1))
+        return F.when((count > 1) & (F.abs(mean) > NEAR_ZERO), sample / mean).otherwise(0.0)
+
+    flown = F.col("valid_flight_count") > 0
+    return telemetry.select(
+        *KEYS, F.col("estimated_wpm").alias("mean_typing_speed_wpm"), F.col("mean_dwell_ms").alias("mean_dwell_time"),
+        F.when(flown, F.col("mean_flight_ms")).alias("mean_flight_time"),
+        (F.col("backspace_count") / F.col("event_count")).alias("backspace_rate"),
+        F.when(flown, F.col("pause_rate")).alias("pause_rate"),
+        F.when(flown, F.col("mean_pause_ms")).alias("mean_pause_duration"),
+        F.when(flown, cv("flight", "valid_flight_count")).alias("cv_flight_time"),
+        cv("dwell", "valid_dwell_count").alias("cv_dwell_time"), "error_rate")
+
+
+def deviation_sink(baselines: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """Compare the telemetry of closed sessions with the baselines on all features; one folder per batch.
+
+    ``baselines`` is called per batch; a batch that is run again overwrites its folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session_index(live_features(batch), baselines()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def window_stream(events: DataFrame, length: int = 30, stride: int = 10, idle_ms: float = IDLE_MS) -> DataFrame:
     """Windows of running sessions; equal to the batch windows over the same pairs."""
     return _run(events, LiveWindows(length, stride, idle_ms), WINDOW_SCHEMA)
