@@ -100,12 +100,13 @@ def join_profiles(
     The profile side has one row per person, so adaptive execution may split the partition of a
     person with very many sessions.  ``split_above`` does it by plan instead, for stored
     baseline tables: profiles of people above that many sessions, at most sessions / split_above
-    of them, are broadcast, and their sessions are not shuffled at all.
+    of them, are joined apart.  Spark broadcasts them where it has measured that they are small, and
+    then their sessions are not shuffled at all.
     """
     known = profiles(baselines)
     if split_above is None:
         return sessions.join(known, "user_id", how)
-    heavy = F.broadcast(known.filter(F.col("session_count") > split_above))
+    heavy = known.filter(F.col("session_count") > split_above)
     rest = known.filter(F.col("session_count") <= split_above)
     light = sessions.join(heavy, "user_id", "left_anti").join(rest, "user_id", how)
     return light.unionByName(sessions.join(heavy, "user_id"))
