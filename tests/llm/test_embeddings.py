@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from keytempo.llm import embedding_dedup
 from tests.llm import brute
@@ -33,14 +34,40 @@ def test_links_match_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
-def test_window_blocks_lose_no_neighbour(spark, monkeypatch):
-    """Pairs across blocks are found once: 3,000 vectors in one order, window 512."""
+def as_frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_windows_widen_until_their_edge_links_no_more(spark, monkeypatch):
+    """500 near-equal vectors over 8 blocks in one pass: windows of one block grow to the whole cluster, each link counts once."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
     rng = np.random.default_rng(4)
     base = rng.normal(size=8)
-    rows = [(i, [float(x) for x in base + rng.normal(size=8) * 0.01], 0) for i in range(1500)]
-    got = embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), passes=1)
-    assert got.agg({"n_links": "sum"}).first()[0] == 2 * sum(min(512, 1499 - i) for i in range(1500))
-    assert got.where("kept").count() == 1
+    rows = [(i, [float(x) for x in base + rng.normal(size=8) * 0.01], 0) for i in range(500)]
+    for miss in (0.9999, 0.2):  # one pass, several passes
+        got = embedding_dedup.embedding_duplicates(as_frame(spark, rows), miss=miss)
+        assert got.where("n_links = 499").count() == 500
+        assert got.where("kept").count() == 1
+
+
+def test_recall_of_a_label_of_many_blocks(spark, monkeypatch):
+    """Pairs at the limit in a label of 94 blocks: nearly all are found, and no link that isn't one."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(1000, 32))
+    side -= (side * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    pairs = 0.932 * x[:1000] + np.sqrt(1 - 0.932 ** 2) * side
+    v = np.float32(np.concatenate([x, pairs]))
+    got = embedding_dedup.embedding_duplicates(as_frame(spark, [(i, r.tolist(), 0) for i, r in enumerate(v)]))
+    n = {r.vec_id: r.n_links for r in got.collect()}
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    have = np.array([n[i] for i in range(len(v))])
+    assert (have <= want).all() and have.sum() >= 0.98 * want.sum()
 
 
 def test_empty_table(spark):
@@ -48,7 +75,8 @@ def test_empty_table(spark):
         spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_links_of_a_cluster_wider_than_any_window(spark, monkeypatch):
+@pytest.mark.parametrize("exact", [False, True])
+def test_links_of_a_cluster_wider_than_any_window(spark, monkeypatch, exact):
     """2,600 near-equal vectors over several blocks, one of them held twice, next to other labels."""
     monkeypatch.setattr(embedding_dedup, "TILE", 600 * 16)
     rng = np.random.default_rng(6)
@@ -56,7 +84,7 @@ def test_links_of_a_cluster_wider_than_any_window(spark, monkeypatch):
     x = np.float32(np.concatenate([x, x[:1], rng.normal(size=(700, 16))]))
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000 + i, v.tolist(), i % 3 + 1) for i, v in enumerate(x[2500:3300])]
     got = embedding_dedup.embedding_duplicates(
-        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3), exact=exact).collect()
     got = {r.vec_id: r for r in got}
     ids, vectors, labels = (np.array(c) for c in zip(*rows, strict=True))
     u = vectors.astype(float)
