@@ -1,6 +1,7 @@
 import re
+import time
 
-from keytempo.llm import pii
+from keytempo.llm import common, pii
 
 TEXTS = [
     (1, "Write to anna.weber@mail.example.com or call +1 (974) 555-3436."),
@@ -67,3 +68,49 @@ def test_key_and_empty_table(frame):
     assert pii.with_surrogates(frame([])).count() == 0
     a = pii.surrogate(b"one", "card", "4952935900253052", 0)
     assert a != pii.surrogate(b"two", "card", "4952935900253052", 0) and a == pii.surrogate(b"one", "card", "4952935900253052", 0)
+
+
+def test_whole_names_and_their_further_mentions():
+    text = "Mr O'Brien met Frau Müller-Lüdenscheidt and Dr. McDonald's son. O'Brien left; MCDONALD too. MR JOHN SMITH. Later Smith, John."
+    words = [(text[s:e], k) for s, e, k, _ in pii.find(text)]
+    assert words == [("O'Brien", "family"), ("Müller-Lüdenscheidt", "family"), ("McDonald", "family"), ("O'Brien", "family"),
+                     ("MCDONALD", "family"), ("JOHN", "given-m"), ("SMITH", "family"), ("Smith", "family"), ("John", "given-n")]
+    assert pii.find("Smith and John without a title") == []
+
+
+def test_one_person_under_several_titles(frame):
+    docs = frame([(1, "Mr John Smith"), (2, "Dr John Smith"), (3, "Dr Kim Lee. Later Kim came."), (4, "Mrs Kim Lee"), (5, "MR JOHN SMITH")])
+    got = {r.doc_id: r.text for r in pii.with_surrogates(docs).collect()}
+    one, two = got[1].split(" ", 1)[1], got[2].split(" ", 1)[1]
+    assert one == two and one.upper() == got[5].split(" ", 1)[1]
+    assert one.split(" ")[0].split("-")[0] in pii.GIVEN["latin", "m"]
+    kim = got[4].split(" ")[1]
+    assert kim.split("-")[0] in pii.GIVEN["latin", "f"] and got[3].split(" ")[1] == kim and f"Later {kim} came" in got[3]
+
+
+def test_rounds_end_where_forms_are_used_up(spark):
+    """Five one-letter domains with all their one-letter mailboxes; every address of one form is a known entity."""
+    known = [("email", f"{chr(97 + i)}@{d}.com") for d in "epqtw" for i in range(26)]
+    known += [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    got = pii.surrogates(spark.createDataFrame(known, "kind string, entity string")).collect()
+    new = {(r.kind, r.surrogate) for r in got}
+    assert len(got) == len(known) == len(new) and not new & set(known)
+    hosts = {(r.entity.split("@")[1], r.surrogate.split("@")[1]) for r in got if r.kind == "email"}
+    assert len(hosts) == 5 == len({h for _, h in hosts})
+
+
+def test_a_text_of_very_many_entities():
+    text = " ".join(f"user{i}@host{i % 97}.com from 10.{i % 200}.{i // 200 % 250}.7" for i in range(50_000))
+    begin = time.monotonic()
+    assert len(pii.find(text)) == 100_000 and time.monotonic() - begin < 20
+
+
+def test_stored_steps_hold_no_clear_text(spark, frame, tmp_path, monkeypatch):
+    """What the stage leaves in the shared folder names no entity."""
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    pii.with_surrogates(frame([(1, "Write to anna.weber@mail.example.com. Mr Lindqvist")])).collect()
+    folders = list(tmp_path.iterdir())
+    assert folders
+    for folder in folders:
+        values = {bytes(v) if isinstance(v, bytearray) else v for r in spark.read.parquet(str(folder)).collect() for v in r}
+        assert values and not values & {"anna.weber@mail.example.com", "lindqvist", b"lindqvist", "mail.example.com"}
