@@ -8,6 +8,8 @@ whole text decides.  The network is small and travels in the task; scoring is a
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,29 +20,33 @@ from keytempo.llm.common import columns_of, hex_number, stored, table, text_slic
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 12, 256
 #: Bounds of the training sample: documents per label, cuts per document, characters per cut.
 PER_LABEL, CUTS, CUT_CHARS = 600, 4, 256
+#: Bound of the outputs of the network; a column of languages has far fewer values.
+LABELS = 1024
 STEPS, BATCH = 1200, 96
 UNKNOWN = "und"
 #: Score that always suffices, and shares of labelled held-out rows that the level and the whole rule may drop.
 LEAST, LOST, MOST_LOST = 0.5, 0.001, 0.05
 
 
-def training_rows(docs: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, per_label: int = PER_LABEL, labels: int = LABELS) -> list[tuple[str, str]]:
     """(label, cut) rows of a bounded sample of labelled documents: per label at most ``per_label`` documents with the
-    smallest hashes of doc_id, and cuts from hashed places anywhere in their texts."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = hex_number(F.md5(F.col("doc_id").cast("string").cast("binary")), 12) / float(1 << 48)
-    # The network has an output per label, so the labels are few; the rows are many and aren't shuffled.
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    smallest hashes of id and text, and cuts from hashed places anywhere in their texts.  Rows without an id count like
+    others; rows with equal id, text and label are one.  Of more than ``labels`` labels the most frequent are learned."""
+    known = (docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+             .select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 12).alias("_h")))
+    # Different rows per label: copies of a row neither fill the sample nor thin out the rest.
+    found = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n"))
+    counts = {r.lang: r.n for r in found.orderBy(F.desc("n"), "lang").limit(labels).collect()}
     if not counts:
         return []
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 2.0 * per_label / n)])[F.col("lang")]
-    some = (known.select("doc_id", "text", "lang", share.alias("_h"))
-            .where(F.col("_h") <= limit)  # about twice the wanted number; all where there are few
-            .withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))))
+    some = (known.where(F.col("_h") / float(1 << 52) <= limit)  # about twice the wanted number; all where there are few
+            .groupBy("lang", "_h").agg(F.min("text").alias("text"))
+            .withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
             .where(F.col("_k") <= per_label))
-    cuts = some.select("lang", "_h", "doc_id", F.posexplode(F.transform(
+    cuts = some.select("lang", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.lit(CUTS)),
-        lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", k), F.length("text")) + 1).cast("int"),
+        lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64("_h", k), F.length("text")) + 1).cast("int"),
                               F.lit(CUT_CHARS)))).alias("k", "cut"))
     return [(r.lang, r.cut) for r in cuts.collect()]
 
@@ -196,7 +202,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
     A text that is null or has no letter, and every text without a trained network, gives ``und`` with score 0.  Repeated
     rows are scored each.  A table that has columns lang_pred or score gets new ones in their place.  Training takes rows
-    with a label and a letter; ties of the sampling hash are settled by doc_id and text.
+    with a label and a letter, with or without an id.
     """
     docs = docs.drop("lang_pred", "score")
     if net is None:
@@ -231,6 +237,7 @@ def identified(docs: DataFrame) -> DataFrame:
               .select(F.struct(*columns_of(docs)).alias("row"), "doc_id", "text", F.col("lang").alias("want")))
     net = fit(docs.where(~is_held_out()), with_noise=True)
     if net is None:
+        logging.getLogger(__name__).warning("no row has a language to learn from: all texts with a letter stay")
         return packed.select("row.*")
     known = (F.col("lang_pred") != UNKNOWN)
     seen = stored(predict(packed.where(is_held_out() & F.col("want").isNotNull()).select("doc_id", "text", "want"), net)
@@ -240,6 +247,8 @@ def identified(docs: DataFrame) -> DataFrame:
     least = LEAST if level is None else min(LEAST, level)
     lost = seen.agg(F.avg(F.when(known & (F.col("score") >= least), 0.0).otherwise(1.0))).first()[0]
     if lost is not None and lost > MOST_LOST:
+        logging.getLogger(__name__).warning("the network would drop %.3f of the labelled held-out rows: "
+                                            "all texts with a letter stay", lost)
         return packed.select("row.*")
     return predict(packed, net).where(known & (F.col("score") >= least)).select("row.*")
 

@@ -11,8 +11,10 @@ count, a numbering and a join.
 from __future__ import annotations
 
 import bisect
+import re
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,24 +109,44 @@ def plan(histogram: dict[int, int], sizes: tuple[int, ...] = SIZES) -> list[tupl
     return out
 
 
-def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+def cut_text(text: str, most: int) -> list[str]:
+    """The pieces of a text of ``most`` words each, and a rest; together they are the text."""
+    ends = [m.end() for n, m in enumerate(re.finditer(WORD, text), 1) if n % most == 0]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+
+
+def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, with_text: bool = False) -> DataFrame:
     """Pack every document of ``docs`` (doc_id, text) into sequences of the permitted sizes.
 
     A document takes its words plus one end mark.  One longer than the largest size is cut into pieces of that size and a
     rest.  A row per piece: doc_id, piece, first_word, length, bin_id, bin_offset, bin_capacity, bin_content.  A null text
     takes no room: one row of length 0 with null bin columns.  A text without words takes its end mark.  Repeated rows and
-    repeated doc_ids are packed each by itself.  An empty table gives an empty result.
+    repeated doc_ids are packed each by itself.  An empty table gives an empty result.  A very long text becomes many
+    pieces.  Other columns of ``docs``, whatever their names, are not read.  ``with_text`` adds ``text``, the part of the
+    text that a piece stands for, with the space between words as it was: the pieces of a document make up its text.
 
     The plan is broadcast: its size depends on the sizes and lengths, never on the number of rows.
     """
     spark, most = docs.sparkSession, max(sizes)
     total = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD)) + 1).cast("long")
-    pieces = (docs.select("doc_id", total.alias("_total"))
-              .select("doc_id", "_total", F.explode(F.sequence(
-                  F.lit(0).cast("long"), F.expr(f"greatest(_total - 1, 0) div {most}"))).alias("piece"))
+    counted = docs.select("doc_id", total.alias("_total"), *(["text"] if with_text else []))
+    if with_text:
+        long = F.col("_total") > most  # only these texts leave the JVM
+
+        @F.pandas_udf("array<string>")
+        def cut(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else cut_text(t, most))
+
+        texts = F.when(long, cut(F.when(long, F.col("text")))).otherwise(F.array("text"))
+        each = counted.select("doc_id", "_total", F.posexplode(texts).alias("piece", "text"))
+    else:
+        each = counted.select("doc_id", "_total", F.explode(F.sequence(
+            F.lit(0).cast("long"), F.expr(f"greatest(_total - 1, 0) div {most}"))).alias("piece"))
+    shown = ["text"] if with_text else []
+    pieces = (each.withColumn("piece", F.col("piece").cast("long"))
               .select("doc_id", "piece", (F.col("piece") * most).alias("first_word"),
-                      F.least(F.lit(most), F.col("_total") - F.col("piece") * most).cast("int").alias("length")))
-    histogram = {r[0]: r[1] for r in pieces.where("length > 0").groupBy("length").count().collect()}
+                      F.least(F.lit(most), F.col("_total") - F.col("piece") * most).cast("int").alias("length"), *shown))
+    histogram = {r[0]: r[1] for r in pieces.drop("text").where("length > 0").groupBy("length").count().collect()}
     intervals = spark.createDataFrame(
         plan(histogram, sizes),
         "p_length int, p_rank long, p_count long, p_bin long, bin_offset int, bin_capacity int, bin_content int")
@@ -133,7 +155,7 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
                       & (F.col("_rank") < F.col("p_rank") + F.col("p_count")), "left")
     return found.select("doc_id", "piece", "first_word", "length",
                         (F.col("p_bin") + F.col("_rank") - F.col("p_rank")).alias("bin_id"),
-                        "bin_offset", "bin_capacity", "bin_content")
+                        "bin_offset", "bin_capacity", "bin_content", *shown)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,12 @@ def test_all_lettered_texts_stay_without_labels(frame):
     rows = [(i, f"some words {i}") for i in range(9)] + [(20, None), (21, "12 34")]
     assert sorted(r.doc_id for r in language_id.identified(frame(rows, lang=None)).collect()) == list(range(9))
     assert language_id.identified(frame([])).count() == 0
+
+
+def test_rows_without_ids_are_learned_from_and_copies_do_not_thin_the_sample(frame):
+    english = [(None, f"the cat and the dog number {i} went home") for i in range(40)]
+    rows = english + [(7, "one and the same row")] * 5000
+    cuts = language_id.training_rows(frame(rows), per_label=30)
+    assert len(cuts) == 30 * language_id.CUTS
+    assert language_id.fit(frame(english)) is not None
+    assert len({lang for lang, _ in language_id.training_rows(frame(rows), labels=1)}) == 1

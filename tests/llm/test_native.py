@@ -146,3 +146,16 @@ def test_crowded_turns_are_cut_in_order(spark):
         for p, r in parts:
             text, spans = render(want[p * 20:(p + 1) * 20], "p1")
             assert r.rendered == text and [tuple(s) for s in r.mask] == spans
+
+
+def test_packed_texts_make_up_the_documents(frame):
+    texts = [None, "", "  ", "a", " ".join("abcdefgh"), "x" + " y" * 7 + "  ", "\n" + "wörd \t" * 100, "q " * 24]
+    docs = frame(list(enumerate(texts)))
+    got = packing.pack(docs, (4, 8), with_text=True).orderBy("doc_id", "piece").collect()
+    for i, t in enumerate(texts):
+        pieces = [r for r in got if r.doc_id == i]
+        assert [r.text for r in pieces] == [None] if t is None else "".join(r.text for r in pieces) == t
+        if t is not None:
+            assert [r.length for r in pieces] == [len(r.text.split()) for r in pieces[:-1]] + [len(pieces[-1].text.split()) + 1]
+    plain = packing.pack(docs, (4, 8)).orderBy("doc_id", "piece").collect()
+    assert [(r.doc_id, r.piece, r.length) for r in plain] == [(r.doc_id, r.piece, r.length) for r in got]

@@ -40,6 +40,10 @@ def test_stages_against_plain_versions(spark, frame, tmp_path):
         assert (texts[d] == t) == (not pii.find(t))
     assert all(r.n_chars == len(r.text) for r in seen["pii"])
     assert sum(r.length for r in seen["best_fit_packing"]) == sum(len(t.split()) + 1 for t in texts.values())
+    packed = {}
+    for r in sorted(seen["best_fit_packing"], key=lambda r: r.piece):
+        packed[r.doc_id] = packed.get(r.doc_id, "") + r.text
+    assert packed == texts  # surrogates are in the result
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(repr, ran.select("doc_id", "piece", "length").collect())) == sorted(
         map(repr, now.select("doc_id", "piece", "length").collect()))
