@@ -34,8 +34,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document with its place in a training sequence."""
-    return packing.pack(docs)
+    """A row per piece of a document with its place in a training sequence and its text, surrogates included."""
+    return packing.pack(docs, with_text=True)
 
 
 STAGES = [
