@@ -372,8 +372,9 @@ SELECT user_id, session_id, split, {columns} FROM trained, p""")
 
 
 def _scaled(spark, sf_dir, kind):
-    parts = splits.grouped_split(
-        session_table(spark, sf_dir).select("user_id", "session_id", *_SCALED))
+    # Split, fit and application read the few columns they need from one stored step.
+    rows = pin(session_table(spark, sf_dir).select("user_id", "session_id", *_SCALED))
+    parts = splits.grouped_split(rows)
     params = scaling.fit_scaler(parts.filter("split = 'train'"), _SCALED, kind)
     return stable(scaling.apply_scaler(parts, params, _SCALED))
 
